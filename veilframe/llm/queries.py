@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import mixing
+from veilframe.llm import mixing, simhash
 from veilframe.llm.common import table
 
 QUERIES: dict = {}
@@ -47,3 +47,10 @@ SELECT doc_id, size, source_size, target, size * (((k * step + u) >> 24) - (((k
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, mixed to 5:2:1 by source."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op7_simhash")
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints of all documents and the components of those within two bits."""
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
