@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import mixing, simhash
+from veilframe.llm import mixing, simhash, toxicity
 from veilframe.llm.common import table
 
 QUERIES: dict = {}
@@ -54,3 +54,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints of all documents and the components of those within two bits."""
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learnt from the labels outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    worst = F.array_sort("offending", lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).otherwise(a["start"] - b["start"]))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").alias("n_offending"), F.get(worst, F.lit(0))["start"].alias("worst_start"), F.get(worst, F.lit(0))["end"].alias("worst_end"))
