@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import mixing, simhash, toxicity
-from veilframe.llm.common import table
+from veilframe.llm import mixing, packing, simhash, toxicity
+from veilframe.llm.common import save, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -64,3 +64,16 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     worst = F.array_sort("offending", lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).otherwise(a["start"] - b["start"]))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").alias("n_offending"), F.get(worst, F.lit(0))["start"].alias("worst_start"), F.get(worst, F.lit(0))["end"].alias("worst_end"))
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op3_pack_sequences")
+def op3_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens; the ids stay in the saved pieces, a digest of them is returned."""
+    parts = save(packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")), "pieces")
+    return packing.pack(parts.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
