@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import mixing, packing, simhash, toxicity
-from veilframe.llm.common import save, table
+from veilframe.llm import mixing, packing, simhash, sstable, toxicity, warc
+from veilframe.llm.common import new_path, save, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -77,3 +77,29 @@ def op3_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens; the ids stay in the saved pieces, a digest of them is returned."""
     parts = save(packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")), "pieces")
     return packing.pack(parts.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
+@query("op6_sstable")
+def op6_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents written as sorted-string-table shards and read back."""
+    path = new_path(spark, "shards")
+    sstable.write(table(spark, sf_dir, "documents"), path, tokenizer=tokenizer_path("word_bpe_49k.json"), kind="words", end_id=1)
+    return sstable.positions(spark, path).withColumnRenamed("key", "doc_id")
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first_page FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first_page <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN first_page <> page_id THEN first_page END AS refers_to FROM f
+"""
+
+
+@query("op10_warc", WARC_SQL)
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages archived in dictionary-compressed WARC files and read back."""
+    path = new_path(spark, "archive")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    stored = warc.read(spark, path)
+    intact = F.when(F.col("payload").isNull() | (F.sha2("payload", 256) == F.col("payload_digest")), F.col("payload_digest"))
+    return stored.select("page_id", "payload_bytes", intact.alias("payload_digest"), "record_type", "refers_to")
