@@ -99,10 +99,12 @@ def write(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str
     picked = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
     digests = save(picked.select("page_id", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").alias("bytes")), "digests")
     firsts = digests.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").drop("n")
-    revisits = digests.join(firsts, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select(F.col("page_id").alias("from_page"), F.col("digest").alias("from_digest"), "refers_to").distinct()
+    # a plain key, so that the payloads stay where the writing tasks need them
+    key = F.coalesce("page_id", F.lit(-(1 << 63))).alias("key")
+    revisits = digests.join(firsts, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select(key, "digest", "refers_to").distinct()
     files = max(1, -(-(digests.agg(F.sum("bytes")).first()[0] or 0) // file_bytes))
-    dealt = picked.withColumn("digest", F.sha2("payload", 256)).repartition(files, "page_id", "digest")
-    planned = dealt.join(revisits, F.col("page_id").eqNullSafe(F.col("from_page")) & (F.col("digest") == F.col("from_digest")), "left").select("page_id", "url", "payload", "digest", "refers_to")
+    dealt = picked.select("*", F.sha2("payload", 256).alias("digest"), key).repartition(files, "key", "digest")
+    planned = dealt.join(revisits, ["key", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         records = [record(*row, date) for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
