@@ -50,6 +50,13 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that what a task derives from a batch stays small."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8 bytes; null counts as empty."""
     if pa.types.is_large_string(column.type):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import arrow_map, fresh, group_rank, hash31
+from veilframe.llm.common import arrow_map, fresh, group_rank, hash31, slices
 from veilframe.llm.tokens import encoder
 
 CELL_ROWS = 4096
@@ -165,7 +165,7 @@ def pieces(docs: DataFrame, path: str, *, kind: str = "bytes", end_id: int = 0,
             yield flush()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield from cut(b)
 
     kinds = ["int", "long", "long", "binary"]

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import arrow_map, save
+from veilframe.llm.common import arrow_map, save, slices
 from veilframe.llm.files import read_whole, write_sections
 from veilframe.llm.tokens import encoder
 
@@ -151,7 +151,7 @@ class Shard:
         return out
 
 
-def write(docs: DataFrame, path: str, *, tokenizer: str, kind: str, end_id: int, width: int = 2, text_col: str = "text", id_col: str = "doc_id", shard_bytes: int = 32 << 20) -> None:
+def write(docs: DataFrame, path: str, *, tokenizer: str, kind: str, end_id: int, width: int = 2, text_col: str = "text", id_col: str = "doc_id", shard_bytes: int = 16 << 20) -> None:
     """Encode docs and write their shards under path. Texts are encoded where they are read; only ids are shuffled."""
     picked = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
     total, n = picked.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
@@ -163,7 +163,7 @@ def write(docs: DataFrame, path: str, *, tokenizer: str, kind: str, end_id: int,
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer, kind)
-        for b in batches:
+        for b in slices(batches):
             ids = [own.encode(t or "") + end for t in b.column(1).to_pylist()]
             if width == 2:
                 ids = [narrow(x) for x in ids]
@@ -180,7 +180,7 @@ def write(docs: DataFrame, path: str, *, tokenizer: str, kind: str, end_id: int,
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = None
         as_batch = lambda xs: pa.RecordBatch.from_arrays([pa.array(xs, pa.binary())], ["section"])
-        for b in batches:
+        for b in slices(batches):
             for s, k, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 writer = writer or ShardWriter(s, width)
                 for section in writer.add(key_of(k), v):

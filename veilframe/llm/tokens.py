@@ -23,8 +23,8 @@ LETTER, MARK = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?"
 BYTE_PIECE = re.compile(f" ?[{LETTER}]+(?=[{MARK}{BLANK}]|$)| ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]")
 WORD_PIECE = re.compile(f"[{LETTER}]+(?=[{MARK}\t-\r ]|$)|[^\t-\r ]+")
 ODD = re.compile("[\x1c-\x1f\x85᠎​﻿]")
-#: Distinct pieces remembered by a task.
-MEMO = 600_000
+#: Distinct pieces remembered by a worker process: as many in use, and as many from before.
+MEMO = 400_000
 #: Pieces of a very long text that are looked up at a time.
 CHUNK = 1 << 20
 
@@ -47,6 +47,7 @@ class Encoder:
         self.glue, shape = {"bytes": ("", f" [{LETTER}]+"), "words": (" ", f"[{LETTER}]+")}[kind]
         self.plain = re.compile(shape).fullmatch
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -87,14 +88,16 @@ class Encoder:
         out = []
         for pieces in self._pieces(text):
             known = self.memo
-            missing = [p for p in dict.fromkeys(pieces) if p not in known]
-            if missing:
-                if len(known) + len(missing) > MEMO:
-                    known.clear()
+            if missing := [p for p in dict.fromkeys(pieces) if p not in known]:
+                if len(self.memo) + len(missing) > MEMO:  # what was not used since the last time is forgotten
+                    self.old, self.memo = self.memo, {}
                     missing = list(dict.fromkeys(pieces))
-                self._learn(missing)
-            out.append(b"".join(map(known.__getitem__, pieces)))
-        return b"".join(out)
+                old = self.old
+                self.memo |= {p: old[p] for p in missing if p in old}
+                if missing := [p for p in missing if p not in old]:
+                    self._learn(missing)
+            out.append(b"".join(map(self.memo.__getitem__, pieces)))
+        return out[0] if len(out) == 1 else b"".join(out)
 
 
 @lru_cache(maxsize=4)
