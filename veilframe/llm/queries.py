@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import mixing, packing, simhash, sstable, toxicity, warc
+from veilframe.llm import mixing, packing, passages, simhash, sstable, toxicity, warc
 from veilframe.llm.common import new_path, save, table
 
 QUERIES: dict = {}
@@ -103,3 +103,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = warc.read(spark, path)
     intact = F.when(F.col("payload").isNull() | (F.sha2("payload", 256) == F.col("payload_digest")), F.col("payload_digest"))
     return stored.select("page_id", "payload_bytes", intact.alias("payload_digest"), "record_type", "refers_to")
+
+
+@query("op5_passages")
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that an earlier document has as well."""
+    found = passages.repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "start_word", "end_word", F.col("of_id").alias("of_doc_id"), "of_start", "of_end", "similarity")
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline, one after another, over all documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
