@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import mixing, packing, passages, simhash, sstable, toxicity, warc
+from veilframe.llm import mixing, neighbours, packing, passages, simhash, sstable, toxicity, warc
 from veilframe.llm.common import new_path, save, table
 
 QUERIES: dict = {}
@@ -118,3 +118,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query("op1_curve_neighbours")
+def op1_curve_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found to every twentieth vector, by inner product."""
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
