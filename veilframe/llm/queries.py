@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import mixing, neighbours, packing, passages, simhash, sstable, toxicity, warc
+from veilframe.llm import hpylm, mixing, neighbours, packing, passages, simhash, sstable, toxicity, warc
 from veilframe.llm.common import new_path, save, table
 
 QUERIES: dict = {}
@@ -124,3 +124,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_curve_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest found to every twentieth vector, by inner product."""
     return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
+@query("op2_hpylm")
+def op2_hpylm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents under the Pitman-Yor model learnt from nine tenths of them."""
+    return hpylm.score(table(spark, sf_dir, "documents"))
