@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import hpylm, mixing, neighbours, packing, passages, simhash, sstable, toxicity, warc
+from veilframe.llm import hpylm, images, mixing, neighbours, packing, passages, simhash, sstable, toxicity, warc
 from veilframe.llm.common import new_path, save, table
 
 QUERIES: dict = {}
@@ -130,3 +130,9 @@ def op1_curve_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_hpylm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probabilities of all documents under the Pitman-Yor model learnt from nine tenths of them."""
     return hpylm.score(table(spark, sf_dir, "documents"))
+
+
+@query("op8_image_copies")
+def op8_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies among the pictures of all embeddings (64 values, an 8 x 8 picture enlarged to 64 x 64)."""
+    return images.copies(images.pictures(table(spark, sf_dir, "embeddings")))
