@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -31,6 +32,9 @@ def save(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it back: a cut in the lineage that outlives any executor."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
+    # the shuffle files of what has been written are of no more use; Spark drops them when the driver's garbage goes
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
