@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 
 from veilframe.llm.common import arrow_map, save, slices, utf8
 
-BLOCK_TOKENS = 2_000_000
-BUCKET_KEYS = 1_500_000
+BLOCK_TOKENS = 1_000_000
+BUCKET_KEYS = 1_000_000
 SINGLY = 64
 END, START = np.uint64(1), np.uint64(2)
 MEMO = 1_000_000
