@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import arrow_map, fresh
+from veilframe.llm.common import arrow_map, fresh, slices
 
 SENTENCE = re.compile(r"[^.!?\n]+(?:[.!?]+(?=\s|$)|[.!?]+|\n|$)?")
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
@@ -149,7 +149,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: tuple[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
+        for b in slices(batches, 256):
             scores, found = [], []
             for t in b.column(b.num_columns - 1).to_pylist():
                 parts = m.sentence_scores(t or "")
