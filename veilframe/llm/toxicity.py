@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ SENTENCE = re.compile(r"[^.!?\n]+(?:[.!?]+(?=\s|$)|[.!?]+|\n|$)?")
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 #: Words remembered by a scoring task.
 MEMO = 400_000
+#: Places for features while training; two features of one place share a weight.
+SLOTS = 1 << 21
 
 
 def word_features(word: str) -> list[str]:
@@ -83,37 +86,45 @@ def fit(texts: list[str], labels: list[int], *, rounds: int = 300, rate: float =
     y = np.array(labels, np.float64)
     if not len(y) or y.min() == y.max():
         return Model(leak=float(y.mean()) if len(y) else 0.0)
-    seen: dict[str, list[int]] = {}
-    bags, features, same = [], {}, {}
-    for t, label in zip(texts, labels, strict=True):
-        bag = [b for b in ({same.setdefault(w, w) for w in WORD.findall(t[a:e].lower())} for a, e in sentences(t)) if b]
-        bags.append(bag)
-        for f in {f for w in set().union(*bag) for f in (features.get(w) or features.setdefault(w, word_features(w)))}:
-            seen.setdefault(f, [0, 0])[label] += 1
+    # words as numbers, their features as slots of a table: texts are held once and no feature is held as a string
+    numbers: dict[str, int] = {}
+    bags: list[list[np.ndarray]] = []
+    for text in texts:
+        found = ({*WORD.findall(text[a:e].lower())} for a, e in sentences(text))
+        bags.append([np.array([numbers.setdefault(w, len(numbers)) for w in sorted(f)], np.int32) for f in found if f])
+    per_word = [[xxhash.xxh32_intdigest(f) % SLOTS for f in word_features(w)] for w in numbers]
+    sizes = np.array([len(s) for s in per_word], np.int64)
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    flat = np.fromiter((s for own in per_word for s in own), np.int32, int(begin[-1]))
+    del per_word
+
+    def slots(words: np.ndarray) -> np.ndarray:
+        n = sizes[words]
+        return flat[np.repeat(begin[words] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
+
+    seen = np.zeros((2, SLOTS), np.int32)
+    for bag, label in zip(bags, labels, strict=True):
+        if bag:
+            seen[label, np.unique(slots(np.unique(np.concatenate(bag))))] += 1
     # features that go with a label more often than chance would have it
-    share = y.mean()
-    index: dict[str, int] = {}
-    for f, (n0, n1) in seen.items():
-        n = n0 + n1
-        if n >= least_docs and abs(n1 - n * share) > least_z * np.sqrt(n * share * (1 - share)):
-            index[f] = len(index)
-    if not index:
+    share, n = y.mean(), seen.sum(axis=0)
+    chosen = (n >= least_docs) & (np.abs(seen[1] - n * share) > least_z * np.sqrt(n * share * (1 - share)))
+    index = np.where(chosen, np.cumsum(chosen) - 1, -1).astype(np.int32)
+    size = int(chosen.sum())
+    if not size:
         return Model(leak=float(share))
-    cols, sent, doc = [], [], []
-    numbers: dict[str, list[int]] = {}
-    k = 0
+    cols, sent, doc, k = [], [], [], 0
     for d, bag in enumerate(bags):
         for words in bag:
-            for w in words:
-                if (own := numbers.get(w)) is None:
-                    own = numbers[w] = [index[f] for f in features[w] if f in index]
-                cols += own
-                sent += [k] * len(own)
-            doc.append(d)
+            own = index[slots(words)]
+            own = own[own >= 0]
+            cols.append(own)
+            sent.append(np.full(len(own), k, np.int32))
             k += 1
-    cols_, sent_, doc_ = np.array(cols, np.int64), np.array(sent, np.int64), np.array(doc, np.int64)
-    w, bias, leak = np.zeros(len(index)), -6.0, np.log(0.02)
-    m, v, n = np.zeros(len(index) + 2), np.zeros(len(index) + 2), len(y)
+        doc += [d] * len(bag)
+    cols_, sent_, doc_ = np.concatenate(cols), np.concatenate(sent), np.array(doc, np.int32)
+    w, bias, leak = np.zeros(size), -6.0, np.log(0.02)
+    m, v, n = np.zeros(size + 2), np.zeros(size + 2), len(y)
     for step in range(1, rounds + 1):
         z = bias + np.bincount(sent_, w[cols_], minlength=k)
         p = sigmoid(z)
@@ -122,12 +133,18 @@ def fit(texts: list[str], labels: list[int], *, rounds: int = 300, rate: float =
         # of the log likelihood by z: y (1 - P) / P p - (1 - y) p
         pull = np.where(y == 1, (1 - p_doc) / p_doc, -1.0)
         by_z = pull[doc_] * p
-        grad = np.concatenate([np.bincount(cols_, by_z[sent_], minlength=len(index)) - l2 * n * w, [by_z.sum(), (pull * sigmoid(np.array([leak]))[0]).sum()]]) / n
+        grad = np.concatenate([np.bincount(cols_, by_z[sent_], minlength=size) - l2 * n * w, [by_z.sum(), (pull * sigmoid(np.array([leak]))[0]).sum()]]) / n
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w += move[:-2]
         bias, leak = min(bias + move[-2], -2.0), leak + move[-1]
-    return Model(float(bias), float(sigmoid(np.array([leak]))[0]), {f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-3})
+    kept = {}
+    for word in numbers:
+        for f in word_features(word):
+            if (i := index[xxhash.xxh32_intdigest(f) % SLOTS]) >= 0 and abs(w[i]) > 1e-3:
+                kept[f] = float(w[i])
+    return Model(float(bias), float(sigmoid(np.array([leak]))[0]), kept)
+
 
 
 def train(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", folds: int = 5, most_rows: int = 6000, most_chars: int = 100_000) -> Model:
