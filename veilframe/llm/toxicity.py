@@ -30,7 +30,7 @@ from veilframe.llm.common import arrow_map, fresh, slices
 SENTENCE = re.compile(r"[^.!?\n]+(?:[.!?]+(?=\s|$)|[.!?]+|\n|$)?")
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 #: Words remembered by a scoring task.
-MEMO = 400_000
+MEMO = 150_000
 #: Places for features while training; two features of one place share a weight.
 SLOTS = 1 << 21
 
@@ -174,6 +174,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: tuple[
                 scores.append(s)
                 found.append([{"start": a, "end": e, "score": p} for (a, e, _), p in zip(parts, own, strict=True) if p >= threshold])
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores, pa.float64()), pa.array(found, spans)], [*b.schema.names[:-1], *names])
+        m.memo.clear()
 
     head = [f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]]
     return arrow_map(picked, run, ", ".join([*head, f"`{names[0]}` double", f"`{names[1]}` array<struct<start:int,end:int,score:double>>"]))
