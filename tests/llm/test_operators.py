@@ -104,7 +104,7 @@ def test_passages(docs, none):
         assert set(range(at, at + 70)) <= spans[i]
     assert set(range(len(texts[5]))) <= spans[5] and not {10, 40, 50, 63} & set(spans)
     left = {r.doc_id: r for r in passages.drop_repeated(docs).collect()}
-    assert 5 not in left and left[30].text.endswith(" tail30") and left[30].n_chars == len(left[30].text) and left[10].text == made()[10][1]
+    assert 5 not in left and left[30].text.endswith("tail30") and left[30].n_chars == len(left[30].text) and left[10].text == made()[10][1]
     assert passages.repeated_passages(none).collect() == []
 
 
