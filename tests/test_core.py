@@ -107,7 +107,8 @@ def test_stream_equals_batch(spark, tmp_path):
     from veilframe.streaming import activity
 
     events = spark.read.parquet(f"{SF}/events.parquet")
-    stream = spark.readStream.schema(events.schema).parquet(f"{SF}/event*.parquet")
+    events.repartition(3).write.parquet(f"{tmp_path}/events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{tmp_path}/events")
     q = activity.daily(stream).writeStream.outputMode("complete").format("memory").queryName("daily_out").start()
     q.processAllAvailable()
     q.stop()

@@ -12,7 +12,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 def daily(events: DataFrame, late: str = "1 day") -> DataFrame:
     """Events and value by day and type; works on a stream (with a watermark) and on a table alike."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need the type with a time zone
+    rows = rows.withWatermark("ts", late) if events.isStreaming else rows
     out = rows.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return out.select(F.col("w.start").cast("date").cast("string").alias("day"), "event_type", "n", "total")
 
