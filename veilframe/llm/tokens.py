@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 import sys
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 from tokenizers import Tokenizer
@@ -36,40 +36,49 @@ def _packed(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
+class Memory(dict):
+    """Ids by piece; a piece that is not there is encoded. When full, what was not used since the last time is forgotten."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        super().__init__()
+        self.encode, self.old = encode, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= MEMO:
+            self.old = dict(self)
+            self.clear()
+        ids = self.old.get(piece)
+        self[piece] = ids = self.encode(piece) if ids is None else ids
+        return ids
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids. kind: "bytes" or "words", the vocabulary's way with blanks."""
 
     def __init__(self, path: str, kind: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.piece = {"bytes": BYTE_PIECE, "words": WORD_PIECE}[kind]
-        # pieces of this shape are one word to the library, even when strung together, so many are encoded as one text
-        self.glue, shape = {"bytes": ("", f" [{LETTER}]+"), "words": (" ", f"[{LETTER}]+")}[kind]
-        self.plain = re.compile(shape).fullmatch
-        self.memo: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        # a piece of this shape is one word to the library, so its model can do without the steps before it
+        self.word = re.compile({"bytes": f" ?[{LETTER}]+", "words": f"[{LETTER}]+"}[kind]).fullmatch
+        self.letters = {ord(c): self._prepared(c) for c in map(chr, range(32, 256)) if self.word(c) or (c == " " and kind == "bytes")}
+        self.memory = Memory(self._piece)
+
+    def _prepared(self, letter: str) -> str:
+        """A letter as the model is given it: normalised, and in the characters that stand for bytes."""
+        if self.tokenizer.normalizer:
+            letter = self.tokenizer.normalizer.normalize_str(letter)
+        return "".join(part for part, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(letter))
+
+    def _piece(self, piece: str) -> bytes:
+        if self.word(piece):
+            return _packed([t.id for t in self.model.tokenize(piece.translate(self.letters))])
+        return self._whole(piece)
 
     def _whole(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _learn(self, pieces: list[str]) -> None:
-        plain = [p for p in pieces if self.plain(p)]
-        rest = pieces
-        if plain:
-            found = self.tokenizer.encode(self.glue.join(plain), add_special_tokens=False)
-            words = found.word_ids
-            ends = [i for i in range(1, len(words)) if words[i] != words[i - 1]] + [len(words)]
-            if len(ends) == len(plain):
-                ids, at = _packed(found.ids), 0
-                for p, end in zip(plain, ends, strict=True):
-                    self.memo[p] = ids[4 * at : 4 * end]
-                    at = end
-                rest = [p for p in pieces if p not in self.memo]
-        for i in range(0, len(rest), 4096):
-            part = rest[i : i + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.memo[p] = _packed(e.ids)
-
     def _pieces(self, text: str) -> Iterator[list[str]]:
         if len(text) <= CHUNK:
             yield self.piece.findall(text)
@@ -85,18 +94,7 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if ODD.search(text):
             return self._whole(text)
-        out = []
-        for pieces in self._pieces(text):
-            known = self.memo
-            if missing := [p for p in dict.fromkeys(pieces) if p not in known]:
-                if len(self.memo) + len(missing) > MEMO:  # what was not used since the last time is forgotten
-                    self.old, self.memo = self.memo, {}
-                    missing = list(dict.fromkeys(pieces))
-                old = self.old
-                self.memo |= {p: old[p] for p in missing if p in old}
-                if missing := [p for p in missing if p not in old]:
-                    self._learn(missing)
-            out.append(b"".join(map(self.memo.__getitem__, pieces)))
+        out = [b"".join(map(self.memory.__getitem__, pieces)) for pieces in self._pieces(text)]
         return out[0] if len(out) == 1 else b"".join(out)
 
 
