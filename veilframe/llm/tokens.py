@@ -24,7 +24,7 @@ BYTE_PIECE = re.compile(f" ?[{LETTER}]+(?=[{MARK}{BLANK}]|$)| ?[^{BLANK}]+|[{BLA
 WORD_PIECE = re.compile(f"[{LETTER}]+(?=[{MARK}\t-\r ]|$)|[^\t-\r ]+")
 ODD = re.compile("[\x1c-\x1f\x85᠎​﻿]")
 #: Distinct pieces remembered by a worker process: as many in use, and as many from before.
-MEMO = 200_000
+MEMO = 400_000
 #: Pieces of a very long text that are looked up at a time.
 CHUNK = 1 << 20
 
