@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions import checks, text
 from veilframe.operators import audit, guard, protected, redact, resolve, rules
+from veilframe.plans import values  # noqa: F401 (registers its queries)
 from veilframe.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
