@@ -1,0 +1,160 @@
+"""Near copies: documents whose sets of word shingles have a Jaccard similarity of at least `similarity` are linked.
+
+MinHash: BANDS keys of ROWS minima each; a pair at 0.8 shares a key with a chance of 0.9993, one at 0.9 or more practically
+always. Every pair that shares a key is a candidate, and candidates are verified on the shingle sets themselves (32 bits
+of each hash), so no pair below the similarity is linked. Only distinct sets take part: exact copies cost one row.
+
+Keys that more than PAIRS sets share are not paired off at once. A few members of each are compared with all others, and
+components are formed; then only pairs across components matter. Once a key has few of these, all are compared. After
+ROUNDS rounds what is left is compared whatever its number, so every pair that shares a key and lies in two components
+has been verified. Only many sets that share a key and are mostly unlike one another make that long.
+
+Cases: null text is empty text; texts without words are copies of each other; rows with a null id take part and never
+name a component (a component of nothing else has null); repeated rows link to each other.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from veilframe.llm.common import arrow_map, fresh, save, slices, utf8
+from veilframe.llm.components import components
+from veilframe.llm.simhash import shingle_hashes
+
+BANDS, ROWS = 24, 6
+PAIRS, PIVOTS, ROUNDS = 32, 4, 8
+#: Shingles whose minima are taken at a time.
+CHUNK = 1 << 10
+
+
+def _functions() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(17)
+    return rng.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64), rng.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
+
+
+FLIPS, FACTORS = _functions()
+
+
+def shingle_set(text: bytes, size: int) -> np.ndarray:
+    """The distinct shingles of a text, sorted, as 32 bits of their hashes."""
+    parts = [h.astype(np.uint32) for h in shingle_hashes(text.lower().split(), size)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint32)
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """One key a band, as (signed) longs; none for an empty set. The band is part of its key."""
+    if not len(shingles):
+        return np.zeros(0, np.int64)
+    spread = (shingles.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    spread ^= spread >> np.uint64(29)
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+    for i in range(0, len(spread), CHUNK):
+        least = np.minimum(least, ((spread[None, i : i + CHUNK] ^ FLIPS) * FACTORS).min(axis=1))
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        keys = (keys ^ column) * np.uint64(0xBF58476D1CE4E5B9)
+        keys ^= keys >> np.uint64(29)
+    return keys.view(np.int64)
+
+
+def sketches(docs: DataFrame, text_col: str, keep: tuple[str, ...], size: int, name: str = "fp", sets: bool = True) -> DataFrame:
+    """The columns keep of docs, a long that stands for the shingle set, and (if sets) band keys, members and their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 128):
+            own = [shingle_set(t, size) for t in utf8(b.column(b.num_columns - 1))]
+            cols, names = [pa.array([xxhash.xxh64_intdigest(s.tobytes()) for s in own], pa.uint64()).view(pa.int64())], [name]
+            if sets:
+                cols += [pa.array([band_keys(s) for s in own], pa.list_(pa.int64())), pa.array([s.tobytes() for s in own], pa.binary()), pa.array(map(len, own), pa.int32())]
+                names += ["keys", "members", "n"]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], [*b.schema.names[:-1], *names])
+
+    text = fresh(keep, "shingled_text")
+    picked = docs.select(*keep, F.col(text_col).alias(text))
+    more = ["keys array<long>", "members binary", "n int"] if sets else []
+    return arrow_map(picked, run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]), f"`{name}` long", *more]))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs (a, b) whose sets (node, members) are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 256):
+            good = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= similarity * (len(x) + len(y) - both))
+            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    left, right = (sets.select(F.col("node").alias(s), F.col("members").alias(f"members_{s}")) for s in ("a", "b"))
+    return arrow_map(pairs.distinct().join(left, "a").join(right, "b").select("a", "b", "members_a", "members_b"), run, "a long, b long")
+
+
+def links(sets: DataFrame, similarity: float) -> DataFrame:
+    """sets (node, keys, members, n), distinct nodes -> edges (a, b) whose components are those of all similar pairs that
+    share a key."""
+    keyed = save(sets.select("node", "n", F.explode("keys").alias("key")), "band-keys")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
+    keyed = save(keyed.join(sizes, "key").select("key", "node", "n", (F.col("many") > PAIRS).alias("crowded")), "shared-keys")
+    side = lambda df, s: df.select("key", *[F.col(c).alias(f"{c}_{s}") for c in df.columns if c in ("node", "n", "root")])
+    # sets of very different sizes cannot be similar
+    alike = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")
+    pair = [F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")]
+    few = keyed.where("not crowded")
+    edges = save(verified(side(few, "a").join(side(few, "b"), "key").where((F.col("node_a") < F.col("node_b")) & alike).select(*pair), sets, similarity), "near-links")
+    left = keyed.where("crowded").select("key", "node", "n")
+    for turn in range(ROUNDS + 1):
+        if left.isEmpty():
+            break
+        roots = components(edges)
+        rooted = save(left.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")), "crowded")
+        parts = rooted.groupBy("key", "root").agg(F.count("*").alias("m"))
+        state = parts.groupBy("key").agg(F.sum("m").alias("of_key"), F.sum(F.col("m") * F.col("m")).alias("inside"), F.max_by("root", "m").alias("main"))
+        # twice the pairs across components; without any, a key is done
+        across = F.col("of_key") * F.col("of_key") - F.col("inside")
+        state = save(state.where(across > 0).withColumn("last", (across <= 2 * PAIRS * F.col("of_key")) | F.lit(turn == ROUNDS)), "crowded-keys")
+        now = rooted.join(state, "key")
+        # all outside the largest component in the last round of a key, else a few by chance (one at least)
+        chance = F.pmod(F.xxhash64("node", "key", F.lit(turn)), F.col("of_key")) < PIVOTS
+        lowest = rooted.groupBy("key").agg(F.min("node").alias("lowest"))
+        pivots = save(now.join(lowest, "key").where(F.when(F.col("last"), F.col("root") != F.col("main")).otherwise(chance | (F.col("node") == F.col("lowest")))).select("key", "node", "n", "root"), "pivots")
+        other = (F.col("root_a") != F.col("root_b")) & alike
+        edges = edges.unionAll(save(verified(side(pivots, "a").join(side(now, "b"), "key").where(other).select(*pair), sets, similarity), "near-links"))
+        left = save(now.where("not last").join(pivots, ["key", "node"], "left_anti").select("key", "node", "n"), "crowded-left")
+    return edges
+
+
+def near_copies(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row a row of docs: id_col, fp (long, the shingle set), root (the component's name), component_id (its smallest id)."""
+    rows = save(sketches(docs, text_col, (id_col,), size), "sketches")
+    prints = save(rows.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("copies")), "prints")
+    # of the rows with one set, the first by id has it (by chance where ids are null or repeated)
+    chosen = rows.join(prints.withColumnRenamed("fp", "of"), (F.col("fp") == F.col("of")) & F.col(id_col).eqNullSafe(F.col("least")))
+    once = chosen.where("copies = 1").unionByName(chosen.where("copies > 1").dropDuplicates(["fp"]))
+    sets = save(once.select(F.col("fp").alias("node"), "keys", "members", "n"), "sets")
+    named = prints.join(components(links(sets, similarity)), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = save(named, "named")
+    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.select(id_col, "fp").join(named.drop("least").join(smallest, "root"), "fp").select(id_col, "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each component: a row with its smallest id (of a component without ids, any row)."""
+    groups = save(near_copies(docs, text_col=text_col, id_col=id_col, size=size, similarity=similarity), "groups")
+    named = groups.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("kept_id")).agg(F.count("*").alias("rows_of_id"))
+    kept = docs.join(named.where("rows_of_id = 1").select("kept_id"), docs[id_col] == F.col("kept_id"), "left_semi")
+    repeated = docs.join(named.where("rows_of_id > 1").select("kept_id"), docs[id_col] == F.col("kept_id"), "left_semi").dropDuplicates([id_col])
+    if groups.where(F.col("component_id").isNull()).isEmpty():
+        return kept.unionByName(repeated)
+    nameless = groups.where(F.col("component_id").isNull()).select("fp", "root").distinct()
+    own = [fresh(docs.columns, x) for x in ("fp", "root")]
+    bare = sketches(docs.where(F.col(id_col).isNull()), text_col, tuple(docs.columns), size, own[0], sets=False)
+    bare = bare.join(nameless.select(F.col("fp").alias(own[0]), F.col("root").alias(own[1])), own[0]).dropDuplicates([own[1]]).select(*docs.columns)
+    return kept.unionByName(repeated).unionByName(bare)
