@@ -2,16 +2,19 @@
 
 Vectors are lifted so that the largest inner product is the smallest distance (one more component makes all norms equal),
 projected to `dims` directions by a seeded rotation of each ordering, shifted by a seeded offset and put in the order of
-their Hilbert index. Each ordering is range-partitioned into blocks of consecutive vectors; a query looks at its own
-block and the next one on either side. The best of every ordering are merged and reranked with double-precision inner
-products of the original vectors.
+their Hilbert index. Each ordering is cut into ranges of the curve; a query meets the `reach` rows on either side of its
+own place, also where they lie in a neighbouring range. What the windows of all orderings find is merged and reranked
+with double-precision inner products of the original vectors.
 
-Equal vectors are one entry of the index, with the smallest `k + 1` of their ids: a query can need no more of them, so
-a vector that a third of all rows share costs one row after partial aggregation.
+How wide a window must be depends on the vectors: a few rows where they lie in clusters, a share of the table where they
+fill all dimensions evenly. It is measured, not assumed: in a sample of at most `sample` vectors, the true neighbours of
+`probes` of them are found by brute force, and reach is the distance on the curves within which `recall` of these lie in
+at least one ordering, carried over to the whole table. The sample (bounded, in the driver) also gives the cuts of the
+ranges; every vector is indexed, and none is dropped. Measured recall and work are stated in the README.
 
-A window is a share of the index (blocks / orderings are its parameters), because in many dimensions without clusters a
-window of fixed size finds ever fewer of the true neighbours as the table grows; the price is queries x share x rows
-inner products, in blocks. Recall against brute force is measured in the tests and stated in the README.
+Equal vectors are one entry of the index, with the smallest `k + 1` of their ids: a query can need no more of them, so
+a vector that a third of all rows share costs one row after partial aggregation. Windows compare half-precision copies;
+whatever could be among the k best within their error goes on to the rerank.
 
 Cases: null and zero vectors, and those with a null or non-finite component, take no part, as queries or otherwise; so
 do rows with a null id and rows whose length is not that of most; rows that repeat an id with the same vector are one,
@@ -76,71 +79,129 @@ def as_matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, orderings: int = 5, blocks: int = 8, dims: int = 8, seed: int = 7) -> DataFrame:
+def calibrated(x: np.ndarray, keys: list[np.ndarray], near: int, probes: int, recall: float) -> float:
+    """The share of the table on either side of a query that holds `recall` of its `near` best in at least one ordering."""
+    n = len(x)
+    asked = np.arange(0, n, max(1, n // probes))[:probes]
+    scores = x[asked] @ x.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    near = min(near, n - 1)
+    best = np.argpartition(-scores, near - 1, axis=1)[:, :near]
+    apart = np.full(best.shape, n)
+    for key in keys:
+        place = np.empty(n, np.int64)
+        place[np.argsort(key, kind="stable")] = np.arange(n)
+        apart = np.minimum(apart, np.abs(place[best] - place[asked][:, None]))
+    return (float(np.quantile(apart, recall)) + 1) / n
+
+
+def met(rows: np.ndarray, entries: np.ndarray, norms: np.ndarray, asked: np.ndarray, names: np.ndarray, at: np.ndarray, reach: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(queries, entries): what could be among the k best of each query's window, queries in order of their place."""
+    wide = rows.astype(np.float32)
+    # few enough queries at a time for their places to be near one another
+    size = int(np.clip(reach.max() * len(asked) // (4 * len(rows)), 1, 32))
+    for i in range(0, len(asked), size):
+        q, p, r = asked[i : i + size], at[i : i + size], reach[i : i + size]
+        low, high = max(0, int((p - r).min())), min(len(rows), int((p + r).max()))
+        if high <= low:
+            continue
+        scores = q @ wide[low:high].T
+        # half-precision components are within 2^-11 of their size, or 2^-25 where they are tiny
+        doubt = np.linalg.norm(q, axis=1)[:, None] * (norms[low:high] * 2.0**-10 + 2.0**-22)
+        keep = min(k, high - low)
+        edge = np.partition(scores - doubt, high - low - keep, axis=1)[:, high - low - keep]
+        which, row = np.nonzero(scores + doubt >= edge[:, None])
+        yield names[i : i + size][which], entries[low:high][row]
+
+
+def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, orderings: int = 24, dims: int = 8, recall: float = 0.92, sample: int = 16384, probes: int = 256, range_rows: int = 4096, seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found to each vector whose id is divisible by `every`."""
     v = F.col("v")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0))
     size = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    schema = "query_id long, rank int, vec_id long, score double"
     if size is None:
-        return vectors.sparkSession.createDataFrame([], schema)
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("v") == size["n"]).distinct()
     # equal vectors: the smallest k + 1 ids, cut down before they are shuffled
-    rank = Window.partitionBy("v").orderBy("id")
-    few = rows.withColumn("nth", F.row_number().over(rank)).where(F.col("nth") <= k + 1)
+    first = Window.partitionBy("v").orderBy("id")
+    few = rows.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k + 1)
     index = save(few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.min("id").alias("entry")), "ann-index")
     asked = save(rows.where(F.col("id") % every == 0).join(index.select("v", "entry"), "v").select("id", "entry"), "ann-queries")
-    radius, n = index.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))), F.count("*")).first()
-    per_block = -(-n // blocks)
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    n, radius, largest = index.agg(F.count("*"), F.max(norm), F.max(F.array_max(F.transform("v", F.abs)))).first()
+    radius = radius if np.isfinite(radius) else largest * size["n"] ** 0.5
+    drawn = index.orderBy(F.xxhash64("entry"), "entry").limit(sample).select("v").toArrow()
+    x = as_matrix(drawn.column("v").combine_chunks()) / radius
+    keys = [curve(x, 1.0, o, dims, seed) for o in range(orderings)]
+    share = calibrated(x, keys, max(1, round(k * len(x) / n)), probes, recall) if len(x) > 1 else 1.0
+    reach = min(n, int(share * n) + 1)
+    ranges = int(max(1, min(n // max(range_rows, 2 * reach), len(x) // 8)))
+    ordered = [np.sort(key) for key in keys]
+    cuts = [np.unique(key[[len(key) * i // ranges for i in range(1, ranges)]]) for key in ordered]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 4096):
-            x = as_matrix(b.column(0))
+        def out(o: int, zone, at, entry, span, data) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(o * ranges + zone, pa.int32()), pa.array(at), pa.array(entry), pa.array(span, pa.int64()), pa.array(data, pa.binary())], ["zone", "at", "entry", "reach", "data"])
+
+        for b in slices(batches, 2048):
+            y, entry, asks = as_matrix(b.column(0)) / radius, b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False)
+            half, full = [r.tobytes() for r in y.astype(np.float16)], [r.tobytes() for r in y.astype(np.float32)]
+            who = np.flatnonzero(asks)
             for o in range(orderings):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), o, np.int32)), pa.array(curve(x, radius, o, dims, seed)), b.column(1)], ["o", "at", "entry"])
-
-    placed = save(arrow_map(index.select("v", "entry"), place, "o int, at long, entry long"), "ann-placed")
-    # the rank on each curve, from counts of stretches of it: no curve is ever sorted in one task
-    stretch = F.shiftright("at", max(0, BITS * min(dims, size["n"] + 1) - 12))
-    placed = placed.withColumn("stretch", stretch)
-    before = placed.groupBy("o", "stretch").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(Window.partitionBy("o").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("c")
-    inner = Window.partitionBy("o", "stretch").orderBy("at", "entry")
-    ranked = placed.withColumn("r", F.row_number().over(inner)).join(before, ["o", "stretch"]).select("o", "entry", F.floor((F.col("r") - 1 + F.col("before")) / per_block).alias("block"))
-    wanted = asked.select("entry").distinct()
-    full = ranked.join(index.select("entry", "v", "ids"), "entry")
-    near = F.explode(F.array(*[F.col("block") + i for i in (-1, 0, 1)])).alias("block")
-    questions = ranked.join(wanted, "entry").join(index.select("entry", "v"), "entry").select("o", near, F.col("entry").alias("q"), F.col("v").alias("qv"))
-    # a block is met by its queries in slices of some hundred rows, so that neither side is ever held whole
-    deal = 16
-    sliced = full.withColumn("part", F.pmod(F.xxhash64("entry"), F.lit(deal))).groupBy("o", "block", "part").agg(F.collect_list(F.struct("v", "ids")).alias("rows"))
-    batches_ = questions.withColumn("group", F.pmod(F.xxhash64("q"), F.lit(deal))).groupBy("o", "block", "group").agg(F.collect_list(F.struct("q", "qv")).alias("questions"))
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1):
-            own, qs = b.column(0)[0].values, b.column(1)[0].values
-            x, ids = as_matrix(own.field("v")), own.field("ids")
-            q, y = qs.field("q").to_numpy(), as_matrix(qs.field("qv"))
-            scores = y @ x.T
-            take = min(k + 1, len(x))
-            top = np.argpartition(-scores, take - 1, axis=1)[:, :take]
-            out_q, out_id, out_s = [], [], []
-            lists = ids.to_pylist()
-            for i in range(len(q)):
-                # all that tie with the last one stay as well
-                edge = scores[i][top[i]].min() - 1e-9
-                for j in np.flatnonzero(scores[i] >= edge):
-                    exact = float(np.multiply(y[i], x[j]).cumsum()[-1])
-                    for e in lists[j]:
-                        out_q.append(q[i])
-                        out_id.append(e)
-                        out_s.append(exact)
-            yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_id, pa.int64()), pa.array(out_s, pa.float64())], ["q", "vec_id", "score"])
-
-    met = sliced.join(batches_, ["o", "block"]).select("rows", "questions")
-    found = save(arrow_map(met, best, "q long, vec_id long, score double").distinct(), "ann-found")
-    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    top = found.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k + 1).drop("nth")
-    answers = asked.join(top, F.col("entry") == F.col("q")).where("id <> vec_id")
-    last = Window.partitionBy("id").orderBy(F.desc("score"), "vec_id")
-    return answers.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select(F.col("id").alias("query_id"), F.col("rank").cast("int"), "vec_id", "score")
+                at = curve(y, 1.0, o, dims, seed)
+                zone = np.searchsorted(cuts[o], at, "right")
+                yield out(o, zone, at, entry, np.full(len(at), -1), half)
+                # a query also goes to the ranges before and after, as far as its window is likely to go into them
+                near = np.searchsorted(ordered[o], at[who], "right") / len(ordered[o]) * n
+                edges = np.concatenate([[0], np.searchsorted(ordered[o], cuts[o], "left") / len(ordered[o]) * n, [n]])
+                for step in (-1, 0, 1):
+                    to = zone[who] + step
+                    ok = (to >= 0) & (to <= len(cuts[o]))
+                    border = edges[np.clip(to + (step < 0), 0, len(edges) - 1)]
+                    left = np.ceil(reach - (np.abs(near - border) if step else 0)).astype(np.int64) if step else np.full(len(who), reach)
+                    ok &= left > 0
+                    if ok.any():
+                        yield out(o, to[ok], at[who][ok], entry[who][ok], left[ok], [full[i] for i in who[ok]])
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+            at, entry, span = (np.concatenate([p[i] for p in parts]) for i in range(3))
+            data = [d for p in parts for d in p[3]]
+            stored, asking = np.flatnonzero(span < 0), np.flatnonzero(span >= 0)
+            if not len(stored) or not len(asking):
+                return
+            held = np.frombuffer(b"".join(data[i] for i in stored), np.float16).reshape(len(stored), -1)
+            qs = np.frombuffer(b"".join(data[i] for i in asking), np.float32).reshape(len(asking), -1)
+            norms = np.linalg.norm(held.astype(np.float32), axis=1)
+            for q, e in met(held, entry[stored], norms, qs, entry[asking], np.searchsorted(at[stored], at[asking]), span[asking], k + 1):
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(e)], ["q", "entry"])
+
+        parts, zone = [], None
+        for b in batches:  # sorted by zone and place; a zone is a range of one curve
+            zones = b.column(0).to_numpy()
+            bounds = np.flatnonzero(np.diff(zones)) + 1
+            for low, high in zip([0, *bounds], [*bounds, len(zones)], strict=True):
+                if low == high:
+                    continue
+                if zone is not None and zones[low] != zone:
+                    yield from done(parts)
+                    parts = []
+                zone, cut = zones[low], b.slice(low, high - low)
+                parts.append((*(cut.column(i).to_numpy() for i in (1, 2, 3)), cut.column(4).to_pylist()))
+        if parts:
+            yield from done(parts)
+
+    flagged = index.join(asked.select(F.col("entry").alias("of")).distinct(), F.col("entry") == F.col("of"), "left").select("v", "entry", F.col("of").isNotNull().alias("asks"))
+    zoned = arrow_map(flagged, place, "zone int, at long, entry long, reach long, data binary")
+    total = orderings * ranges
+    zoned = zoned.repartition(int(min(total, 20_000)), "zone").sortWithinPartitions("zone", "at", "reach")
+    pairs = save(arrow_map(zoned, windows, "q long, entry long").distinct(), "ann-pairs")
+    mine = index.select(F.col("entry").alias("q"), F.col("v").alias("qv"))
+    product = F.aggregate(F.zip_with("v", "qv", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    scored = pairs.join(index, "entry").join(mine, "q").select("q", F.explode("ids").alias("id"), product.alias("score"))
+    best = scored.withColumn("nth", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("nth") <= k + 1)
+    listed = best.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("nth", F.col("id").alias("vec_id"), "score"))).alias("found"))
+    others = F.slice(F.filter("found", lambda f: f["vec_id"] != F.col("id")), 1, k)
+    answers = asked.join(listed, F.col("entry") == F.col("q")).select(F.col("id").alias("query_id"), F.posexplode(others).alias("pos", "f"))
+    return answers.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), "f.vec_id", "f.score")
