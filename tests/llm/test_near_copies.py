@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from veilframe.llm import near_copies
+from veilframe.llm import simhash
 
 WORDS = [f"w{i}" for i in range(5000)]
 
@@ -39,13 +39,13 @@ def test_pairs_down_to_the_similarity_are_linked(spark):
         rows.append((10 * i + 1, " ".join(edited(rng, words, [50]))))  # 5 of 96 shingles: 0.90
         rows.append((10 * i + 2, " ".join(edited(rng, words, [30, 70])) if i % 2 else " ".join(words[:82])))  # 0.81
         rows.append((10 * i + 3, " ".join(edited(rng, words, [20, 40, 60, 80]))))  # 0.66 or less to the first
-    got = {r.doc_id: r.component_id for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), recall=0.9999).collect()}
     assert got == brute(rows)
     assert all(got[10 * i + 1] == got[10 * i + 2] == 10 * i and got[10 * i + 3] == 10 * i + 3 for i in range(40))
 
 
 def test_crowds_are_compared_whole(spark, monkeypatch):
-    monkeypatch.setattr(near_copies, "PAIRS", 4)
+    monkeypatch.setattr(simhash, "PAIRS", 4)
     rng = np.random.default_rng(9)
     rows, base = [], [str(x) for x in rng.choice(WORDS, 120)]
     # a crowd round one text: some near it, some only near one another by pairs or chains
@@ -54,15 +54,15 @@ def test_crowds_are_compared_whole(spark, monkeypatch):
         rows.append((3 * i, " ".join(far)))
         rows.append((3 * i + 1, " ".join(edited(rng, far, [119 - i % 3]))))
         rows.append((3 * i + 2, " ".join(edited(rng, base, [int(rng.integers(120))]))))
-    got = {r.doc_id: r.component_id for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), recall=0.9999).collect()}
     assert got == brute(rows)
 
 
 def test_null_ids_and_texts(spark):
     rows = [(3, None, 1), (2, " \t", 1), (None, "", 1), (5, "One two", 1), (5, "one two", 1), (None, "lost words here", 1), (None, "lost words here", 1)]
-    got = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string, fp int")).collect()
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, fp int")).collect()
     assert sorted((r.doc_id or 0, (r.text or "").lower().strip()) for r in got) == [(0, "lost words here"), (2, ""), (5, "one two")]
-    assert near_copies.keep_one(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+    assert simhash.keep_one(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
 def test_the_stage_drops_a_copy_with_one_changed_word(spark):

@@ -1,18 +1,30 @@
-"""SimHash near-duplicates: fingerprints of word shingles, linked when they differ in few bits.
+"""SimHash near-duplicates: fingerprints of word shingles, linked when they differ in few bits, or when the sets of
+shingles behind them are similar.
 
-Pigeonhole: 64 bits are cut into `distance + 2` blocks; two fingerprints within `distance` agree on at least two whole
-blocks, so all such pairs meet on some pair of blocks (a key of about 32 bits), where Hamming distance is verified.
-Only distinct fingerprints take part, so exact copies cost one row. A key that more than PAIRS fingerprints share is
-not paired off: its members are instead joined on the points at distance one or less (in the bits that the key leaves
-open). Two of them share such a point exactly when they are within two bits, so this loses no link, and it takes rows
-in proportion to the members.
+near_duplicates links 64-bit fingerprints at `distance` bits or less. Pigeonhole: 64 bits are cut into `distance + 2`
+blocks; two fingerprints within `distance` agree on at least two whole blocks, so all such pairs meet on some pair of
+blocks (a key of about 32 bits), where Hamming distance is verified. Only distinct fingerprints take part, so exact
+copies cost one row. A key that more than PAIRS fingerprints share is not paired off: its members are instead joined on
+the points at distance one or less (in the bits that the key leaves open). Two of them share such a point exactly when
+they are within two bits, so this loses no link, and it takes rows in proportion to the members.
 
-Cases: null text is empty text; texts without words have fingerprint zero and link like any other; rows with a null
-id take part and never name a component (a component of nothing else has null); repeated rows link to each other.
+near_copies links sets of shingles with a Jaccard similarity of at least `similarity`. At 0.8 some ten of 64 bits differ,
+which no few blocks of 64 bits survive, so the fingerprint is made longer and cut into as many blocks as it takes for a
+pair at exactly `similarity` to agree on a whole one with a chance of `recall` (closer pairs do so practically always).
+A block is as long as the number of rows asks for, so pairs that meet by chance stay in proportion to the rows. Pairs
+on a block are verified by Hamming distance (64 further bits, 4 standard deviations wide), then on the sets themselves.
+Sets are compared along the best partner of each first, then only where a pair lies in two components, so a group of
+copies costs one comparison a member. The members of a block that more than PAIRS share first meet one of them; once
+components are known, those outside the largest component of the block meet all members of other components.
+
+Cases: null text is empty text; texts without words have fingerprint zero and the empty set, and link like any other;
+rows with a null id take part and never name a component (a component of nothing else has null); repeated rows link to
+each other; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -106,19 +118,142 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     return rows.join(named.drop("least").join(smallest, "root"), "fp").select(id_col, "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", size: int = 3, distance: int = 2) -> DataFrame:
-    """docs with one row of each component: a row with its smallest id (of a component without ids, any row).
+def layout(n: int, similarity: float, recall: float) -> tuple[int, int]:
+    """Bits of a block, and how many blocks it takes for n rows."""
+    bits = max(12, math.ceil(math.log2(max(2, n))))
+    # equally large sets at this similarity have this cosine; a bit differs with the angle's share of a half turn
+    same = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - same**bits)))
+
+
+def shingle_set(text: bytes, size: int) -> np.ndarray:
+    """The distinct shingles of a text, sorted, as 32 bits of their hashes."""
+    parts = [h.astype(np.uint32) for h in shingle_hashes(text.lower().split(), size)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint32)
+
+
+def wide_bits(shingles: np.ndarray, words: int) -> np.ndarray:
+    """64 * words fingerprint bits of a set: 1 where more than half of the shingles' hashes have it."""
+    ones, rng = np.zeros(words * 64, np.int64), np.random.default_rng(29)
+    flips, factors = rng.integers(0, 1 << 64, words, np.uint64), rng.integers(0, 1 << 64, words, np.uint64) | np.uint64(1)
+    lanes = np.uint64(0x0101010101010101)
+    for low in range(0, len(shingles), 255 * 8):
+        x = (shingles[low : low + 255 * 8].astype(np.uint64)[:, None] ^ flips) * factors
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(29)
+        # each bit of a byte is counted in a byte of its own, over 255 rows at most
+        parts = [np.add.reduceat((x >> np.uint64(k)) & lanes, np.arange(0, len(x), 255), axis=0) for k in range(8)]
+        counts = np.stack([p.view(np.uint8).reshape(len(p), words, 8) for p in parts], axis=3)
+        ones += counts.sum(axis=0, dtype=np.int64).reshape(-1)
+    return ones * 2 > len(shingles)
+
+
+def sketches(docs: DataFrame, text_col: str, keep: tuple[str, ...], size: int, bits: int, blocks_: int, name: str, full: bool = True) -> DataFrame:
+    """The columns keep of docs, a long that stands for the shingle set, and (if full) its members, their number, 64 bits
+    to verify with and the keys of all blocks."""
+    words = 1 + -(-bits * blocks_ // 64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = np.uint64(1) << np.arange(bits, dtype=np.uint64)
+        tags = np.arange(blocks_, dtype=np.uint64) << np.uint64(bits)
+        for b in slices(batches, 128):
+            own = [shingle_set(t, size) for t in utf8(b.column(b.num_columns - 1))]
+            cols, names = [pa.array([xxhash.xxh64_intdigest(s.tobytes()) for s in own], pa.uint64()).view(pa.int64())], [name]
+            if full:
+                all_bits = [wide_bits(s, words) for s in own]
+                check = np.array([np.packbits(x[:64]).view(np.uint64)[0] for x in all_bits], np.uint64).view(np.int64)
+                keys = [((x[64 : 64 + bits * blocks_].reshape(blocks_, bits) @ powers) | tags).view(np.int64) for x in all_bits]
+                cols += [pa.array([s.tobytes() for s in own], pa.binary()), pa.array(map(len, own), pa.int32()), pa.array(check), pa.array(keys, pa.list_(pa.int64()))]
+                names += ["members", "n", "bits", "keys"]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], [*b.schema.names[:-1], *names])
+
+    text = fresh(keep, "shingled_text")
+    picked = docs.select(*keep, F.col(text_col).alias(text))
+    more = ["members binary", "n int", "bits long", "keys array<long>"] if full else []
+    return arrow_map(picked, run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]), f"`{name}` long", *more]))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs (a, b) whose sets (node, members) are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 256):
+            good = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= similarity * (len(x) + len(y) - both))
+            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    left, right = (sets.select(F.col("node").alias(s), F.col("members").alias(f"members_{s}")) for s in ("a", "b"))
+    return arrow_map(pairs.join(left, "a").join(right, "b").select("a", "b", "members_a", "members_b"), run, "a long, b long")
+
+
+def similar(sets: DataFrame, similarity: float) -> DataFrame:
+    """sets (node, members, n, bits, keys), distinct nodes -> (node, root): the components of all similar pairs that share a
+    block. Nodes without links don't appear."""
+    differ = 64 * math.acos(2 * similarity / (1 + similarity)) / math.pi
+    most = math.ceil(differ + 4 * math.sqrt(differ * (1 - differ / 64)))
+    keyed = sets.select("node", "n", "bits", F.explode("keys").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
+    keyed = save(keyed.join(sizes, "key").select("key", "node", "n", "bits", (F.col("many") > PAIRS).alias("crowded")), "block-keys")
+    few, crowded = keyed.where("not crowded"), keyed.where("crowded")
+    heads = crowded.groupBy("key").agg(F.min_by(F.struct("node", "n", "bits"), F.xxhash64("node", "key")).alias("h")).select("key", "h.*")
+    side = lambda df, s: df.select("key", *[F.col(c).alias(f"{c}_{s}") for c in df.columns if c in ("node", "n", "bits", "root")])
+    apart = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b")))
+    # sets of very different sizes cannot be similar
+    alike = (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")) & (apart <= most)
+    pair = [F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")]
+    within = side(few, "a").join(side(few, "b"), "key").where((F.col("node_a") < F.col("node_b")) & alike).select(*pair, apart.alias("d"))
+    to_head = side(heads, "a").join(side(crowded, "b"), "key").where((F.col("node_a") != F.col("node_b")) & alike).select(*pair, apart.alias("d"))
+    pairs = save(within.unionAll(to_head).distinct(), "near-pairs")
+    either = pairs.select("a", "d", F.col("b").alias("to")).unionAll(pairs.select("b", "d", "a"))
+    best = either.groupBy("a").agg(F.min(F.struct("d", "to")).alias("m")).select(F.least("a", "m.to").alias("a"), F.greatest("a", "m.to").alias("b")).distinct()
+    best = save(best, "best-pairs")
+    edges = save(verified(best, sets, similarity), "near-links")
+    roots = save(components(edges), "near-roots")
+    rooted = lambda df, c: df.join(roots.select(F.col("node").alias(f"of_{c}"), F.col("root").alias(f"r_{c}")), F.col(c) == F.col(f"of_{c}"), "left").withColumn(f"r_{c}", F.coalesce(f"r_{c}", c)).drop(f"of_{c}")
+    rest = rooted(rooted(pairs.select("a", "b"), "a"), "b").where("r_a <> r_b").select("a", "b")
+    placed = save(rooted(crowded.select("key", "node", "n", "bits"), "node").withColumnRenamed("r_node", "root"), "crowded")
+    parts = placed.groupBy("key", "root").agg(F.count("*").alias("m"))
+    main = parts.groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
+    mixed = placed.join(main, "key")
+    outside = side(mixed.where("root <> main"), "a").join(side(mixed, "b"), "key").where((F.col("root_a") != F.col("root_b")) & alike).select(*pair)
+    rest = save(rest.unionAll(outside).distinct().join(best, ["a", "b"], "left_anti"), "other-pairs")
+    more = save(verified(rest, sets, similarity), "near-links")
+    return roots if more.isEmpty() else components(edges.unionAll(more))
+
+
+def near_copies(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", size: int = 5, similarity: float = 0.8, recall: float = 0.95) -> DataFrame:
+    """One row a row of docs: id_col, fp (long, the shingle set), root (the component's name), component_id (its smallest id)."""
+    bits, blocks_ = layout(docs.count(), similarity, recall)
+    rows = save(sketches(docs, text_col, (id_col,), size, bits, blocks_, "fp"), "sketches")
+    prints = save(rows.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("copies")), "prints")
+    # of the rows with one set, the first by id has it (by chance where ids are null or repeated)
+    chosen = rows.join(prints.withColumnRenamed("fp", "of"), (F.col("fp") == F.col("of")) & F.col(id_col).eqNullSafe(F.col("least")))
+    once = chosen.where("copies = 1").unionByName(chosen.where("copies > 1").dropDuplicates(["fp"]))
+    sets = save(once.select(F.col("fp").alias("node"), "members", "n", "bits", "keys"), "sets")
+    named = prints.join(similar(sets, similarity), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = save(named, "named")
+    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.select(id_col, "fp").join(named.drop("least").join(smallest, "root"), "fp").select(id_col, "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", size: int = 5, similarity: float = 0.8, recall: float = 0.95) -> DataFrame:
+    """docs with one row of each component of near copies: a row with its smallest id (of a component without ids, any row).
 
     Only narrow rows are linked; the texts are shuffled once, by id.
     """
-    groups = save(near_duplicates(docs, text_col=text_col, id_col=id_col, size=size, distance=distance), "groups")
-    named = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("kept_id"), F.lit(1).alias("one")).groupBy("kept_id").agg(F.count("*").alias("rows_of_id"))
-    kept = docs.join(named.where("rows_of_id = 1").select("kept_id"), docs[id_col] == F.col("kept_id"), "left_semi")
-    repeated = docs.join(named.where("rows_of_id > 1").select("kept_id"), docs[id_col] == F.col("kept_id"), "left_semi").dropDuplicates([id_col])
-    if groups.where(F.col("component_id").isNull()).isEmpty():
+    groups = save(near_copies(docs, text_col=text_col, id_col=id_col, size=size, similarity=similarity, recall=recall), "groups")
+    key, fp, root = (fresh(docs.columns, x) for x in ("kept_id", "fp", "root"))
+    named = groups.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias(key)).agg(F.count("*").alias("rows_of_id"))
+    once, again = named.where("rows_of_id = 1").select(key), named.where("rows_of_id > 1").select(key)
+    kept = docs.join(once, docs[id_col] == once[key], "left_semi")
+    repeated = docs.join(again, docs[id_col] == again[key], "left_semi").dropDuplicates([id_col])
+    nameless = groups.where(F.col("component_id").isNull()).select(F.col("fp").alias(fp), F.col("root").alias(root)).distinct()
+    if nameless.isEmpty():
         return kept.unionByName(repeated)
-    nameless = groups.where(F.col("component_id").isNull()).select("fp", "root").distinct()
-    own = [fresh(docs.columns, x) for x in ("fp", "root")]
-    bare = fingerprints(docs.where(F.col(id_col).isNull()), text_col, tuple(docs.columns), size, own[0])
-    bare = bare.join(nameless.select(F.col("fp").alias(own[0]), F.col("root").alias(own[1])), own[0]).dropDuplicates([own[1]]).select(*docs.columns)
+    bare = sketches(docs.where(F.col(id_col).isNull()), text_col, tuple(docs.columns), size, 1, 1, fp, full=False)
+    bare = bare.join(nameless, fp).dropDuplicates([root]).select(*docs.columns)
     return kept.unionByName(repeated).unionByName(bare)

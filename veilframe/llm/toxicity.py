@@ -5,8 +5,8 @@ labels which no sentence explains, are combined by noisy-or. Only document label
 blame to the sentences, which afterwards show where the offence is.
 
 A word has features of its own and of its beginnings and ends (4 to 6 letters), so unseen forms of a known stem count.
-Training takes at most `most_rows` labelled documents (picked by a hash of the id; texts over `most_chars` characters
-are left to others) to the driver, a bound that does not grow with the corpus. Scoring covers every whole text.
+Training takes at most `most_rows` labels (picked by a hash of the id) and their whole texts to one task, a bound that
+does not grow with the corpus. Scoring covers every whole text.
 
 Cases: null text is empty; a text without words has no sentence and scores the leak alone; rows with a null or unknown
 label, or a null id, teach nothing; several labels of one id teach once each; repeated rows score alike; if nothing can
@@ -16,7 +16,7 @@ be learnt (no labels, or one class only) every text scores the share of label 1,
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -81,17 +81,18 @@ class Model:
         return float(1 - (1 - self.leak) * np.prod(1 - p)), p.tolist()
 
 
-def fit(texts: list[str], labels: list[int], *, rounds: int = 300, rate: float = 0.3, l2: float = 2e-5, least_docs: int = 4, least_z: float = 3.0) -> Model:
-    """Noisy-or multiple-instance logistic model, by Adam over all sentences at once."""
-    y = np.array(labels, np.float64)
-    if not len(y) or y.min() == y.max():
-        return Model(leak=float(y.mean()) if len(y) else 0.0)
+def fit(texts: Iterable[str], labels: list[int], *, rounds: int = 300, rate: float = 0.3, l2: float = 2e-5, least_docs: int = 4, least_z: float = 3.0) -> Model:
+    """Noisy-or multiple-instance logistic model, by Adam over all sentences at once. Texts are read once, one by one;
+    labels may grow with them."""
     # words as numbers, their features as slots of a table: texts are held once and no feature is held as a string
     numbers: dict[str, int] = {}
     bags: list[list[np.ndarray]] = []
     for text in texts:
         found = ({*WORD.findall(text[a:e].lower())} for a, e in sentences(text))
         bags.append([np.array([numbers.setdefault(w, len(numbers)) for w in sorted(f)], np.int32) for f in found if f])
+    y = np.array(labels, np.float64)
+    if not len(y) or y.min() == y.max():
+        return Model(leak=float(y.mean()) if len(y) else 0.0)
     per_word = [[xxhash.xxh32_intdigest(f) % SLOTS for f in word_features(w)] for w in numbers]
     sizes = np.array([len(s) for s in per_word], np.int64)
     begin = np.concatenate([[0], np.cumsum(sizes)])
@@ -147,14 +148,31 @@ def fit(texts: list[str], labels: list[int], *, rounds: int = 300, rate: float =
 
 
 
-def train(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", folds: int = 5, most_rows: int = 6000, most_chars: int = 100_000) -> Model:
-    """Fit on labelled rows outside the held-out fold (crc32 of the id as text, mod folds, is 0)."""
+def train(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", folds: int = 5, most_rows: int = 6000) -> Model:
+    """Fit on labelled rows outside the held-out fold (crc32 of the id as text, mod folds, is 0), in one task of a worker:
+    the driver gets the weights alone."""
     taught = labels.where(F.col(label_col).isin(0, 1) & (F.crc32(F.col(id_col).cast("string")) % folds != 0)).select(F.col(id_col).alias("taught_id"), F.col(label_col).cast("int").alias("taught_label"))
-    taught = taught.orderBy(F.xxhash64("taught_id"), "taught_id", "taught_label").limit(most_rows)
-    texts = docs.select(F.col(id_col).alias("text_id"), F.col(text_col).alias("taught_text")).where(F.char_length("taught_text") <= most_chars)
-    rows = texts.join(F.broadcast(taught), F.col("text_id") == F.col("taught_id")).select("text_id", "taught_text", "taught_label").limit(2 * most_rows).collect()
-    rows.sort(key=lambda r: (r[0], r[2], r[1]))
-    return fit([r[1] for r in rows], [r[2] for r in rows])
+    taught = taught.distinct().orderBy(F.xxhash64("taught_id"), "taught_id", "taught_label").limit(most_rows)
+    texts = docs.select(F.col(id_col).alias("text_id"), F.col(text_col).alias("taught_text"))
+    rows = texts.join(F.broadcast(taught), F.col("text_id") == F.col("taught_id"))
+    rows = rows.orderBy(F.xxhash64("text_id"), "text_id", "taught_label", "taught_text").limit(2 * most_rows).select("taught_text", "taught_label")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: list[int] = []
+
+        def texts_() -> Iterator[str]:
+            for b in batches:
+                for t, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    given.append(label)
+                    yield t or ""
+
+        m = fit(texts_(), given)
+        names = ["", " ", *m.weights]
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([m.bias, m.leak, *m.weights.values()], pa.float64())], ["feature", "weight"])
+
+    found = arrow_map(rows.repartition(1).sortWithinPartitions("taught_label", "taught_text"), run, "feature string, weight double").collect()
+    weights = {r.feature: r.weight for r in found}
+    return Model(weights.pop("", 0.0), weights.pop(" ", 0.0), weights)
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.5, names: tuple[str, str] = ("score", "offending")) -> DataFrame:
