@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilframe.llm import mixing, near_copies, packing, passages, toxicity
+from veilframe.llm import mixing, packing, passages, simhash, toxicity
 from veilframe.llm.common import save, table
 from veilframe.llm.queries import tokenizer_path
 
@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: five-word shingles, Jaccard similarity 0.8 or more."""
-    return near_copies.keep_one(docs)
+    return simhash.keep_one(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
