@@ -7,16 +7,18 @@ restaurant, all customers of a dish leave and are seated again one by one, given
 last sweep left them. After a burn-in, predictive probabilities of the sweeps are averaged, and a text's score is the
 sum of their logarithms.
 
-How it runs. Texts are kept as blocks of some million tokens: a dictionary of 64-bit word hashes and codes into it. All
-that blocks must know of one another goes through one primitive, totals by key: each block sends its partial counts of
-its distinct keys, spread by hash over buckets; a bucket adds them up and answers each block in its own order. Bigrams
-take part once (their counts never change); words take part once a sweep. The seats of a dish are drawn from hashes of the bigram and
-the sweep, so every block that meets a bigram knows its tables without asking; one owner a bigram adds them to the
-sums. A frequent word or bigram is one entry a block, so no bucket is hot, and all tables grow with the corpus.
+How it runs. Texts are kept as blocks of some million tokens: the distinct words of a block, its distinct bigrams as
+pairs of places among these, and the bigram of each token. All that blocks must know of one another goes through one
+primitive, totals by key: each block sends its partial counts of its distinct keys, spread by hash over buckets; a bucket
+adds them up and answers each block in its own order. Counts of words and bigrams are asked for once and kept with the
+blocks, which stay where they are; a sweep asks for totals of words only. A bigram is seated in the one block that owns
+it; where the last pass needs its tables elsewhere, they are drawn again from the same hashes of bigram and sweep. A
+frequent word or bigram is one entry a block, so no bucket is hot, and all tables grow with the corpus.
 
 Approximations, stated: restaurants are resampled in parallel; a blocked seating is taken without a Metropolis
-correction; past SINGLY customers of a dish, seats are drawn for a growing number of customers at a time, by their
-expected number rounded at random. Word and bigram hashes are 64 bits; a collision would mix two counts.
+correction; customers sit down n / 64 at a time (one by one at first), n being those of the dish that already sit, each
+such group with the chance of a new table that its first member has. Word and bigram hashes are 64 bits; a collision
+would mix two counts.
 
 Cases: null text is empty (its end is still scored); rows with a null id are training text; repeated rows count each;
 without training text all words are unknown; other columns are not read.
@@ -39,10 +41,12 @@ from veilframe.llm.common import arrow_map, save, slices, utf8
 
 BLOCK_TOKENS = 1_000_000
 BUCKET_KEYS = 1_000_000
-SINGLY = 64
+GROUPS = 64
 END, START = np.uint64(1), np.uint64(2)
 MEMO = 1_000_000
-BLOCK_SCHEMA = "block long, ids array<long>, train binary, lens binary, words binary, codes binary"
+BLOCK_SCHEMA = "block long, ids array<long>, train binary, lens binary, words binary, word_counts binary, pairs binary, pair_counts binary, bigrams binary"
+#: What the counts of all blocks add to a block: of its words; of its bigrams, and which it owns.
+KNOWN = ["words", "word_totals", "pairs", "pair_totals", "own"]
 UP_SCHEMA = "bucket int, block long, keys binary, a binary, b binary"
 DOWN_SCHEMA = "block long, step int, bucket int, data binary, stats array<double>"
 
@@ -68,16 +72,43 @@ def uniform(keys: np.ndarray, *salt: int) -> np.ndarray:
     return ((keys >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
 
 
+def binomial(n: np.ndarray, p: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """The binomial draw at the quantile u: by its distribution where few are expected, by the normal limit elsewhere."""
+    mean = n * p
+    z = np.sqrt(2) * erf_inverse(2 * u - 1)
+    out = np.clip(np.rint(mean + z * np.sqrt(mean * (1 - p))), 0, n)
+    few = np.flatnonzero(mean < 16)
+    m, q, left = n[few].astype(np.float64), p[few], u[few].copy()
+    term, k = np.exp(m * np.log1p(-q)), np.zeros(len(few))
+    for i in range(64):
+        over = left > term
+        if not over.any():
+            break
+        left = np.where(over, left - term, left)
+        k += over
+        term = np.where(over, term * np.maximum(m - i, 0) / (i + 1) * q / (1 - q), np.inf)
+    out[few] = np.minimum(k, m)
+    return out.astype(np.int64)
+
+
+def erf_inverse(x: np.ndarray) -> np.ndarray:
+    """Winitzki's closed form; errors under 0.002."""
+    a, log = 0.147, np.log1p(-np.clip(x, -1 + 1e-15, 1 - 1e-15) ** 2)
+    b = 2 / (np.pi * a) + log / 2
+    return np.sign(x) * np.sqrt(np.sqrt(b * b - log / a) - b)
+
+
 def seat(counts: np.ndarray, fresh: np.ndarray, discount: float, keys: np.ndarray, salt: int) -> np.ndarray:
-    """Tables of each dish after its `counts` customers sat down one by one: a new table with weight fresh, one of the
-    dish's own with its customers less the discounts."""
+    """Tables of each dish after its `counts` customers sat down: a new table with weight fresh, one of the dish's own
+    with its customers less the discounts."""
     tables = np.minimum(counts, 1).astype(np.int64)
     n, active, step = np.ones(len(counts), np.int64), np.flatnonzero(counts > 1), 0
     while len(active):
-        more = np.minimum(counts[active] - n[active], np.where(n[active] < SINGLY, 1, n[active] // 8))
-        p = fresh[active] / (fresh[active] + n[active] - discount * tables[active])
-        drawn = np.floor(more * p + uniform(keys[active], salt, step)).astype(np.int64)
-        tables[active] += np.minimum(drawn, more)
+        own, sit = keys[active], n[active]
+        more = np.minimum(counts[active] - sit, np.maximum(1, sit // GROUPS))
+        p = fresh[active] / (fresh[active] + sit - discount * tables[active])
+        u = uniform(own, salt, step)
+        tables[active] += (u < p) if more.max() == 1 else np.where(more == 1, u < p, binomial(more, np.minimum(p, 1 - 1e-12), u))
         n[active] += more
         active = active[n[active] < counts[active]]
         step += 1
@@ -102,34 +133,42 @@ class Params:
 
 
 class Block:
-    """One block with what its bigrams are; derived anew wherever it is needed."""
-
-    def __init__(self, row: dict, bigrams: bool = True):
-        self.ids, self.number = row["ids"], row["block"]
-        train, lens = np.frombuffer(row["train"], np.uint8).astype(bool), np.frombuffer(row["lens"], np.uint32).astype(np.int64)
-        codes = spread(row["codes"], np.uint32)
-        self.hashes = np.concatenate([np.frombuffer(row["words"], np.uint64), [END, START]])
-        k = len(self.hashes)
-        ends = np.cumsum(lens + 1) - 1
-        self.starts = np.concatenate([[0], ends[:-1] + 1]).astype(np.int64)
-        self.w = np.empty(len(codes) + len(lens), np.int64)
-        inside = np.ones(len(self.w), bool)
-        inside[ends] = False
-        self.w[inside], self.w[ends] = codes, k - 2
-        self.train, self.learnt, self.lens = train, np.repeat(train, lens + 1), lens
-        if bigrams:
-            u = np.empty_like(self.w)
-            u[1:] = self.w[:-1]
-            u[self.starts] = k - 1
-            pairs, self.bigram = np.unique(u * k + self.w, return_inverse=True)
-            self.u, self.v = pairs // k, pairs % k
-            self.keys = scramble(self.hashes[self.u] * np.uint64(0x9E3779B97F4A7C15) + scramble(self.hashes[self.v]))
-            self.counts = np.bincount(self.bigram[self.learnt], minlength=len(pairs))
-
-    def word_counts(self) -> np.ndarray:
-        out = np.bincount(self.w[self.learnt], minlength=len(self.hashes))
-        out[-1] = self.train.sum()
-        return out
+    """A block's words and bigrams, and what the other blocks say of them, as far as the row holds it."""
+
+    def __init__(self, row: dict):
+        self.number = row["block"]
+        self.hashes = np.frombuffer(row["words"], np.uint64)
+        pairs = spread(row["pairs"], np.uint32).astype(np.int64).reshape(2, -1)
+        self.u, self.v = pairs
+        self.keys = scramble(self.hashes[self.u] * np.uint64(0x9E3779B97F4A7C15) + scramble(self.hashes[self.v]))
+        if row.get("own") is not None:
+            self.totals, self.own = spread(row["pair_totals"], np.uint32).astype(np.int64), spread(row["own"], np.uint8)
+            self.word_totals = spread(row["word_totals"], np.uint32)
+
+
+def described(ids: list, train: list, lens: list, hashes: list[np.ndarray], number: int) -> dict:
+    """A block row: END is the last but one of its words, START the last."""
+    flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    words, codes = np.unique(flat, return_inverse=True)
+    lens_, train_ = np.array(lens, np.int64), np.array(train, bool)
+    k = len(words) + 2
+    ends = np.cumsum(lens_ + 1) - 1
+    w = np.empty(len(codes) + len(lens_), np.int64)
+    inside = np.ones(len(w), bool)
+    inside[ends] = False
+    w[inside], w[ends] = codes, k - 2
+    u = np.empty_like(w)
+    u[1:] = w[:-1]
+    u[np.concatenate([[0], ends[:-1] + 1])] = k - 1
+    pairs, bigram = np.unique(u * k + w, return_inverse=True)
+    learnt = np.repeat(train_, lens_ + 1)
+    word_counts = np.bincount(w[learnt], minlength=k)
+    word_counts[-1] = train_.sum()
+    small = lambda x: squeeze(x.astype(np.uint32))
+    return {
+        "block": number, "ids": ids, "train": train_.astype(np.uint8).tobytes(), "lens": small(lens_), "words": np.concatenate([words, [END, START]]).astype(np.uint64).tobytes(), "word_counts": small(word_counts),
+        "pairs": small(np.concatenate([pairs // k, pairs % k])), "pair_counts": small(np.bincount(bigram[learnt], minlength=len(pairs))), "bigrams": small(bigram),
+    }
 
 
 def dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -201,10 +240,9 @@ def tokenised(docs: DataFrame, text_col: str, id_col: str, folds: int) -> DataFr
         ids, train, lens, hashes, held, made = [], [], [], [], 0, 0
 
         def flush(p: int) -> pa.RecordBatch:
-            words, codes = np.unique(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), return_inverse=True)
-            row = [(p << 32) + made], [ids], [np.array(train, np.uint8).tobytes()], [np.array(lens, np.uint32).tobytes()], [words.tobytes()], [squeeze(codes.astype(np.uint32))]
-            kinds = pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary()
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], ["block", "ids", "train", "lens", "words", "codes"])
+            row = described(ids, train, lens, hashes, (p << 32) + made)
+            kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 7]
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row.values(), kinds, strict=True)], list(row))
 
         p = 0
         for b in slices(batches):
@@ -230,25 +268,35 @@ def tokenised(docs: DataFrame, text_col: str, id_col: str, folds: int) -> DataFr
     return arrow_map(picked, run, BLOCK_SCHEMA)
 
 
+def drop_path(spark, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def score(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", folds: int = 10, burn_in: int = 1, samples: int = 2) -> DataFrame:
-    """id_col, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
+    """id_col, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of every document."""
     spark = docs.sparkSession
-    name = f"hpylm_blocks_{uuid.uuid4().hex}"
-    fresh = save(tokenised(docs, text_col, id_col, folds), "hpylm")
-    made = fresh.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("words") / 8), F.lit(0)), F.coalesce(F.sum(F.octet_length("codes")), F.lit(0))).first()
-    if made[0] == 0:
-        return spark.createDataFrame([], f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out_schema = f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    told = lambda df: df.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)) + F.count("*")).first()[0]
     # blocks are looked at again and again: bucketed by number, they stay where they are and only answers move
-    parts = int(min(made[0], 4096))
-    fresh.write.bucketBy(parts, "block").saveAsTable(name)
-    blocks = spark.table(name)
+    parts = int(min(max(1, size // (5 * BLOCK_TOKENS)), 4096))
+    names = [f"hpylm_{k}_{uuid.uuid4().hex}" for k in ("read", "known")]
+    tokenised(docs, text_col, id_col, folds).write.bucketBy(parts, "block").saveAsTable(names[0])
+    read = spark.table(names[0])
+    made = read.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("words") / 8), F.lit(0)), F.coalesce(F.sum(F.octet_length("bigrams")), F.lit(0))).first()
+    if made[0] == 0:
+        spark.sql(f"DROP TABLE {names[0]}")
+        return told(spark.createDataFrame([], out_schema))
     w_buckets = int(max(1, -(-made[1] // BUCKET_KEYS)))
     b_buckets = int(max(1, -(-made[2] // BUCKET_KEYS)))  # about a byte or two a token
 
-    def from_blocks(fn, schema: str, *known: DataFrame) -> DataFrame:
+    def from_blocks(blocks: DataFrame, columns: list[str], fn, schema: str, *known: DataFrame) -> DataFrame:
         """fn(block row, answers by step) -> table, for every block."""
+        blocks = blocks.select("block", *columns)
         if not known:
-            return arrow_map(blocks, lambda batches: (x for b in batches for r in b.to_pylist() for x in fn(r, {}).to_batches()), schema)
+            return arrow_map(blocks, lambda batches: (x for b in batches for i in range(b.num_rows) for x in fn(b.slice(i, 1).to_pylist()[0], {}).to_batches()), schema)
 
         def both(left: pa.Table, right: pa.Table) -> pa.Table:
             steps: dict[int, list[dict]] = {}
@@ -263,8 +311,7 @@ def score(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", fo
 
     # counts of words, and of bigrams
     def words_up(row: dict, _: dict) -> pa.Table:
-        x = Block(row, bigrams=False)
-        return sent(x.number, x.hashes, x.word_counts(), None, w_buckets)
+        return sent(row["block"], np.frombuffer(row["words"], np.uint64), spread(row["word_counts"], np.uint32), None, w_buckets)
 
     def words_done(keys, a, _):
         out = np.zeros(len(keys), COUNT)
@@ -274,27 +321,41 @@ def score(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", fo
 
     def pairs_up(row: dict, _: dict) -> pa.Table:
         x = Block(row)
-        return sent(x.number, x.keys, x.counts, None, b_buckets)
+        return sent(x.number, x.keys, spread(row["pair_counts"], np.uint32), None, b_buckets)
 
     def pairs_done(keys, a, _):
         out = np.zeros(len(keys), PAIR)
         out["c"] = a
         return out, [float((a == 1).sum()), float((a == 2).sum())]
 
-    word_counts = save(totals(from_blocks(words_up, UP_SCHEMA), w_buckets, 0, words_done), "hpylm-words")
+    def known_of(row: dict, steps: dict) -> pa.Table:
+        x = Block(row)
+        words, pair = answered(steps.get(0, []), x.hashes, w_buckets, COUNT), answered(steps.get(1, []), x.keys, b_buckets, PAIR)
+        row = {c: row[c] for c in ("block", "ids", "train", "lens", "words", "pairs", "bigrams")} | {"word_totals": squeeze(words["c"]), "pair_totals": squeeze(pair["c"]), "own": squeeze(pair["own"])}
+        kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 8]
+        return pa.table([pa.array([v], k) for v, k in zip(row.values(), kinds, strict=True)], list(row))
+
+    word_counts = save(totals(from_blocks(read, ["words", "word_counts"], words_up, UP_SCHEMA), w_buckets, 0, words_done), "hpylm-words")
     n, v = summed(word_counts)[:2]
-    pair_counts = save(totals(from_blocks(pairs_up, UP_SCHEMA), b_buckets, 1, pairs_done), "hpylm-pairs")
+    pair_counts = save(totals(from_blocks(read, ["words", "pairs", "pair_counts"], pairs_up, UP_SCHEMA), b_buckets, 1, pairs_done), "hpylm-pairs")
     once, twice = summed(pair_counts)[:2]
+    known_schema = "block long, ids array<long>, train binary, lens binary, words binary, pairs binary, bigrams binary, word_totals binary, pair_totals binary, own binary"
+    kept = ["ids", "train", "lens", "words", "pairs", "bigrams"]
+    from_blocks(read, kept, known_of, known_schema, word_counts, pair_counts).write.bucketBy(parts, "block").saveAsTable(names[1])
+    for done in (word_counts, pair_counts):
+        drop_path(spark, done.inputFiles()[0].rsplit("/", 1)[0])
+    spark.sql(f"DROP TABLE {names[0]}")
+    blocks = spark.table(names[1])
     p = Params(d=min(0.95, max(0.05, once / max(1, once + 2 * twice))), n=int(n), v=int(v), tables=float(v), customers=float(v))
 
-    def tables_of(x: Block, c: np.ndarray, words: np.ndarray | None, q: Params, sweep: int) -> np.ndarray:
-        """Tables of every bigram of a block in a sweep, given the words' state before it."""
-        t = np.minimum(c, 1).astype(np.int64)
+    def tables_of(x: Block, chosen: np.ndarray, words: np.ndarray | None, q: Params, sweep: int) -> np.ndarray:
+        """Tables of the chosen bigrams of a block in a sweep, given the words' state before it; none of the others."""
+        t = np.minimum(x.totals, 1) * chosen
         if words is not None:
-            many = np.flatnonzero(c > 1)
+            many = np.flatnonzero((x.totals > 1) & chosen)
             u, w = words[x.u[many]], words[x.v[many]]
             weight = (q.theta + q.d * u["t"]) * q.parent(w["c1"].astype(np.float64), w["t1"].astype(np.float64))
-            t[many] = seat(c[many].astype(np.int64), weight, q.d, x.keys[many], sweep)
+            t[many] = seat(x.totals[many], weight, q.d, x.keys[many], sweep)
         return t
 
     def sweep(step: int, before: DataFrame | None, q: Params) -> DataFrame:
@@ -302,9 +363,8 @@ def score(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", fo
 
         def up(row: dict, steps: dict) -> pa.Table:
             x = Block(row)
-            pair = answered(steps.get(1, []), x.keys, b_buckets, PAIR)
             words = answered(steps.get(step - 1, []), x.hashes, w_buckets, WORD) if later else None
-            t = tables_of(x, pair["c"], words, q, step) * pair["own"]
+            t = tables_of(x, x.own.astype(bool), words, q, step)
             size = len(x.hashes)
             return sent(x.number, x.hashes, np.bincount(x.u, t, size).astype(np.int64), np.bincount(x.v, t, size).astype(np.int64), w_buckets)
 
@@ -319,8 +379,7 @@ def score(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", fo
             opened = x * (np.log(x + some) - np.log(x + 1)) + 1
             return out, [float(c1.sum()), float(t1.sum()), float((c1 == 1).sum()), float((c1 == 2).sum()), float(opened.sum()), float(len(some))]
 
-        known = [pair_counts] + ([before] if before is not None else [])
-        return save(totals(from_blocks(up, UP_SCHEMA, *known), w_buckets, step, done), "hpylm-sweep")
+        return save(totals(from_blocks(blocks, KNOWN, up, UP_SCHEMA, *([before] if later else [])), w_buckets, step, done), "hpylm-sweep")
 
     states, params, before = [], [], None
     for s in range(burn_in + samples + 1):
@@ -338,23 +397,26 @@ def score(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", fo
 
     def final(row: dict, steps: dict) -> pa.Table:
         x = Block(row)
-        c = answered(steps.get(0, []), x.hashes, w_buckets, COUNT)["c"].astype(np.float64)
-        pair = answered(steps.get(1, []), x.keys, b_buckets, PAIR)["c"].astype(np.int64)
-        average = np.zeros(len(pair))
+        bigrams, lens, train = spread(row["bigrams"], np.uint32), spread(row["lens"], np.uint32).astype(np.int64), np.frombuffer(row["train"], np.uint8).astype(bool)
+        starts = np.concatenate([[0], np.cumsum(lens + 1)[:-1]]).astype(np.int64)
+        c = x.word_totals.astype(np.float64)
+        average = np.zeros(len(x.totals))
         for s in used:
             given, after = params[s]
             earlier = answered(steps.get(1 + s, []), x.hashes, w_buckets, WORD)
             words = answered(steps.get(2 + s, []), x.hashes, w_buckets, WORD)
-            t = tables_of(x, pair, earlier, given, 2 + s)
+            t = tables_of(x, np.ones(len(x.totals), bool), earlier, given, 2 + s)
             parent = after.parent(words["c1"].astype(np.float64), words["t1"].astype(np.float64))
             size, tables = c[x.u], words["t"][x.u].astype(np.float64)
-            own = (np.maximum(pair - given.d * t, 0) + (after.theta + given.d * tables) * parent[x.v]) / (after.theta + size)
+            own = (np.maximum(x.totals - given.d * t, 0) + (after.theta + given.d * tables) * parent[x.v]) / (after.theta + size)
             average += np.where(size > 0, own, parent[x.v]) / len(used)
-        base = np.log10((c + 0.1) / (after.n + 0.1 * (after.v + 1)))
-        add = lambda values: np.add.reduceat(values, x.starts)
-        cols = [x.ids, ~x.train, x.lens + 1, add((c > 0)[x.w].astype(np.int64)), np.full(len(x.lens), after.n, np.int64), add(base[x.w]), add(np.log10(average)[x.bigram])]
+        base = np.log10((c + 0.1) / (after.n + 0.1 * (after.v + 1)))[x.v]
+        add = lambda by_pair: np.add.reduceat(by_pair[bigrams], starts)
+        cols = [row["ids"], ~train, lens + 1, add((c > 0)[x.v].astype(np.int64)), np.full(len(lens), after.n, np.int64), add(base), add(np.log10(average))]
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.table([pa.array(a, k) for a, k in zip(cols, kinds, strict=True)], [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     needed = sorted({i for s in used for i in (s - 1, s)})
-    return from_blocks(final, f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", word_counts, pair_counts, *[states[i] for i in needed])
+    out = save(from_blocks(blocks, [*KNOWN, "ids", "train", "lens", "bigrams"], final, out_schema, *[states[i] for i in needed]), "hpylm-scores")
+    spark.sql(f"DROP TABLE {names[1]}")
+    return told(out)
