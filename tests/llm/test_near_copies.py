@@ -45,7 +45,7 @@ def test_pairs_down_to_the_similarity_are_linked(spark):
 
 
 def test_crowds_are_compared_whole(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "PAIRS", 4)
+    monkeypatch.setattr(simhash, "SLICE", 4)
     rng = np.random.default_rng(9)
     rows, base = [], [str(x) for x in rng.choice(WORDS, 120)]
     # a crowd round one text: some near it, some only near one another by pairs or chains

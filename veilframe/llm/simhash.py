@@ -13,9 +13,10 @@ which no few blocks of 64 bits survive, so the fingerprint is made longer and cu
 pair at exactly `similarity` to agree on a whole one with a chance of `recall` (closer pairs do so practically always).
 A block is as long as the number of rows asks for, so pairs that meet by chance stay in proportion to the rows. Pairs
 on a block are verified by Hamming distance (64 further bits, 4 standard deviations wide), then on the sets themselves.
-Sets are compared along the best partner of each first, then only where a pair lies in two components, so a group of
-copies costs one comparison a member. The members of a block that more than PAIRS share first meet one of them; once
-components are known, those outside the largest component of the block meet all members of other components.
+First each member of a block meets the first and the one before it alone; the sets of its best partner decide, and form
+components. Then, in blocks that hold several components, all members of different ones meet: in slices of SLICE rows,
+each slice with each, compared by their whole fingerprints within a task, so that only pairs about as near as wanted become
+rows, and no task holds more than two slices.
 
 Cases: null text is empty text; texts without words have fingerprint zero and the empty set, and link like any other;
 rows with a null id take part and never name a component (a component of nothing else has null); repeated rows link to
@@ -31,7 +32,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.llm.common import arrow_map, fresh, save, slices, utf8
@@ -39,6 +40,8 @@ from veilframe.llm.components import components
 
 SEED = 42
 PAIRS = 64
+#: Members of a block that are compared in one piece.
+SLICE = 256
 #: Shingles hashed at a time, so that very long texts take bounded memory.
 CHUNK = 1 << 18
 
@@ -151,7 +154,7 @@ def wide_bits(shingles: np.ndarray, words: int) -> np.ndarray:
 
 def sketches(docs: DataFrame, text_col: str, keep: tuple[str, ...], size: int, bits: int, blocks_: int, name: str, full: bool = True) -> DataFrame:
     """The columns keep of docs, a long that stands for the shingle set, and (if full) its members, their number, 64 bits
-    to verify with and the keys of all blocks."""
+    to choose by, the whole fingerprint and the keys of all blocks."""
     words = 1 + -(-bits * blocks_ // 64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,13 +167,14 @@ def sketches(docs: DataFrame, text_col: str, keep: tuple[str, ...], size: int, b
                 all_bits = [wide_bits(s, words) for s in own]
                 check = np.array([np.packbits(x[:64]).view(np.uint64)[0] for x in all_bits], np.uint64).view(np.int64)
                 keys = [((x[64 : 64 + bits * blocks_].reshape(blocks_, bits) @ powers) | tags).view(np.int64) for x in all_bits]
-                cols += [pa.array([s.tobytes() for s in own], pa.binary()), pa.array(map(len, own), pa.int32()), pa.array(check), pa.array(keys, pa.list_(pa.int64()))]
-                names += ["members", "n", "bits", "keys"]
+                wide = [np.packbits(x).tobytes() for x in all_bits]
+                cols += [pa.array([s.tobytes() for s in own], pa.binary()), pa.array(map(len, own), pa.int32()), pa.array(check), pa.array(wide, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+                names += ["members", "n", "bits", "wide", "keys"]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], [*b.schema.names[:-1], *names])
 
     text = fresh(keep, "shingled_text")
     picked = docs.select(*keep, F.col(text_col).alias(text))
-    more = ["members binary", "n int", "bits long", "keys array<long>"] if full else []
+    more = ["members binary", "n int", "bits long", "wide binary", "keys array<long>"] if full else []
     return arrow_map(picked, run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]), f"`{name}` long", *more]))
 
 
@@ -190,37 +194,61 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return arrow_map(pairs.join(left, "a").join(right, "b").select("a", "b", "members_a", "members_b"), run, "a long, b long")
 
 
+def most_apart(bits: int, similarity: float, deviations: float) -> int:
+    """So many of `bits` bits may differ: those expected at this similarity, and some standard deviations."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(bits * share + deviations * math.sqrt(bits * share * (1 - share)))
+
+
+def facing(met: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) across two slices (left, right: node, n, root, wide) that lie in different components and whose whole
+    fingerprints are near enough, of 999 in 1000 pairs at this similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 1):
+            (x, y), out = [b.column(i)[0].values for i in (0, 1)], []
+            (p, pn, pr), (q, qn, qr) = [[side.field(k).to_numpy() for k in ("node", "n", "root")] for side in (x, y)]
+            pw, qw = [np.frombuffer(b"".join(side.field("wide").to_pylist()), np.uint64).reshape(len(side), -1) for side in (x, y)]
+            most = most_apart(pw.shape[1] * 64, similarity, 3.1)
+            for i in range(len(p)):
+                ok = (qr != pr[i]) & (np.minimum(qn, pn[i]) >= similarity * np.maximum(qn, pn[i]))
+                near = np.flatnonzero(ok)
+                near = near[np.bitwise_count(qw[near] ^ pw[i]).sum(axis=1) <= most]
+                out.append(np.stack([np.minimum(p[i], q[near]), np.maximum(p[i], q[near])]))
+            both = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+    return arrow_map(met.select("left", "right"), run, "a long, b long")
+
+
 def similar(sets: DataFrame, similarity: float) -> DataFrame:
-    """sets (node, members, n, bits, keys), distinct nodes -> (node, root): the components of all similar pairs that share a
-    block. Nodes without links don't appear."""
-    differ = 64 * math.acos(2 * similarity / (1 + similarity)) / math.pi
-    most = math.ceil(differ + 4 * math.sqrt(differ * (1 - differ / 64)))
+    """sets (node, members, n, bits, wide, keys), distinct nodes -> (node, root): the components of all similar pairs that
+    share a block. Nodes without links don't appear."""
     keyed = sets.select("node", "n", "bits", F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
-    keyed = save(keyed.join(sizes, "key").select("key", "node", "n", "bits", (F.col("many") > PAIRS).alias("crowded")), "block-keys")
-    few, crowded = keyed.where("not crowded"), keyed.where("crowded")
-    heads = crowded.groupBy("key").agg(F.min_by(F.struct("node", "n", "bits"), F.xxhash64("node", "key")).alias("h")).select("key", "h.*")
-    side = lambda df, s: df.select("key", *[F.col(c).alias(f"{c}_{s}") for c in df.columns if c in ("node", "n", "bits", "root")])
-    apart = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b")))
+    keyed = save(keyed.join(sizes, "key").select("key", "node", "n", "bits", "many"), "block-keys")
+    order = Window.partitionBy("key").orderBy(F.xxhash64("node", "key"), "node")
+    own = F.struct("node", "n", "bits")
+    beside = keyed.withColumns({"head": F.first(own).over(order), "before": F.lag(own).over(order)})
+    beside = beside.select("node", "n", "bits", F.explode(F.array("head", "before")).alias("o")).where("o is not null and node <> o.node")
+    apart = F.bit_count(F.col("bits").bitwiseXOR(F.col("o.bits")))
     # sets of very different sizes cannot be similar
-    alike = (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")) & (apart <= most)
-    pair = [F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")]
-    within = side(few, "a").join(side(few, "b"), "key").where((F.col("node_a") < F.col("node_b")) & alike).select(*pair, apart.alias("d"))
-    to_head = side(heads, "a").join(side(crowded, "b"), "key").where((F.col("node_a") != F.col("node_b")) & alike).select(*pair, apart.alias("d"))
-    pairs = save(within.unionAll(to_head).distinct(), "near-pairs")
+    alike = (F.least("n", "o.n") >= similarity * F.greatest("n", "o.n")) & (apart <= most_apart(64, similarity, 4))
+    pairs = beside.where(alike).select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b"), apart.alias("d")).distinct()
     either = pairs.select("a", "d", F.col("b").alias("to")).unionAll(pairs.select("b", "d", "a"))
     best = either.groupBy("a").agg(F.min(F.struct("d", "to")).alias("m")).select(F.least("a", "m.to").alias("a"), F.greatest("a", "m.to").alias("b")).distinct()
     best = save(best, "best-pairs")
     edges = save(verified(best, sets, similarity), "near-links")
     roots = save(components(edges), "near-roots")
-    rooted = lambda df, c: df.join(roots.select(F.col("node").alias(f"of_{c}"), F.col("root").alias(f"r_{c}")), F.col(c) == F.col(f"of_{c}"), "left").withColumn(f"r_{c}", F.coalesce(f"r_{c}", c)).drop(f"of_{c}")
-    rest = rooted(rooted(pairs.select("a", "b"), "a"), "b").where("r_a <> r_b").select("a", "b")
-    placed = save(rooted(crowded.select("key", "node", "n", "bits"), "node").withColumnRenamed("r_node", "root"), "crowded")
-    parts = placed.groupBy("key", "root").agg(F.count("*").alias("m"))
-    main = parts.groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
-    mixed = placed.join(main, "key")
-    outside = side(mixed.where("root <> main"), "a").join(side(mixed, "b"), "key").where((F.col("root_a") != F.col("root_b")) & alike).select(*pair)
-    rest = save(rest.unionAll(outside).distinct().join(best, ["a", "b"], "left_anti"), "other-pairs")
+    placed = keyed.select("key", "node", "n", "many").join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("key", "node", "n", "many", F.coalesce("root", "node").alias("root"))
+    placed = save(placed, "placed")
+    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    cut = F.pmod(F.xxhash64("node"), F.ceil(F.col("many") / SLICE)).cast("int")
+    rows = placed.join(mixed, "key", "left_semi").withColumn("slice", cut).join(sets.select("node", "wide"), "node")
+    parts = rows.groupBy("key", "slice").agg(F.collect_list(F.struct("node", "n", "root", "wide")).alias("rows"))
+    parts = save(parts, "slices")
+    left, right = parts.select("key", F.col("slice").alias("l"), F.col("rows").alias("left")), parts.select("key", F.col("slice").alias("r"), F.col("rows").alias("right"))
+    rest = save(facing(left.join(right, "key").where("l <= r"), similarity).distinct().join(best, ["a", "b"], "left_anti"), "other-pairs")
     more = save(verified(rest, sets, similarity), "near-links")
     return roots if more.isEmpty() else components(edges.unionAll(more))
 
@@ -233,7 +261,7 @@ def near_copies(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_i
     # of the rows with one set, the first by id has it (by chance where ids are null or repeated)
     chosen = rows.join(prints.withColumnRenamed("fp", "of"), (F.col("fp") == F.col("of")) & F.col(id_col).eqNullSafe(F.col("least")))
     once = chosen.where("copies = 1").unionByName(chosen.where("copies > 1").dropDuplicates(["fp"]))
-    sets = save(once.select(F.col("fp").alias("node"), "members", "n", "bits", "keys"), "sets")
+    sets = save(once.select(F.col("fp").alias("node"), "members", "n", "bits", "wide", "keys"), "sets")
     named = prints.join(similar(sets, similarity), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = save(named, "named")
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
