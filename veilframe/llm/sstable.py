@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import bisect
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -164,7 +165,7 @@ def write(docs: DataFrame, path: str, *, tokenizer: str, kind: str, end_id: int,
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer, kind)
         for b in slices(batches):
-            ids = [own.encode(t or "") + end for t in b.column(1).to_pylist()]
+            ids = [x + end for x in own.encode_all([t or "" for t in b.column(1).to_pylist()])]
             if width == 2:
                 ids = [narrow(x) for x in ids]
             key = b.column(0)
@@ -226,8 +227,24 @@ def lookup(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
 
 
 def positions(spark: SparkSession, path: str) -> DataFrame:
-    """key, start (ids of all documents before), n_tokens, ids_crc32 of every document in the files."""
-    rows = save(read(spark, path).select("shard", "before", "key", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")), "positions")
+    """key, start (ids of all documents before), n_tokens, ids_crc32 of every document in the files. The digests are taken
+    where the files are read; no ids leave the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content in b.column(0):
+                s, before = Shard(content.as_py()), 0
+                for block in range(len(s.blocks)):
+                    keys, at, sizes, sums = [], [], [], []
+                    for k, v in s.entries(block):
+                        keys.append(id_of(k))
+                        at.append(before)
+                        sizes.append(len(v) // s.width)
+                        sums.append(zlib.crc32(s.wide(v)))
+                        before += sizes[-1]
+                    yield pa.RecordBatch.from_arrays([pa.array([s.number] * len(keys), pa.int32()), *(pa.array(x, pa.int64()) for x in (at, keys, sizes, sums))], ["shard", "before", "key", "n_tokens", "ids_crc32"])
+
+    rows = save(arrow_map(read_whole(spark, path, SUFFIX).select("content"), run, "shard int, before long, key long, n_tokens long, ids_crc32 long"), "positions")
     totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("total"))  # a row a shard
     totals = totals.selectExpr("shard as of_shard", "coalesce(sum(total) over (order by shard rows between unbounded preceding and 1 preceding), 0) as earlier")
     return rows.join(totals, F.col("shard") == F.col("of_shard")).select("key", (F.col("before") + F.col("earlier")).alias("start"), "n_tokens", "ids_crc32")

@@ -3,7 +3,8 @@
 A byte-level vocabulary never merges across the boundary in front of a run of non-blanks (with the one blank that
 leads it); a word vocabulary never merges across blanks at all. So ids of a text are the ids of its pieces in order,
 and the same piece has the same ids wherever it stands. The library encodes each distinct piece once per task. Texts
-with characters that Python and the library might class differently as blanks are encoded whole.
+with characters that Python and the library might class differently as blanks, or with an added token of the vocabulary
+spelled out, are encoded whole.
 """
 
 from __future__ import annotations
@@ -57,13 +58,13 @@ class Encoder:
 
     def __init__(self, path: str, kind: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.piece = {"bytes": BYTE_PIECE, "words": WORD_PIECE}[kind]
         # a piece of this shape is one word to the library, so its model can do without the steps before it
         self.word = re.compile({"bytes": f" ?[{LETTER}]+", "words": f"[{LETTER}]+"}[kind]).fullmatch
         self.letters = {ord(c): self._prepared(c) for c in map(chr, range(32, 256)) if self.word(c) or (c == " " and kind == "bytes")}
         self.memory = Memory(self._piece)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
 
     def _prepared(self, letter: str) -> str:
         """A letter as the model is given it: normalised, and in the characters that stand for bytes."""
@@ -92,7 +93,8 @@ class Encoder:
         yield part
 
     def encode(self, text: str) -> bytes:
-        if ODD.search(text):
+        # the library finds added tokens (a mark of a text's end, say) before it splits a text
+        if ODD.search(text) or any(t in text for t in self.added):
             return self._whole(text)
         out = [b"".join(map(self.memory.__getitem__, pieces)) for pieces in self._pieces(text)]
         return out[0] if len(out) == 1 else b"".join(out)
