@@ -86,7 +86,7 @@ def binomial(n: np.ndarray, p: np.ndarray, u: np.ndarray) -> np.ndarray:
             break
         left = np.where(over, left - term, left)
         k += over
-        term = np.where(over, term * np.maximum(m - i, 0) / (i + 1) * q / (1 - q), np.inf)
+        term = np.where(over, term * np.maximum(m - i, 0) / (i + 1) * q / (1 - q), 2.0)
     out[few] = np.minimum(k, m)
     return out.astype(np.int64)
 
@@ -173,8 +173,11 @@ def described(ids: list, train: list, lens: list, hashes: list[np.ndarray], numb
 
 def dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of keys by bucket, and where each bucket starts."""
-    bucket = (keys % np.uint64(buckets)).astype(np.int64)
-    return np.argsort(bucket, kind="stable"), np.searchsorted(np.sort(bucket), np.arange(buckets + 1))
+    if buckets == 1:
+        return np.arange(len(keys)), np.array([0, len(keys)])
+    bucket = (keys % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
 def sent(block: int, keys: np.ndarray, a: np.ndarray, b: np.ndarray | None, buckets: int) -> pa.Table:
@@ -280,8 +283,9 @@ def score(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", fo
     out_schema = f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     told = lambda df: df.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)) + F.count("*")).first()[0]
-    # blocks are looked at again and again: bucketed by number, they stay where they are and only answers move
-    parts = int(min(max(1, size // (5 * BLOCK_TOKENS)), 4096))
+    # blocks are looked at again and again: bucketed by number, they stay where they are and only answers move. With fewer
+    # buckets than shuffle partitions Spark would rather deal the blocks anew
+    parts = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // (5 * BLOCK_TOKENS), 4096)))
     names = [f"hpylm_{k}_{uuid.uuid4().hex}" for k in ("read", "known")]
     tokenised(docs, text_col, id_col, folds).write.bucketBy(parts, "block").saveAsTable(names[0])
     read = spark.table(names[0])
