@@ -15,8 +15,9 @@ A block is as long as the number of rows asks for, so pairs that meet by chance
 on a block are verified by Hamming distance (64 further bits, 4 standard deviations wide), then on the sets themselves.
 First each member of a block meets the first and the one before it alone; the sets of its best partner decide, and form
 components. Then, in blocks that hold several components, all members of different ones meet: in slices of SLICE rows,
-each slice with each, compared by their whole fingerprints within a task, so that only pairs about as near as wanted become
-rows, and no task holds more than two slices.
+each slice with each, compared by their whole fingerprints within a task, so that no task holds more than two slices. At
+first only the nearest of another component is verified for each member, and components grow; once that joins nothing (or
+after ROUNDS), all that are left and about as near as wanted are verified.
 
 Cases: null text is empty text; texts without words have fingerprint zero and the empty set, and link like any other;
 rows with a null id take part and never name a component (a component of nothing else has null); repeated rows link to
@@ -42,6 +43,7 @@ SEED = 42
 PAIRS = 64
 #: Members of a block that are compared in one piece.
 SLICE = 256
+ROUNDS = 3
 #: Shingles hashed at a time, so that very long texts take bounded memory.
 CHUNK = 1 << 18
 
@@ -200,25 +202,38 @@ def most_apart(bits: int, similarity: float, deviations: float) -> int:
     return math.ceil(bits * share + deviations * math.sqrt(bits * share * (1 - share)))
 
 
-def facing(met: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) across two slices (left, right: node, n, root, wide) that lie in different components and whose whole
-    fingerprints are near enough, of 999 in 1000 pairs at this similarity."""
+def facing(met: DataFrame, similarity: float, nearest: bool) -> DataFrame:
+    """Pairs (a, b, d) across two slices (left, right: node, n, root, wide) that lie in different components and whose whole
+    fingerprints differ in few enough bits (d), as 99 of 100 pairs at this similarity; with nearest, of each member only
+    the nearest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
-            (x, y), out = [b.column(i)[0].values for i in (0, 1)], []
+            x, y = [b.column(i)[0].values for i in (0, 1)]
             (p, pn, pr), (q, qn, qr) = [[side.field(k).to_numpy() for k in ("node", "n", "root")] for side in (x, y)]
             pw, qw = [np.frombuffer(b"".join(side.field("wide").to_pylist()), np.uint64).reshape(len(side), -1) for side in (x, y)]
-            most = most_apart(pw.shape[1] * 64, similarity, 3.1)
+            most = most_apart(pw.shape[1] * 64, similarity, 2.33)
+            far = most + 1
+            apart = np.full((len(p), len(q)), far)
             for i in range(len(p)):
-                ok = (qr != pr[i]) & (np.minimum(qn, pn[i]) >= similarity * np.maximum(qn, pn[i]))
-                near = np.flatnonzero(ok)
-                near = near[np.bitwise_count(qw[near] ^ pw[i]).sum(axis=1) <= most]
-                out.append(np.stack([np.minimum(p[i], q[near]), np.maximum(p[i], q[near])]))
-            both = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+                near = np.flatnonzero((qr != pr[i]) & (np.minimum(qn, pn[i]) >= similarity * np.maximum(qn, pn[i])))
+                apart[i, near] = np.bitwise_count(qw[near] ^ pw[i]).sum(axis=1)
+            i, j = np.nonzero(apart <= most)
+            if nearest:
+                rows, cols = np.arange(len(p)), np.arange(len(q))
+                i, j = np.concatenate([rows, apart.argmin(axis=0)]), np.concatenate([apart.argmin(axis=1), cols])
+                ok = apart[i, j] <= most
+                i, j = i[ok], j[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p[i], q[j])), pa.array(np.maximum(p[i], q[j])), pa.array(apart[i, j].astype(np.int32))], ["a", "b", "d"])
 
-    return arrow_map(met.select("left", "right"), run, "a long, b long")
+    return arrow_map(met.select("left", "right"), run, "a long, b long, d int")
+
+
+def best_of(pairs: DataFrame) -> DataFrame:
+    """Of pairs (a, b, d) the nearest of each member: a, b, distinct."""
+    either = pairs.select("a", "d", F.col("b").alias("to")).unionAll(pairs.select("b", "d", "a"))
+    best = either.groupBy("a").agg(F.min(F.struct("d", "to")).alias("m"))
+    return best.select(F.least("a", "m.to").alias("a"), F.greatest("a", "m.to").alias("b")).distinct()
 
 
 def similar(sets: DataFrame, similarity: float) -> DataFrame:
@@ -235,22 +250,32 @@ def similar(sets: DataFrame, similarity: float) -> DataFrame:
     # sets of very different sizes cannot be similar
     alike = (F.least("n", "o.n") >= similarity * F.greatest("n", "o.n")) & (apart <= most_apart(64, similarity, 4))
     pairs = beside.where(alike).select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b"), apart.alias("d")).distinct()
-    either = pairs.select("a", "d", F.col("b").alias("to")).unionAll(pairs.select("b", "d", "a"))
-    best = either.groupBy("a").agg(F.min(F.struct("d", "to")).alias("m")).select(F.least("a", "m.to").alias("a"), F.greatest("a", "m.to").alias("b")).distinct()
-    best = save(best, "best-pairs")
-    edges = save(verified(best, sets, similarity), "near-links")
-    roots = save(components(edges), "near-roots")
-    placed = keyed.select("key", "node", "n", "many").join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("key", "node", "n", "many", F.coalesce("root", "node").alias("root"))
-    placed = save(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    cut = F.pmod(F.xxhash64("node"), F.ceil(F.col("many") / SLICE)).cast("int")
-    rows = placed.join(mixed, "key", "left_semi").withColumn("slice", cut).join(sets.select("node", "wide"), "node")
-    parts = rows.groupBy("key", "slice").agg(F.collect_list(F.struct("node", "n", "root", "wide")).alias("rows"))
-    parts = save(parts, "slices")
-    left, right = parts.select("key", F.col("slice").alias("l"), F.col("rows").alias("left")), parts.select("key", F.col("slice").alias("r"), F.col("rows").alias("right"))
-    rest = save(facing(left.join(right, "key").where("l <= r"), similarity).distinct().join(best, ["a", "b"], "left_anti"), "other-pairs")
-    more = save(verified(rest, sets, similarity), "near-links")
-    return roots if more.isEmpty() else components(edges.unionAll(more))
+    edges = save(verified(save(best_of(pairs), "best-pairs"), sets, similarity), "near-links")
+    wide = sets.select("node", "wide")
+    for turn in range(ROUNDS + 1):
+        roots = save(components(edges), "near-roots")
+        placed = keyed.select("key", "node", "n", "many").join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("key", "node", "n", "many", F.coalesce("root", "node").alias("root"))
+        placed = save(placed, "placed")
+        mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+        cut = F.pmod(F.xxhash64("node"), F.ceil(F.col("many") / SLICE)).cast("int")
+        rows = placed.join(mixed, "key", "left_semi").withColumn("slice", cut).join(wide, "node")
+        parts = save(rows.groupBy("key", "slice").agg(F.collect_list(F.struct("node", "n", "root", "wide")).alias("rows")), "slices")
+        left, right = parts.select("key", F.col("slice").alias("l"), F.col("rows").alias("left")), parts.select("key", F.col("slice").alias("r"), F.col("rows").alias("right"))
+        found = facing(left.join(right, "key").where("l <= r"), similarity, nearest=turn < ROUNDS)
+        found = best_of(found) if turn < ROUNDS else found.select("a", "b").distinct()
+        more = save(verified(save(found, "other-pairs"), sets, similarity), "near-links")
+        linked = not more.isEmpty()
+        edges = edges.unionAll(more) if linked else edges
+        if turn == ROUNDS:
+            break
+        if not linked:
+            # nothing nearest is near enough: what else is left is looked at once
+            found = facing(left.join(right, "key").where("l <= r"), similarity, nearest=False).select("a", "b").distinct()
+            more = save(verified(save(found, "other-pairs"), sets, similarity), "near-links")
+            linked = not more.isEmpty()
+            edges = edges.unionAll(more) if linked else edges
+            break
+    return components(edges) if linked else roots
 
 
 def near_copies(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", size: int = 5, similarity: float = 0.8, recall: float = 0.95) -> DataFrame:
