@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import arrow_map, save, slices, utf8
+from veilframe.llm.common import arrow_map, drop_saved, save, slices, utf8
 
 BLOCK_TOKENS = 1_000_000
 BUCKET_KEYS = 1_000_000
@@ -271,12 +271,6 @@ def tokenised(docs: DataFrame, text_col: str, id_col: str, folds: int) -> DataFr
     return arrow_map(picked, run, BLOCK_SCHEMA)
 
 
-def drop_path(spark, path: str) -> None:
-    """Delete a folder of the shared file system."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
-
-
 def score(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", folds: int = 10, burn_in: int = 1, samples: int = 2) -> DataFrame:
     """id_col, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of every document."""
     spark = docs.sparkSession
@@ -347,7 +341,7 @@ def score(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", fo
     kept = ["ids", "train", "lens", "words", "pairs", "bigrams"]
     from_blocks(read, kept, known_of, known_schema, word_counts, pair_counts).write.bucketBy(parts, "block").saveAsTable(names[1])
     for done in (word_counts, pair_counts):
-        drop_path(spark, done.inputFiles()[0].rsplit("/", 1)[0])
+        drop_saved(done)
     spark.sql(f"DROP TABLE {names[0]}")
     blocks = spark.table(names[1])
     p = Params(d=min(0.95, max(0.05, once / max(1, once + 2 * twice))), n=int(n), v=int(v), tables=float(v), customers=float(v))
