@@ -153,3 +153,19 @@ def ipv4_delta(x: Column) -> Column:
         .when((p[0] == 10) | ((p[0] == 172) & p[1].between(16, 31)) | ((p[0] == 192) & (p[1] == 168)), 0.0)
         .otherwise(0.1)
     )
+
+
+def ip_delta(x: Column) -> Column:
+    """IPv4 or IPv6: eight groups of up to four hex digits, one run of zero groups shortened to "::"."""
+    groups = F.filter(F.split(x, ":"), lambda g: g != "")
+    short = F.size(F.split(x, "::", -1)) - 1
+    count = F.size(groups)
+    whole = (short == 0) & (count == 8) & ~x.rlike("^:|:$")
+    cut = (short == 1) & (count <= 7) & ~x.rlike(":::") & ~x.rlike("^:[^:]|[^:]:$")
+    six = (
+        F.when(~(whole | cut) | F.exists(groups, lambda g: ~g.rlike("^[0-9A-Fa-f]{1,4}$")), -0.6)
+        .when(x.rlike("(?i)^ff") | x.rlike("^[0:]*:?:[0:]*1?$"), -0.3)
+        .when(x.rlike("(?i)^(?:f[cd]|fe[89ab])"), 0.0)
+        .otherwise(0.1)
+    )
+    return F.when(F.contains(x, F.lit(":")), six).otherwise(ipv4_delta(x))

@@ -67,21 +67,22 @@ def hmac_sha256(key: bytes, message: Column) -> Column:
     return F.sha2(F.concat(F.lit(bytes(b ^ 0x5C for b in block)), F.unhex(inner)), 256)
 
 
-def matches(text: Column, pattern: str, group: int = 0) -> Column:
+def matches(text: Column, pattern: str, group: int = 0, lead: int = 0) -> Column:
     """array<struct<start, end, text>> of all matches, in code points, without leaving the JVM.
 
-    With a group, the stretch of that group is looked up inside its match.
+    With a group, the stretch of that group: it starts where group `lead`, all of the match before it, ends. Without a
+    lead, the match must start with the group.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
+    ahead = F.regexp_extract_all(text, F.lit(pattern), F.lit(lead)) if lead else F.transform(found, lambda m: F.lit(""))
     between = F.transform(F.split(text, pattern, -1), lambda p: F.char_length(p))
-    rows = F.arrays_zip(found.alias("m"), part.alias("g"), F.slice(between, F.lit(1), F.size(found)).alias("b"))
-    rows = F.transform(rows, lambda r: F.struct(r["m"].alias("m"), r["g"].alias("g"), r["b"].alias("b")))
+    rows = F.arrays_zip(found.alias("m"), part.alias("g"), ahead.alias("l"), F.slice(between, F.lit(1), F.size(found)).alias("b"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
 
     def step(a: Column, r: Column) -> Column:
         begin = a["at"] + r["b"]
-        own = begin + (F.position(r["g"], r["m"]) - 1 if group else 0)
+        own = begin + F.char_length(r["l"])
         one = F.struct(own.cast("int").alias("start"), (own + F.char_length(r["g"])).cast("int").alias("end"), r["g"].alias("text"))
         return F.struct((begin + F.char_length(r["m"])).cast("int").alias("at"), F.concat(a["out"], F.array(one)).alias("out"))
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from veilframe.functions.checks import digits
-from veilframe.functions.text import hmac_sha256, normalise
+from veilframe.functions.text import hmac_sha256, normalise, written_forms
 from veilframe.operators.resolve import lookup
 from veilframe.operators.vocab import PROFILES, SHORT_NAMES
 
@@ -21,16 +22,33 @@ def keyed_token(entity: Column, value: Column, key: bytes) -> Column:
     return F.concat(F.lit("["), lookup(SHORT_NAMES, entity, "VALUE"), F.lit("_"), F.upper(F.left(hmac_sha256(key, norm), F.lit(8))), F.lit("]"))
 
 
+#: Ranges of the first ordering column within which values are numbered side by side.
+CELLS = 4096
+
+
 def numbered_vault(findings: DataFrame, order: list[str]) -> DataFrame:
-    """entity_type, norm_value, token, occurrences, forms: values are numbered within their short name by first appearance.
+    """entity_type, norm_value, token, occurrences, forms: values are numbered within their category by first appearance.
 
-    The window runs over distinct values of one category, not over findings.
+    No category is sorted in one task: values are ranked within ranges of the first ordering column (if it is a number),
+    and the counts of the ranges before are added.
     """
     values = live(findings).withColumn("norm_value", normalise(F.col("entity_type"), F.col("value")))
     first = values.groupBy("entity_type", "norm_value").agg(F.min(F.struct(*order)).alias("first"), F.count("*").alias("occurrences"), F.array_sort(F.collect_set("value")).alias("forms"))
-    number = F.row_number().over(Window.partitionBy("entity_type").orderBy("first", "norm_value"))
-    token = F.concat(F.lit("["), lookup(SHORT_NAMES, F.col("entity_type"), "VALUE"), F.lit("_U"), F.lpad(number.cast("string"), 3, "0"), F.lit("]"))
-    return first.select("entity_type", "norm_value", token.alias("token"), "occurrences", "forms")
+    lead = F.col(f"first.{order[0]}")
+    if isinstance(findings.schema[order[0]].dataType, NumericType):
+        bounds = findings.agg(F.min(order[0]).cast("double").alias("low"), F.max(order[0]).cast("double").alias("high"))
+        cell = F.coalesce(F.floor((lead - F.col("low")) / (F.col("high") - F.col("low") + 1) * CELLS), F.lit(-1))
+        first = first.join(F.broadcast(bounds)).withColumn("cell", cell).drop("low", "high")  # one row
+    else:
+        first = first.withColumn("cell", F.lit(0))
+    before = Window.partitionBy("entity_type").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    counts = first.groupBy("entity_type", "cell").agg(F.count("*").alias("here")).withColumn("earlier", F.coalesce(F.sum("here").over(before), F.lit(0))).drop("here")
+    inner = F.row_number().over(Window.partitionBy("entity_type", "cell").orderBy("first", "norm_value"))
+    ranked = first.withColumn("inner", inner).join(counts, ["entity_type", "cell"])
+    number = (F.col("inner") + F.col("earlier")).cast("string")
+    number = F.when(F.char_length(number) < 3, F.lpad(number, 3, "0")).otherwise(number)
+    token = F.concat(F.lit("["), lookup(SHORT_NAMES, F.col("entity_type"), "VALUE"), F.lit("_U"), number, F.lit("]"))
+    return ranked.select("entity_type", "norm_value", token.alias("token"), "occurrences", "forms")
 
 
 def replacement(entity: Column, value: Column, token: Column, profile: str) -> Column:
@@ -62,7 +80,88 @@ def splice(spans: DataFrame, findings: DataFrame, keys: list[str]) -> DataFrame:
     return spans.join(edits, keys, "left").withColumn("safe_text", F.when(F.col("edits").isNull(), F.col("text")).otherwise(text)).drop("edits")
 
 
+#: Shorter values, or numbers, are no needles; from here on a number is looked for by its digits alone.
+LEAST_CHARS, LEAST_DIGITS, DIGITS_FORM = 4, 6, 9
+FORM_WORD = r"[\p{L}\p{N}]+"
+
+
+def needles(findings: DataFrame) -> DataFrame:
+    """What to look for: form (lower case, single blanks), token, cased (null, or the exact spellings that count), head (the
+    first word of the form) and lead (characters before it). findings have entity_type, value, token, decision.
+
+    A value is looked for as it is, as HTML has it and as an address has it. A person's single word counts as written or
+    in capitals only, and not at all if it awaits review.
+    """
+    v = F.trim(F.regexp_replace("value", r"\s+", " "))
+    rows = live(findings).select("entity_type", "token", "decision", v.alias("v"))
+    d = digits(F.col("v"))
+    numeric = F.length(d) == F.char_length(F.regexp_replace("v", r"[\s().+-]", ""))
+    word = (F.col("entity_type") == "PERSON") & ~F.contains(F.col("v"), F.lit(" "))
+    rows = rows.where((F.char_length("v") >= LEAST_CHARS) & ~(numeric & (F.length(d) < LEAST_DIGITS)) & ~(word & (F.col("decision") == "review")))
+    forms = F.when(word, F.array("v")).otherwise(written_forms(F.col("v")))
+    out = rows.select("token", F.when(word, F.array("v", F.upper("v"))).alias("cased"), F.explode(forms).alias("form")).withColumn("form", F.lower("form"))
+    out = out.groupBy("form").agg(F.min_by(F.struct("token", "cased"), "token").alias("t")).select("form", "t.token", "t.cased")
+    head = F.regexp_extract("form", FORM_WORD, 0)
+    return out.select("form", "token", "cased", head.alias("head"), (F.position(head, F.col("form")) - 1).alias("lead")).where(F.col("head") != "")
+
+
+def placed_words(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, start, word (lower case) of every word of every span, by Arrow batches: lists of places grow with the text, not
+    with its square."""
+    import re
+
+    import pyarrow as pa
+
+    word = re.compile(r"[^\W_]+")
+
+    def run(batches):
+        for b in batches:
+            for low in range(0, b.num_rows, 256):
+                part = b.slice(low, 256)
+                row, start, found = [], [], []
+                for i, t in enumerate(part.column(len(keys)).to_pylist()):
+                    for m in word.finditer(t or ""):
+                        row.append(i)
+                        start.append(m.start())
+                        found.append(m[0].lower())
+                cols = [part.column(k).take(pa.array(row, pa.int64())) for k in range(len(keys))]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(start, pa.int32()), pa.array(found, pa.string())], [*keys, "at", "head"])
+
+    fields = ", ".join(f"`{k}` {spans.schema[k].dataType.simpleString()}" for k in keys)
+    return spans.select(*keys, "text").mapInArrow(run, f"{fields}, at int, head string")
+
+
+def locate(spans: DataFrame, needles: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, start, end, token of every place where a needle stands between word edges, also where nothing was found.
+
+    Words are joined to the first words of needles, then the whole form is compared at that place; no needle is ever
+    compared with every span.
+    """
+    near = placed_words(spans, keys).join(needles, "head")
+    there = near.join(spans.select(*keys, "text"), keys).withColumn("start", F.col("at") - F.col("lead")).where(F.col("start") >= 0)
+    piece = F.substr(F.col("text"), F.col("start") + 1, F.char_length("form"))
+    before, after = F.substr(F.col("text"), F.col("start"), F.when(F.col("start") > 0, 1).otherwise(0)), F.substr(F.col("text"), F.col("start") + F.char_length("form") + 1, F.lit(1))
+    edge = lambda c: ~c.rlike(r"[\p{L}\p{N}]")
+    same = (F.lower(piece) == F.col("form")) & edge(before) & edge(after) & (F.col("cased").isNull() | F.array_contains(F.col("cased"), piece))
+    return there.where(same).select(*keys, "start", (F.col("start") + F.char_length("form")).alias("end"), "token")
+
+
+def uncovered(places: DataFrame, findings: DataFrame, keys: list[str]) -> DataFrame:
+    """Places that no live finding of their span overlaps."""
+    own = live(findings).select(*[F.col(k).alias(f"of_{k}") for k in keys], F.col("start").alias("of_start"), F.col("end").alias("of_end"))
+    on = (F.col("start") < F.col("of_end")) & (F.col("end") > F.col("of_start"))
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"of_{k}"))
+    return places.join(own, on, "left_anti")
+
+
+def scrub(spans: DataFrame, needles: DataFrame, keys: list[str]) -> DataFrame:
+    """spans with safe_text: every needle replaced by its token, the longest where several begin."""
+    found = locate(spans, needles, keys).select(*keys, "start", "end", F.col("token").alias("replacement"), F.lit("redact").alias("decision"))
+    return splice(spans, found, keys)
+
+
 def gate(safe: DataFrame, findings: DataFrame, keys: list[str]) -> DataFrame:
-    """Values of live findings that still stand in the safe text of their own span; empty when nothing leaks."""
-    values = live(findings).select(*keys, "entity_type", "value").distinct()
-    return safe.select(*keys, "safe_text").join(values, keys).where((F.char_length("value") >= 4) & F.contains(F.col("safe_text"), F.col("value"))).select(*keys, "entity_type", "value")
+    """keys, start, end, token of values that can still be read in safe_text, in whatever span; empty when nothing leaks.
+    findings have entity_type, value, token, decision."""
+    return locate(safe.select(*keys, F.col("safe_text").alias("text")), needles(findings), keys)

@@ -46,12 +46,63 @@ def review_queue(findings: DataFrame, key: str) -> DataFrame:
 
 
 def activity(events: DataFrame) -> DataFrame:
-    """Counts of guard events at several levels at once: by operator and day, by day, by type, in all."""
-    events.createOrReplaceTempView("guard_activity")
-    return events.sparkSession.sql(
-        """SELECT CAST(user_id AS STRING) AS user_id, CAST(CAST(ts AS DATE) AS STRING) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total
-        FROM guard_activity GROUP BY GROUPING SETS ((user_id), (CAST(ts AS DATE)), (event_type), (CAST(ts AS DATE), event_type), ())"""
-    )
+    """Counts of guard events at several levels at once: by operator, by day, by type, by day and type, in all."""
+    day = F.col("ts").cast("date").cast("string")
+    rows = events.select(F.col("user_id").cast("string").alias("user_id"), day.alias("day"), "event_type", "value")
+    u, d, e = F.col("user_id"), F.col("day"), F.col("event_type")
+    return rows.groupingSets([[u], [d], [e], [d, e], []], u, d, e).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+def guard_record(checks: DataFrame, keys: list[str]) -> DataFrame:
+    """What is kept of a check for good: counts, never text."""
+    return checks.select(*keys, "verdict", "blocked_by", "warned", "bytes", "code_lines", "n_values", "findings")
+
+
+def by_rule(checks: DataFrame) -> DataFrame:
+    """How often each rule refused a prompt or warned of it."""
+    fired = checks.select(F.explode(F.concat(F.transform("blocked_by", lambda r: F.struct(r.alias("rule"), F.lit("blocked").alias("action"))), F.transform("warned", lambda r: F.struct(r.alias("rule"), F.lit("warned").alias("action"))))).alias("f"))
+    return fired.select("f.*").groupBy("rule", "action").agg(F.count("*").alias("n"))
+
+
+def by_category(findings: DataFrame, categories: list[str] | None = None) -> DataFrame:
+    """Live findings by category; categories that a policy names are counted even at zero by the caller's join."""
+    found = live(findings)
+    if categories is not None:
+        found = found.where(F.col("entity_type").isin(categories))
+    return found.groupBy("entity_type").agg(F.count("*").alias("n"), F.countDistinct(normalise(F.col("entity_type"), F.col("value"))).alias("values"))
+
+
+def file_summary(findings: DataFrame, key: str) -> DataFrame:
+    """A row a file: counts by decision, and maps of live counts by category, context_type and layer, where there are such
+    columns."""
+    rows = findings.groupBy(key).agg(*[F.sum((F.col("decision") == d).cast("long")).alias(d) for d in ("redact", "review", "drop")])
+    for name, column in (("categories", "entity_type"), ("contexts", "context_type"), ("layers", "layer")):
+        if column in findings.columns:
+            counted = live(findings).groupBy(key, column).agg(F.count("*").alias("n"))
+            rows = rows.join(counted.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(column, "n")))).alias(name)), key, "left")
+    return rows
+
+
+def exposure_by(findings: DataFrame, keys: list[str]) -> DataFrame:
+    """Weights of distinct values by file and page, or file and category."""
+    values = live(findings).select(*dict.fromkeys([*keys, "entity_type"]), normalise(F.col("entity_type"), F.col("value")).alias("v")).distinct()
+    return values.groupBy(*keys).agg(F.sum(weight(F.col("entity_type"))).alias("score"), F.count("*").alias("distinct_values"))
+
+
+def exposure_ranking(exposures: DataFrame, key: str) -> DataFrame:
+    """Most exposed first, by rating, then score."""
+    order = F.when(F.col("rating") == "critical", 0).when(F.col("rating") == "high", 1).when(F.col("rating") == "medium", 2).otherwise(3)
+    return exposures.orderBy(order, F.desc("score"), key)
+
+
+def image_only(findings: DataFrame, keys: tuple[str, ...] = ("entity_type", "norm_value")) -> DataFrame:
+    """Values that stand in pictures and nowhere in text. findings have a column source."""
+    values = live(findings).withColumn("norm_value", normalise(F.col("entity_type"), F.col("value")))
+    return values.where("source = 'image_ocr'").join(values.where("source <> 'image_ocr'").select(*keys), list(keys), "left_anti").select(*keys).distinct()
+
+
+def most_common(rows: DataFrame, column: str, n: int = 10) -> DataFrame:
+    return rows.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(n)
 
 
 def evaluate(gold: DataFrame, predicted: DataFrame, key: str) -> DataFrame:

@@ -1,23 +1,33 @@
-"""Rules: a pattern, a score, a check of the value, words that must or may stand near. Rules are data; each becomes a
-native expression over spans."""
+"""Rules: a pattern, a score, a check of the value, words that must or may stand near. Rules are data. All of them scan a
+text in one pass: a projection collects the matches of every rule whose cheap test the text passes, exploded once."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.functions import checks
-from veilframe.functions.text import matches
+from veilframe.functions import checks, secrets
+from veilframe.operators import catalogue
 from veilframe.operators.vocab import AFTER, BEFORE, CONTEXT_BOOST, CONTEXT_WORDS, NO_CONTEXT_CAP, REDACT, REVIEW
 
+#: The year that ages are counted from; a parameter of the scan.
+YEAR = 2026
+CHECKS: dict[str, Callable[[Column], Column]] = {
+    "mailbox": checks.mailbox_delta, "phone": checks.phone_delta, "ssn": checks.ssn_delta, "pan": checks.pan_delta, "pesel": checks.pesel_delta, "card": checks.card_delta,
+    "aadhaar": checks.aadhaar_delta, "gstin": checks.gstin_delta, "ip": checks.ip_delta, "iban": checks.iban_delta, "secret": secrets.secret_delta, "entropy": secrets.entropy_delta,
+    "date": lambda x: checks.date_delta(x, YEAR),
+}
+ACCEPTS: dict[str, Callable[[Column, Column], Column]] = {"named": lambda key, value: secrets.named_secret(key), "mixed": lambda key, value: secrets.mixed(value)}
+
 
 @dataclass(frozen=True)
 class Rule:
+    """check and accept are Column functions, of the value and of (key, value); any caller may bring its own."""
+
     name: str
     entity: str
     pattern: str
@@ -26,34 +36,29 @@ class Rule:
     group: int = 0
     needs_context: bool = False
     least_digits: int = 0
+    lead: int = 0
+    key: int = 0
+    accept: Callable[[Column, Column], Column] | None = None
+    unless: str | None = None
+    context: tuple[str, ...] = ()
+
+
+def from_catalogue(rows: list[tuple]) -> list[Rule]:
+    out = []
+    for name, entity, score, pattern, more in rows:
+        words = () if more.get("plain") or name in WITHOUT_CONTEXT else tuple(CONTEXT_WORDS.get(entity, ()))
+        own = {k: v for k, v in more.items() if k in ("group", "lead", "key", "unless", "needs_context", "least_digits")}
+        out.append(Rule(name, entity, pattern, score, check=CHECKS.get(more.get("check")), accept=ACCEPTS.get(more.get("accept")), context=words, **own))
+    return out
+
+
+#: Rules that take no notice of words nearby, though their category has some.
+WITHOUT_CONTEXT = {"email", "email_ocr_damaged", "card_last4", "ssn_last4", "secret_url_password", "secret_known", "secret_assigned", "secret_known_more", "secret_in_code", "secret_env", "secret_auth_header", "secret_bearer", "org_person_id_ocr"}
+RULES = from_catalogue(catalogue.BODY)
+IMAGE_RULES = from_catalogue(catalogue.IMAGE)
 
 
-#: Patterns (Java dialect) and base scores.
-RULES = [
-    Rule("email", "EMAIL_ADDRESS", r"(?<![\w.+-])[A-Za-z0-9._%+'-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-])", 0.92, checks.mailbox_delta),
-    Rule("phone", "PHONE_NUMBER", r"(?:(?<![0-9/+-])\+\d{1,3}[\s.-]?|(?<![\w/+-]))(?:\(\d{1,5}\)[\s.-]?)?\d{1,12}(?:[\s.-]\d{1,8}){0,5}(?![\w/-])", 0.40, checks.phone_delta, least_digits=7),
-    Rule("us_ssn", "US_SSN", r"(?<![\d-])\d{3}[- ]\d{2}[- ]\d{4}(?![\d-])", 0.45, checks.ssn_delta),
-    Rule("passport", "PASSPORT", r"\b[A-Z]{1,2}\d{6,8}\b", 0.20, needs_context=True),
-    Rule("in_pan", "IN_PAN", r"\b[A-Z]{5}\d{4}[A-Z]\b", 0.45, checks.pan_delta),
-    Rule("pl_pesel", "PL_PESEL", r"(?<!\d)\d{6}(?:\d{5}|[xX*•]{5})(?![\dxX*])", 0.35, checks.pesel_delta),
-    Rule("us_ein", "TAX_ID", r"(?<![\d-])\d{2}-\d{7}(?![\d-])", 0.25, needs_context=True),
-    Rule("pl_nip", "TAX_ID", r"(?<![\d-])\d{3}-\d{3}-\d{2}-\d{2}(?![\d-])", 0.25, needs_context=True),
-    Rule("credit_card", "CREDIT_CARD", r"(?<![\d-])(?:\d[ -]?){12,18}\d(?![\d-])", 0.35, checks.card_delta),
-    Rule("in_aadhaar", "IN_AADHAAR", r"(?<![\d-])\d{4}([ -]?)\d{4}\1\d{4}(?![\d-])", 0.40, checks.aadhaar_delta),
-    Rule("in_gstin", "TAX_ID", r"\b\d{2}[A-Z]{5}\d{4}[A-Z][1-9A-Z]Z[0-9A-Z]\b", 0.55, checks.gstin_delta),
-    Rule("ipv4", "IP_ADDRESS", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)", 0.55, checks.ipv4_delta),
-    Rule("secret_known", "CREDENTIAL", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}\b|\bgithub_pat_[A-Za-z0-9_]{40,}\b|\bxox[abposr]-[A-Za-z0-9-]{10,}\b|\b[sr]k[_-](?:live|test)[_-][A-Za-z0-9]{16,}\b|\bAIza[0-9A-Za-z_-]{35}\b", 0.9),
-    Rule("secret_in_code", "CREDENTIAL", r"(?i)\b[A-Za-z_]*(?:token|secret|password|passwd|pwd|api_?key)\s*[:=]\s*[\"']([^\"'\s]{8,200})[\"']", 0.6, group=1),
-    Rule("in_ifsc", "BANK_ACCOUNT", r"\b[A-Z]{4}0[A-Z0-9]{6}\b", 0.45),
-    Rule("bank_account", "BANK_ACCOUNT", r"(?<![\d-])\d{9,18}(?![\d-])", 0.25, needs_context=True),
-    Rule("uk_nino", "UK_NINO", r"\b(?!BG|GB|NK|KN|TN|NT|ZZ)[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z] ?\d{2} ?\d{2} ?\d{2} ?[A-D]\b", 0.45),
-    Rule("iban", "IBAN_CODE", r"\b[A-Z]{2}\d{2}(?:\s?[A-Z0-9]{4}){2,7}(?:\s?[A-Z0-9]{1,4})?\b", 0.40, checks.iban_delta),
-    Rule("dob_numeric", "DATE_OF_BIRTH", r"\b\d{1,2}[/.-]\d{1,2}[/.-](?:19|20)?\d{2}\b", 0.15, lambda x: checks.date_delta(x, 2026), needs_context=True),
-    Rule("dob_iso", "DATE_OF_BIRTH", r"\b(?:19|20)\d{2}-\d{2}-\d{2}\b", 0.15, lambda x: checks.date_delta(x, 2026), needs_context=True),
-]
-
-
-def near(text: Column, start: Column, end: Column, words: list[str]) -> Column:
+def near(text: Column, start: Column, end: Column, words: tuple[str, ...] | list[str]) -> Column:
     """Does one of words stand shortly before or after?"""
     if not words:
         return F.lit(False)
@@ -64,23 +69,90 @@ def near(text: Column, start: Column, end: Column, words: list[str]) -> Column:
     return around.rlike("(?<![a-z])(?:" + "|".join(re.escape(w) for w in forms) + ")(?![a-z])")
 
 
-def apply_rule(spans: DataFrame, rule: Rule) -> DataFrame:
-    """Findings of one rule: spans' columns (without text), start, end, value, entity_type, recognizer, score."""
+HIT = "array<struct<rule:int,start:int,end:int,text:string,key:string>>"
+#: What a text must hold for a rule to match at all; tested before the pattern is. Rules not named have no such test.
+NEEDS = {"email": "@", "email_ocr_damaged": "@", "in_upi": "@", "secret_url_password": "://", "ipv6": ":", "ipv4": ".", "secret_in_code": "=:", "secret_env": "=", "iban": "", "street_address": ""}
+DIGIT_RULES = {"phone", "org_person_id", "org_vendor_id", "us_ssn", "passport", "in_pan", "pl_pesel", "us_ein", "pl_nip", "credit_card", "card_last4", "ssn_last4", "in_aadhaar", "in_gstin", "in_ifsc", "bank_account", "uk_nino", "in_voter_id", "in_driving_licence", "driving_licence_labelled", "in_address", "iban", "dob_numeric", "dob_iso", "dob_text", "street_address", "ipv4", "phone_ocr_confusable", "phone_ocr_glued"}
+
+
+def gate(text: Column, rule: Rule) -> Column:
+    """Whether a rule may match: what is cheap to test first."""
+    tests = [text.rlike("[0-9]")] if rule.name in DIGIT_RULES else []
+    need = NEEDS.get(rule.name)
+    if need:
+        tests.append(text.rlike("[=:]") if need == "=:" else F.contains(text, F.lit(need)))
+    out = text.rlike(rule.pattern)
+    for t in reversed(tests):
+        out = t & out
+    return out
+
+
+def literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def hits_sql(number: int, rule: Rule) -> str:
+    """functions.text.matches of the column text, with the rule's number and key, as SQL: dozens of rules are parsed faster
+    than their expressions are put together call by call."""
+    p = literal(rule.pattern)
+    every = f"regexp_extract_all(text, {p}, 0)"
+    of = lambda group, none: f"regexp_extract_all(text, {p}, {group})" if group else none
+    blank = f"transform({every}, x -> '')"
+    between = f"transform(split(text, {p}, -1), x -> char_length(x))"
+    begin = "a.at + r.`3` + char_length(r.`2`)"
+    one = f"named_struct('rule', {number}, 'start', cast({begin} as int), 'end', cast({begin} + char_length(r.`1`) as int), 'text', r.`1`, 'key', r.`4`)"
+    zipped = f"arrays_zip({every}, {of(rule.group, every)}, {of(rule.lead, blank)}, slice({between}, 1, size({every})), {of(rule.key, blank)})"
+    start = f"named_struct('at', 0, 'out', cast(array() as {HIT}))"
+    return f"aggregate({zipped}, {start}, (a, r) -> named_struct('at', cast(a.at + r.`3` + char_length(r.`0`) as int), 'out', concat(a.out, array({one}))), a -> a.out)"
+
+
+def rule_hits(number: int, rule: Rule, blocker: tuple[int, Rule] | None = None) -> Column:
+    """The matches of one rule in the column text as array<struct<rule, start, end, text, key>>; without those that a match
+    of the blocker overlaps."""
+    rows = F.expr(hits_sql(number, rule))
+    if rule.accept:
+        rows = F.filter(rows, lambda h: rule.accept(h["key"], h["text"]))
+    if blocker:
+        others = rule_hits(*blocker)
+        rows = F.filter(rows, lambda h: ~F.exists(others, lambda b: (b["start"] < h["end"]) & (b["end"] > h["start"])))
+    return F.when(gate(F.col("text"), rule), rows).otherwise(F.expr(f"cast(array() as {HIT})"))
+
+
+def scan(spans: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+    """Findings of all rules over spans (text and any keys): spans' columns (without text), start, end, value, entity_type,
+    recognizer, score.
+
+    Cases: null texts have no findings; a value of blanks alone is none; repeated spans repeat their findings.
+    """
+    rules = RULES if rules is None else rules
     keep = [c for c in spans.columns if c != "text"]
-    hit = spans.where(F.col("text").rlike(rule.pattern)).select(*keep, "text", F.explode(matches(F.col("text"), rule.pattern, rule.group)).alias("m"))
-    hit = hit.select(*keep, "text", F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.text").alias("value"))
-    if rule.least_digits:
-        hit = hit.where(F.length(checks.digits(F.col("value"))) >= rule.least_digits)
-    score = F.lit(rule.score) + (rule.check(F.col("value")) if rule.check else 0.0)
-    known = near(F.col("text"), F.col("start"), F.col("end"), CONTEXT_WORDS.get(rule.entity, []))
-    lone = F.least(score, F.lit(NO_CONTEXT_CAP)) if rule.needs_context else score
-    score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(known, score + CONTEXT_BOOST).otherwise(lone))), 3)
-    return hit.select(*keep, "start", "end", "value", F.lit(rule.entity).alias("entity_type"), F.lit(rule.name).alias("recognizer"), score.alias("score"))
-
-
-def scan(spans: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    """Findings of all rules over spans (text and any keys)."""
-    return reduce(DataFrame.unionByName, [apply_rule(spans, r) for r in rules])
+    text = F.col("text")
+    number = {r.name: i for i, r in enumerate(rules)}
+    blockers = {i: (number[r.unless], rules[number[r.unless]]) for i, r in enumerate(rules) if r.unless in number}
+    # an outer explode: of a plain one the optimizer would infer a filter, and run every pattern twice
+    hit = spans.where(text.isNotNull()).select(*keep, "text", F.explode_outer(F.concat(*[rule_hits(i, r, blockers.get(i)) for i, r in enumerate(rules)])).alias("h")).where("h is not null")
+    hit = hit.select(*keep, "text", F.col("h.rule").alias("rule"), F.col("h.start").alias("start"), F.col("h.end").alias("end"), F.col("h.text").alias("value")).where(F.trim("value") != "")
+
+    def by_rule(of: Callable[[Rule], Column | None], default) -> Column:
+        """of(rule) by the rule's number; rules with the same function share a branch."""
+        out = F.when(F.lit(False), default)
+        branches: dict[object, tuple[list[int], Column]] = {}
+        for i, r in enumerate(rules):
+            key, value = of(r)
+            if value is not None:
+                branches.setdefault(key, ([], value))[0].append(i)
+        for numbers, value in branches.values():
+            out = out.when(F.col("rule").isin(numbers), value)
+        return out.otherwise(default)
+
+    digits = F.length(checks.digits(F.col("value")))
+    hit = hit.where(digits >= by_rule(lambda r: (r.least_digits, F.lit(r.least_digits) if r.least_digits else None), F.lit(0)))
+    score = by_rule(lambda r: (r.score, F.lit(float(r.score))), F.lit(0.0)) + by_rule(lambda r: (r.check, r.check(F.col("value")).cast("double") if r.check else None), F.lit(0.0))
+    known = by_rule(lambda r: (r.context, near(F.col("text"), F.col("start"), F.col("end"), r.context) if r.context else None), F.lit(False))
+    lone = F.when(F.col("rule").isin([i for i, r in enumerate(rules) if r.needs_context]), F.least(F.col("score"), F.lit(NO_CONTEXT_CAP))).otherwise(F.col("score"))
+    hit = hit.withColumns({"score": score, "known": known}).withColumn("score", F.when(F.col("known"), F.col("score") + CONTEXT_BOOST).otherwise(lone))
+    told = lambda f: F.get(F.array(*[F.lit(f(r)) for r in rules]), F.col("rule"))
+    return hit.select(*keep, "start", "end", "value", told(lambda r: r.entity).alias("entity_type"), told(lambda r: r.name).alias("recognizer"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")), 3).alias("score"))
 
 
 def route(score: Column) -> Column:

@@ -185,12 +185,13 @@ def find_secrets(spark, sf_dir):
     return occurrences(spark, sf_dir, SECRET)
 
 
-SIMPLE = [
-    rules.Rule("email", "EMAIL_ADDRESS", EMAIL, 0.92),
-    rules.Rule("card", "CREDIT_CARD", CARD, 0.35, checks.card_delta),
-    rules.Rule("ipv4", "IP_ADDRESS", IPV4, 0.55, checks.ipv4_delta),
-    rules.Rule("secret", "CREDENTIAL", SECRET, 0.6),
-]
+def simple(name: str, entity: str, pattern: str, score: float, check=None) -> rules.Rule:
+    return rules.Rule(name, entity, pattern, score, check, context=tuple(rules.CONTEXT_WORDS.get(entity, ())))
+
+
+#: Four rules whose patterns SQL engines without look-around have as well. The queries with an SQL twin run on these; each
+#: has a sister (its name and _all) that runs on the whole catalogue.
+SIMPLE = [simple("email", "EMAIL_ADDRESS", EMAIL, 0.92), simple("card", "CREDIT_CARD", CARD, 0.35, checks.card_delta), simple("ipv4", "IP_ADDRESS", IPV4, 0.55, checks.ipv4_delta), simple("secret", "CREDENTIAL", SECRET, 0.6)]
 
 
 def simple_findings(spark, sf_dir) -> DataFrame:
@@ -221,21 +222,18 @@ def findings(spark, sf_dir):
     return simple_findings(spark, sf_dir)
 
 
-@query()
-def findings_all_rules(spark, sf_dir):
-    """The whole rule catalogue, resolved: patterns with look-around have no SQL twin."""
-    return resolve.resolve(rules.scan(document_lines(spark, sf_dir)), ["doc_id", "span_ord"])
-
-
 CLUSTER_SQL = f"""{FOUND_SQL}, o AS (SELECT *, max("end") OVER (PARTITION BY doc_id, span_ord ORDER BY start, "end" DESC, recognizer ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM found),
 c AS (SELECT *, sum(CASE WHEN reach IS NULL OR start >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, span_ord ORDER BY start, "end" DESC, recognizer ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cluster FROM o),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, span_ord, cluster ORDER BY CASE WHEN score >= 0.35 THEN CASE entity_type WHEN 'CREDENTIAL' THEN 10 WHEN 'IP_ADDRESS' THEN 8 ELSE 9 END ELSE 0 END DESC, score DESC, "end" - start DESC, start, recognizer) AS n FROM c),
-won AS (SELECT doc_id, span_ord, start, "end", value, entity_type, recognizer, score, CASE WHEN score >= 0.6 THEN 'redact' WHEN score >= 0.35 THEN 'review' ELSE 'drop' END AS decision FROM r WHERE n = 1)"""
+p AS (SELECT *, CASE entity_type WHEN 'CREDENTIAL' THEN 10 WHEN 'IP_ADDRESS' THEN 8 ELSE 9 END AS priority FROM c),
+r AS (SELECT *, row_number() OVER w AS n, first_value({{'s': start, 'e': "end", 't': entity_type, 'p': priority}}) OVER w AS f FROM p
+ WINDOW w AS (PARTITION BY doc_id, span_ord, cluster ORDER BY CASE WHEN score >= 0.35 THEN priority ELSE 0 END DESC, score DESC, "end" - start DESC, start, recognizer)),
+won AS (SELECT doc_id, span_ord, start, "end", value, entity_type, recognizer, score, CASE WHEN score >= 0.6 THEN 'redact' WHEN score >= 0.35 THEN 'review' ELSE 'drop' END AS decision FROM r
+ WHERE n = 1 OR (NOT (start >= f.s AND "end" <= f.e) AND (entity_type = f.t OR start >= f.e OR "end" <= f.s OR priority > f.p)))"""
 
 
 @query(f"WITH {CLUSTER_SQL} SELECT * FROM won")
 def resolved(spark, sf_dir):
-    return resolve.resolve(simple_findings(spark, sf_dir).drop("decision"), ["doc_id", "span_ord"])
+    return resolve.resolve(simple_findings(spark, sf_dir).drop("decision"), ["doc_id", "span_ord"]).drop("widened")
 
 
 # tokens and redaction
@@ -270,11 +268,79 @@ def redacted(spark, sf_dir):
     return safe.select("doc_id", "span_ord", F.md5("safe_text").alias("digest"), F.char_length("safe_text").alias("chars"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS leaks")
+@query(f"""WITH {VAULT_SQL}, v AS (SELECT DISTINCT entity_type, lower(value) AS form FROM live WHERE entity_type <> 'CREDENTIAL' OR length(value) >= 4), s AS (WITH {LINES_SQL} SELECT * FROM spans),
+t AS (SELECT doc_id, span_ord, unnest(regexp_extract_all(lower(text), '[^ \t]+')) AS word FROM s),
+n AS (SELECT doc_id, span_ord, entity_type, form FROM (SELECT DISTINCT doc_id, span_ord, word FROM t) JOIN v ON word = form)
+SELECT entity_type, count(*) AS places FROM n GROUP BY entity_type""")
+def known_values(spark, sf_dir):
+    """In how many lines a found value stands as a word of its own, also where no rule found it: before redaction."""
+    won = resolved(spark, sf_dir)
+    forms = redact.live(won).select("entity_type", F.lower("value").alias("form")).distinct()
+    words = document_lines(spark, sf_dir).select("doc_id", "span_ord", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[^ \t]+"), F.lit(0)))).alias("form"))
+    return words.join(forms, "form").groupBy("entity_type").agg(F.count("*").alias("places"))
+
+
+# the same on the whole catalogue
+
+KEYS = ["doc_id", "span_ord"]
+
+
+@query()
+def findings_all_rules(spark, sf_dir):
+    """Raw findings of all 44 rules, in one pass over the lines."""
+    return rules.scan(document_lines(spark, sf_dir))
+
+
+def resolved_rows(spark, sf_dir) -> DataFrame:
+    lines = document_lines(spark, sf_dir)
+    return resolve.rewritten(resolve.resolve(rules.scan(lines), KEYS), lines, KEYS)
+
+
+@query()
+def resolved_all(spark, sf_dir):
+    return resolved_rows(spark, sf_dir)
+
+
+@query()
+def vault_all(spark, sf_dir):
+    return redact.numbered_vault(resolved_rows(spark, sf_dir), [*KEYS, "start"]).drop("forms")
+
+
+def safe_rows(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lines with safe_text, the findings with their tokens, the needles."""
+    lines = document_lines(spark, sf_dir)
+    won = resolved_rows(spark, sf_dir)
+    tokens = redact.numbered_vault(won, [*KEYS, "start"]).select("entity_type", "norm_value", "token")
+    own = redact.live(won).withColumn("norm_value", text.normalise(F.col("entity_type"), F.col("value"))).join(tokens, ["entity_type", "norm_value"])
+    needles = redact.needles(own)
+    missed = redact.locate(lines, needles, KEYS)
+    own = own.select(*KEYS, "start", "end", F.col("token").alias("replacement"), "decision")
+    more = redact.uncovered(missed, own, KEYS).select(*KEYS, "start", "end", F.col("token").alias("replacement"), F.lit("redact").alias("decision"))
+    every = own.unionByName(more)
+    return redact.splice(lines, every, KEYS), every, needles
+
+
+@query()
+def redacted_all(spark, sf_dir):
+    """Every line with its values and all their other mentions replaced by tokens."""
+    safe, _, _ = safe_rows(spark, sf_dir)
+    return safe.select(*KEYS, F.md5("safe_text").alias("digest"), F.char_length("safe_text").alias("chars"))
+
+
+@query()
 def gate_residual(spark, sf_dir):
-    """Values left in their redacted span: none."""
-    safe, found = redacted_spans(spark, sf_dir)
-    return redact.gate(safe, found, ["doc_id", "span_ord"]).agg(F.count("*").alias("leaks"))
+    """Known values that can still be read anywhere in the redacted lines: none, or the output must not be released."""
+    safe, _, needles = safe_rows(spark, sf_dir)
+    left = redact.locate(safe.select(*KEYS, F.col("safe_text").alias("text")), needles, KEYS)
+    return left.agg(F.count("*").alias("leaks"))
+
+
+@query()
+def exposure_all(spark, sf_dir):
+    sizes = table(spark, sf_dir, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"[^ \t\r\n]+"), F.lit(0))).alias("words"))
+    return report.exposure(resolved_rows(spark, sf_dir), sizes, "doc_id")
+
+
 
 
 # registered passages
@@ -371,42 +437,61 @@ def daily_activity(spark, sf_dir):
 # prompts
 
 def code_sql() -> str:
-    points = " + ".join(f"CASE WHEN regexp_matches(trim(text, ' '), '{rx}') THEN {p} ELSE 0 END" for p, rx in guard.CODE_SIGNS)
-    return f"""WITH l AS (SELECT conv_id, turn, CAST(unnest(generate_series(1, len(string_split(text, chr(10))))) - 1 AS INTEGER) AS span_ord, unnest(string_split(text, chr(10))) AS text FROM conversations),
-s AS (SELECT *, CASE WHEN {points} >= 2 THEN 1 ELSE 0 END AS code FROM l WHERE trim(text, ' ') <> ''),
-g AS (SELECT *, row_number() OVER w - sum(code) OVER w AS g FROM s WINDOW w AS (PARTITION BY conv_id, turn ORDER BY span_ord)),
-r AS (SELECT conv_id, turn, sum(code) AS run, count(*) AS n FROM g GROUP BY conv_id, turn, g)
-SELECT conv_id, turn, CAST(sum(n) AS BIGINT) AS lines, CAST(sum(run) AS BIGINT) AS code_lines, CAST(sum(CASE WHEN run >= 3 THEN 1 ELSE 0 END) AS BIGINT) AS blocks FROM r GROUP BY conv_id, turn"""
-
-
-def turn_lines(spark, sf_dir) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations")
-    return turns.select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("span_ord", "text")).where(F.trim("text") != "")
+    quoted = lambda rx: rx.replace("'", "''")
+    points = " + ".join(f"CASE WHEN regexp_matches(s, '{quoted(rx)}') THEN {p} ELSE 0 END" for p, rx in guard.CODE_SIGNS)
+    return f"""WITH l AS (SELECT conv_id, turn, unnest(generate_series(1, len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS text FROM conversations WHERE text IS NOT NULL),
+t AS (SELECT *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS s, regexp_matches(text, '^\\s*(?:```|~~~)') AS fence FROM l),
+p AS (SELECT *, s = '' AS blank, CASE WHEN s = '' THEN 0 ELSE {points} END AS points, sum(CAST(fence AS INTEGER)) OVER w AS fences FROM t WINDOW w AS (PARTITION BY conv_id, turn ORDER BY line)),
+g AS (SELECT *, points >= 2 OR (NOT fence AND NOT blank AND fences % 2 = 1) AS strong, NOT blank AND (points >= 1 OR regexp_matches(text, '^[ \\t]')) AS weak FROM p),
+r AS (SELECT *, strong OR weak AS part, line - sum(CAST(strong OR weak AS INTEGER)) OVER (PARTITION BY conv_id, turn ORDER BY line) AS run FROM g),
+c AS (SELECT *, part AND bool_or(strong) OVER (PARTITION BY conv_id, turn, run, part) AS code, lag(blank) OVER (PARTITION BY conv_id, turn ORDER BY line) AS blank_before FROM r),
+o AS (SELECT *, line - lag(line) OVER (PARTITION BY conv_id, turn ORDER BY line) AS gap FROM c WHERE code),
+b AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 2 OR (gap = 2 AND NOT blank_before) THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn ORDER BY line) AS block FROM o),
+k AS (SELECT conv_id, turn, block, count(*) AS n FROM b GROUP BY ALL), x AS (SELECT conv_id, turn, count(*) AS blocks, max(n) AS longest, CAST(sum(n) AS BIGINT) AS n FROM k GROUP BY ALL),
+z AS (SELECT conv_id, turn, count(*) FILTER (NOT blank) AS lines, bool_or(fence) AS fenced FROM c GROUP BY ALL),
+f AS (SELECT conv_id, turn, lines, coalesce(n, 0) AS n, coalesce(blocks, 0) AS blocks, (fenced AND coalesce(n, 0) > 0) OR coalesce(longest, 0) >= 3 OR (coalesce(n, 0) >= 2 AND n >= 0.6 * lines) AS detected FROM z LEFT JOIN x USING (conv_id, turn))
+SELECT conv_id, turn, detected, lines, CASE WHEN detected THEN n ELSE 0 END AS code_lines, CASE WHEN detected THEN round(n / lines, 3) ELSE 0.0 END AS share, CAST(CASE WHEN detected THEN blocks ELSE 0 END AS INTEGER) AS n_blocks FROM f"""
 
 
 @query(code_sql())
 def prompt_code(spark, sf_dir):
-    return guard.code_blocks(turn_lines(spark, sf_dir), ["conv_id", "turn"])
+    """Code in prompts: lines by their signs, fences, weak lines beside code, blocks."""
+    found = guard.code(table(spark, sf_dir, "conversations"), ["conv_id", "turn"])
+    return found.select("conv_id", "turn", "detected", "lines", F.col("code_lines").cast("long").alias("code_lines"), "share", F.size("blocks").alias("n_blocks"))
 
 
-@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents), m AS (SELECT doc_id, regexp_extract(text, '(?i)\b(?:licensed under|all rights reserved|permission is hereby)\b') AS marking FROM l)
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents), m AS (SELECT doc_id, regexp_extract(text, '(?i)(?:^|[^\w])(licensed[\s_-]+under|all[\s_-]+rights[\s_-]+reserved|permission[\s_-]+is[\s_-]+hereby)(?:$|[^\w])', 1) AS marking FROM l)
 SELECT doc_id, count(*) AS marked_lines FROM m WHERE marking <> '' GROUP BY doc_id""")
 def licence_markings(spark, sf_dir):
-    lines = guard.markings(document_lines(spark, sf_dir), ["licensed under", "all rights reserved", "permission is hereby", "copyrighted"])
-    return lines.where(~F.lower("marking").isin("copyrighted")).groupBy("doc_id").agg(F.count("*").alias("marked_lines"))
+    lines = guard.markings(document_lines(spark, sf_dir), ["licensed under", "all rights reserved", "permission is hereby"])
+    return lines.groupBy("doc_id").agg(F.count("*").alias("marked_lines"))
 
 
-LONG_TURN = 1024
+@query()
+def prompt_markings(spark, sf_dir):
+    """Lines of prompts with a classification marking, and why it counts."""
+    lines = guard.as_lines(table(spark, sf_dir, "conversations"), ["conv_id", "turn"])
+    return guard.markings(lines).select("conv_id", "turn", "line", "marking", "why")
 
 
-@query(rf"""WITH t AS (SELECT conv_id, turn, octet_length(encode(text)) AS bytes, regexp_matches(text, '{EMAIL}') OR regexp_matches(text, '{IPV4}') OR regexp_matches(text, '{CARD}') AS found FROM conversations)
-SELECT conv_id, turn, CAST(bytes AS INTEGER) AS bytes, CASE WHEN bytes > {LONG_TURN} THEN 'blocked' WHEN found THEN 'redacted' ELSE 'clean' END AS verdict FROM t""")
+@query()
 def prompt_verdicts(spark, sf_dir):
-    """Size first, then values: a prompt over the limit is refused unread."""
-    t = F.col("text")
-    bytes_ = F.octet_length(t)
-    found = t.rlike(EMAIL) | t.rlike(IPV4) | t.rlike(CARD)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", bytes_.alias("bytes"), guard.verdict(bytes_ > LONG_TURN, found).alias("verdict"))
+    """Every turn under the guard's policy: code, markings, text of the benchmark, values; its safe text by its digest."""
+    prints = protected.register(table(spark, sf_dir, "benchmark"), "item_id")
+    judged = guard.check(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], guard.Policy(), prints=prints)
+    return judged.select("conv_id", "turn", "bytes", "verdict", "blocked_by", "warned", "code_lines", "protected_words", "n_values", "findings", F.md5("safe_text").alias("safe_digest"))
+
+
+@query()
+def guard_by_rule(spark, sf_dir):
+    return report.by_rule(prompt_verdicts(spark, sf_dir))
+
+
+@query()
+def registry_overlaps(spark, sf_dir):
+    """Documents that hold text of the benchmark: words, longest run, share, ranges of lines."""
+    prints = protected.register(table(spark, sf_dir, "benchmark"), "item_id")
+    return protected.overlaps(table(spark, sf_dir, "documents"), "doc_id", prints, "item_id")
 
 
 @query(r"""WITH w AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '[A-Z][a-z]{5,}')) AS value FROM conversations), f AS (SELECT conv_id, lower(value) AS norm, min(turn) AS first, count(*) AS uses FROM w GROUP BY ALL)
