@@ -6,6 +6,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -182,11 +183,11 @@ def check(prompts: DataFrame, keys: list[str], policy: Policy | None = None, *,
         found = found.unionByName(extra)
     won = resolve.rewritten(resolve.resolve(found, keys), read, keys)
     values = redact.live(won).withColumn("norm_value", normalise(F.col("entity_type"), F.col("value")))
-    numbered = values.select(*keys, "entity_type", "norm_value", "start").groupBy(*keys, "entity_type", "norm_value").agg(F.min("start").alias("at"))
-    number = F.row_number().over(Window.partitionBy(*keys, "entity_type").orderBy("at", "norm_value")).cast("string")
+    # numbered within the prompt by first appearance, in windows, so that the scan is not run again for a join
+    values = values.withColumn("first_at", F.min("start").over(Window.partitionBy(*keys, "entity_type", "norm_value")))
+    number = F.dense_rank().over(Window.partitionBy(*keys, "entity_type").orderBy("first_at", "norm_value")).cast("string")
     token = F.concat(F.lit("["), resolve.lookup(redact.SHORT_NAMES, F.col("entity_type"), "VALUE"), F.lit("_U"), F.when(F.char_length(number) < 3, F.lpad(number, 3, "0")).otherwise(number), F.lit("]"))
-    tokens = numbered.select(*keys, "entity_type", "norm_value", token.alias("replacement"))
-    own = values.join(tokens, [*keys, "entity_type", "norm_value"])
+    own = values.withColumn("replacement", token).persist(StorageLevel.DISK_ONLY)
     safe = redact.splice(read, own, keys).select(*keys, "safe_text")
     counts = own.groupBy(*keys).agg(F.countDistinct("entity_type", "norm_value").alias("n_values"), F.count("*").alias("findings"), F.collect_set("entity_type").alias("categories"))
     out = turns.join(coded, keys, "left").join(marks, keys, "left").join(counts, keys, "left").join(safe, keys, "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -309,7 +310,8 @@ def vault_all(spark, sf_dir):
 def safe_rows(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Lines with safe_text, the findings with their tokens, the needles."""
     lines = document_lines(spark, sf_dir)
-    won = resolved_rows(spark, sf_dir)
+    # used several times below: kept, on the executors' disks, rather than scanned for again; what is lost is computed anew
+    won = resolved_rows(spark, sf_dir).persist(StorageLevel.DISK_ONLY)
     tokens = redact.numbered_vault(won, [*KEYS, "start"]).select("entity_type", "norm_value", "token")
     own = redact.live(won).withColumn("norm_value", text.normalise(F.col("entity_type"), F.col("value"))).join(tokens, ["entity_type", "norm_value"])
     needles = redact.needles(own)
