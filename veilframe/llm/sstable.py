@@ -226,6 +226,41 @@ def lookup(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
     return arrow_map(read_whole(spark, path, SUFFIX).select("content"), run, "key long, ids binary")
 
 
+class Remote:
+    """A file of the shared file system that is read in the ranges asked for, so that a Shard over it reads its footer, its
+    index, its filter and one block."""
+
+    def __init__(self, spark: SparkSession, file):
+        self.utils = spark.sparkContext._jvm.org.apache.commons.io.IOUtils
+        fs = file.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        self.size, self.stream, self.read = fs.getFileStatus(file).getLen(), fs.open(file), 0
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, at: int | slice):
+        low, high, _ = (at if isinstance(at, slice) else slice(at, at + 1)).indices(self.size)
+        self.stream.seek(low)
+        got = bytes(self.utils.toByteArray(self.stream, max(0, high - low)))
+        self.read += len(got)
+        return got if isinstance(at, slice) else got[0]
+
+
+def find(spark: SparkSession, path: str, key: int) -> list[bytes]:
+    """The ids of one key, by seeking: for a few keys; lookup searches for many, on the executors."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    out = []
+    for entry in fs.listStatus(folder):
+        if entry.getPath().getName().endswith(SUFFIX) and entry.getLen():
+            file = Remote(spark, entry.getPath())
+            try:
+                out += Shard(file).get(key_of(key))
+            finally:
+                file.stream.close()
+    return out
+
+
 def positions(spark: SparkSession, path: str) -> DataFrame:
     """key, start (ids of all documents before), n_tokens, ids_crc32 of every document in the files. The digests are taken
     where the files are read; no ids leave the task."""
