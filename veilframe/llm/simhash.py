@@ -32,6 +32,7 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,6 +45,8 @@ PAIRS = 64
 #: Members of a block that are compared in one piece.
 SLICE = 256
 ROUNDS = 3
+#: Pairs that are compared at a time.
+FACING = 1 << 16
 #: Shingles hashed at a time, so that very long texts take bounded memory.
 CHUNK = 1 << 18
 
@@ -125,7 +128,7 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
 
 def layout(n: int, similarity: float, recall: float) -> tuple[int, int]:
     """Bits of a block, and how many blocks it takes for n rows."""
-    bits = max(12, math.ceil(math.log2(max(2, n))))
+    bits = max(12, math.ceil(math.log2(max(2, n))) + 2)
     # equally large sets at this similarity have this cosine; a bit differs with the angle's share of a half turn
     same = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - same**bits)))
@@ -207,24 +210,36 @@ def facing(met: DataFrame, similarity: float, nearest: bool) -> DataFrame:
     fingerprints differ in few enough bits (d), as 99 of 100 pairs at this similarity; with nearest, of each member only
     the nearest."""
 
+    def first(who: np.ndarray, apart: np.ndarray) -> np.ndarray:
+        """Where each of who comes first by apart."""
+        order = np.lexsort((apart, who))
+        return order[np.concatenate([[True], who[order][1:] != who[order][:-1]])] if len(order) else order
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1):
-            x, y = [b.column(i)[0].values for i in (0, 1)]
-            (p, pn, pr), (q, qn, qr) = [[side.field(k).to_numpy() for k in ("node", "n", "root")] for side in (x, y)]
-            pw, qw = [np.frombuffer(b"".join(side.field("wide").to_pylist()), np.uint64).reshape(len(side), -1) for side in (x, y)]
+        for b in slices(batches, 512):
+            sides, sizes = [b.column(i).flatten() for i in (0, 1)], [pc.list_value_length(b.column(i)).to_numpy().astype(np.int64) for i in (0, 1)]
+            (p, pn, pr), (q, qn, qr) = [[side.field(k).to_numpy() for k in ("node", "n", "root")] for side in sides]
+            pw, qw = [np.frombuffer(b"".join(side.field("wide").to_pylist()), np.uint64).reshape(len(side), -1) for side in sides]
             most = most_apart(pw.shape[1] * 64, similarity, 2.33)
-            far = most + 1
-            apart = np.full((len(p), len(q)), far)
-            for i in range(len(p)):
-                near = np.flatnonzero((qr != pr[i]) & (np.minimum(qn, pn[i]) >= similarity * np.maximum(qn, pn[i])))
-                apart[i, near] = np.bitwise_count(qw[near] ^ pw[i]).sum(axis=1)
-            i, j = np.nonzero(apart <= most)
-            if nearest:
-                rows, cols = np.arange(len(p)), np.arange(len(q))
-                i, j = np.concatenate([rows, apart.argmin(axis=0)]), np.concatenate([apart.argmin(axis=1), cols])
-                ok = apart[i, j] <= most
+            at = [np.cumsum(x) - x for x in sizes]
+            pairs = sizes[0] * sizes[1]
+            # as many rows at a time as have some ten thousand pairs
+            cuts = np.searchsorted(np.cumsum(pairs), np.arange(0, pairs.sum() + FACING, FACING), "left")
+            cuts = np.unique(np.concatenate([[0], cuts, [len(pairs)]]))
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                of = np.repeat(np.arange(low, high), pairs[low:high])
+                inner = np.arange(len(of)) - np.repeat(np.cumsum(pairs[low:high]) - pairs[low:high], pairs[low:high])
+                i, j = at[0][of] + inner // sizes[1][of], at[1][of] + inner % sizes[1][of]
+                ok = (pr[i] != qr[j]) & (np.minimum(pn[i], qn[j]) >= similarity * np.maximum(pn[i], qn[j]))
                 i, j = i[ok], j[ok]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p[i], q[j])), pa.array(np.maximum(p[i], q[j])), pa.array(apart[i, j].astype(np.int32))], ["a", "b", "d"])
+                apart = np.bitwise_count(pw[i] ^ qw[j]).sum(axis=1)
+                near = np.flatnonzero(apart <= most)
+                i, j, apart = i[near], j[near], apart[near]
+                if nearest:
+                    own = np.unique(np.concatenate([first(i, apart), first(j, apart)]))
+                    i, j, apart = i[own], j[own], apart[own]
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p[i], q[j])), pa.array(np.maximum(p[i], q[j])), pa.array(apart.astype(np.int32))], ["a", "b", "d"])
 
     return arrow_map(met.select("left", "right"), run, "a long, b long, d int")
 
