@@ -109,20 +109,22 @@ def group_rank(df: DataFrame, groups: DataFrame, keys: list[str], order: list, s
     groups has one row a group: the keys, the number of cells it is cut into (column `cells`) and what else is to be
     added to its rows. Rows go to cell pmod(spread, cells); the rank follows (cell, *order). Null keys form a group.
     """
-    cell, at = fresh([*df.columns, *groups.columns], "cell_no"), fresh([*df.columns, *groups.columns], "rows_before")
-    here = {k: fresh([*df.columns, *groups.columns], f"key_{k}") for k in keys}
+    taken = [*df.columns, *groups.columns]
+    cell, at = fresh(taken, "cell_no"), fresh(taken, "rows_before")
+    twin = fresh([*taken, cell], f"{cell}_r")
+    here = {k: fresh([*taken, cell, twin, at], f"key_{k}") for k in keys}
 
-    def joined(left: DataFrame, right: DataFrame, also: list[str]) -> DataFrame:
+    def joined(left: DataFrame, right: DataFrame, also: dict[str, str]) -> DataFrame:
         right = right.withColumnsRenamed(here)
-        same = [left[k].eqNullSafe(right[here[k]]) for k in keys] + [left[x] == right[f"{x}_r"] for x in also]
+        same = [left[k].eqNullSafe(right[here[k]]) for k in keys] + [left[x] == right[y] for x, y in also.items()]
         on = same[0]
         for x in same[1:]:
             on = on & x
-        return left.join(right, on).drop(*here.values(), *[f"{x}_r" for x in also])
+        return left.join(right, on).drop(*here.values(), *also.values())
 
-    dealt = joined(df, groups, []).withColumn(cell, F.pmod(spread, F.col(cells)).cast("int"))
+    dealt = joined(df, groups, {}).withColumn(cell, F.pmod(spread, F.col(cells)).cast("int"))
     counts = dealt.groupBy(*keys, cell).agg(F.count("*").alias(at))
     before = Window.partitionBy(*keys).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn(at, F.coalesce(F.sum(at).over(before), F.lit(0))).withColumnRenamed(cell, f"{cell}_r")
+    counts = counts.withColumn(at, F.coalesce(F.sum(at).over(before), F.lit(0))).withColumnRenamed(cell, twin)
     ranked = dealt.withColumn(rank, F.row_number().over(Window.partitionBy(*keys, cell).orderBy(*order)))
-    return joined(ranked, counts, [cell]).withColumn(rank, F.col(rank).cast("long") + F.col(at)).drop(cell, at)
+    return joined(ranked, counts, {cell: twin}).withColumn(rank, F.col(rank).cast("long") + F.col(at)).drop(cell, at)
