@@ -225,8 +225,8 @@ def findings(spark, sf_dir):
 
 CLUSTER_SQL = f"""{FOUND_SQL}, o AS (SELECT *, max("end") OVER (PARTITION BY doc_id, span_ord ORDER BY start, "end" DESC, recognizer ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM found),
 c AS (SELECT *, sum(CASE WHEN reach IS NULL OR start >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, span_ord ORDER BY start, "end" DESC, recognizer ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cluster FROM o),
-p AS (SELECT *, CASE entity_type WHEN 'CREDENTIAL' THEN 10 WHEN 'IP_ADDRESS' THEN 8 ELSE 9 END AS priority FROM c),
-r AS (SELECT *, row_number() OVER w AS n, first_value({{'s': start, 'e': "end", 't': entity_type, 'p': priority}}) OVER w AS f FROM p
+ranked AS (SELECT *, CASE entity_type WHEN 'CREDENTIAL' THEN 10 WHEN 'IP_ADDRESS' THEN 8 ELSE 9 END AS priority FROM c),
+r AS (SELECT *, row_number() OVER w AS n, first_value({{'s': start, 'e': "end", 't': entity_type, 'p': priority}}) OVER w AS f FROM ranked
  WINDOW w AS (PARTITION BY doc_id, span_ord, cluster ORDER BY CASE WHEN score >= 0.35 THEN priority ELSE 0 END DESC, score DESC, "end" - start DESC, start, recognizer)),
 won AS (SELECT doc_id, span_ord, start, "end", value, entity_type, recognizer, score, CASE WHEN score >= 0.6 THEN 'redact' WHEN score >= 0.35 THEN 'review' ELSE 'drop' END AS decision FROM r
  WHERE n = 1 OR (NOT (start >= f.s AND "end" <= f.e) AND (entity_type = f.t OR start >= f.e OR "end" <= f.s OR priority > f.p)))"""
