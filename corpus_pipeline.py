@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept, as rows of documents; the result is
 written and read back before the next one starts, so no stage recomputes another.
+
+Cases, in every stage: null texts are empty ones; rows with a null id are kept unless toxic, copies of one another or
+empty after cuts; repeated rows are near copies, so one of them stays; columns beyond those of documents go along; an
+empty table gives no rows. What each stage does with ties and very long texts is told by its operator.
 """
 
 from __future__ import annotations
