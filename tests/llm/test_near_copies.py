@@ -1,8 +1,11 @@
 """Documents at a Jaccard similarity of 0.8 or more are one group, also in crowds; others stay apart."""
 
+from pathlib import Path
+
 import numpy as np
 
 from veilframe.llm import simhash
+from veilframe.llm.common import shared_dir
 
 WORDS = [f"w{i}" for i in range(5000)]
 
@@ -75,3 +78,15 @@ def test_the_stage_drops_a_copy_with_one_changed_word(spark):
         rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(edited(rng, words, [50])))]
     left = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert sorted(r.doc_id for r in left.collect()) == list(range(0, 40, 2))
+
+
+def test_tables_between_steps_go_once_used(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, " ".join(str(x) for x in rng.choice(WORDS, 100))) for i in range(40)]
+    rows += [(40 + i, " ".join(edited(rng, rows[i][1].split(), [50]))) for i in range(20)]
+    there = lambda: {x.name for x in Path(shared_dir(spark)).iterdir()}
+    before = there()
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i % 40 for i in range(60)}
+    left = {x.rsplit("-", 1)[0] for x in there() - before}
+    assert not {"sketches", "sets", "placed", "block-slices", "slices", "nearest", "other-pairs", "best-pairs"} & left

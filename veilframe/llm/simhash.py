@@ -13,11 +13,14 @@ which no few blocks of 64 bits survive, so the fingerprint is made longer and cu
 pair at exactly `similarity` to agree on a whole one with a chance of `recall` (closer pairs do so practically always).
 A block is as long as the number of rows asks for, so pairs that meet by chance stay in proportion to the rows. Pairs
 on a block are verified by Hamming distance (64 further bits, 4 standard deviations wide), then on the sets themselves.
+A member whose set is too large or too small for every other of its block can be similar to none and is left out there.
 First each member of a block meets the first and the one before it alone; the sets of its best partner decide, and form
 components. Then, in blocks that hold several components, all members of different ones meet: in slices of SLICE rows,
 each slice with each, compared by their whole fingerprints within a task, so that no task holds more than two slices. At
 first only the nearest of another component is verified for each member, and components grow; once that joins nothing (or
-after ROUNDS), all that are left and about as near as wanted are verified.
+after ROUNDS), all that are left and about as near as wanted are verified. As components only grow, a member of a block
+that has no one of another component about as near as wanted will have none later: it goes on in that block no more, so
+whole fingerprints of chance meetings are moved once.
 
 Cases: null text is empty text; texts without words have fingerprint zero and the empty set, and link like any other;
 rows with a null id take part and never name a component (a component of nothing else has null); repeated rows link to
@@ -37,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import arrow_map, fresh, save, slices, utf8
+from veilframe.llm.common import arrow_map, drop_saved, fresh, save, slices, utf8
 from veilframe.llm.components import components
 
 SEED = 42
@@ -206,9 +209,9 @@ def most_apart(bits: int, similarity: float, deviations: float) -> int:
 
 
 def facing(met: DataFrame, similarity: float, nearest: bool) -> DataFrame:
-    """Pairs (a, b, d) across two slices (left, right: node, n, root, wide) that lie in different components and whose whole
-    fingerprints differ in few enough bits (d), as 99 of 100 pairs at this similarity; with nearest, of each member only
-    the nearest."""
+    """Pairs (key, a, b, d) across two slices of a block (key, left, right: node, n, root, wide) that lie in different
+    components and whose whole fingerprints differ in few enough bits (d), as 99 of 100 pairs at this similarity; with
+    nearest, of each member only the nearest."""
 
     def first(who: np.ndarray, apart: np.ndarray) -> np.ndarray:
         """Where each of who comes first by apart."""
@@ -217,6 +220,7 @@ def facing(met: DataFrame, similarity: float, nearest: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 512):
+            key = b.column(2).to_numpy()
             sides, sizes = [b.column(i).flatten() for i in (0, 1)], [pc.list_value_length(b.column(i)).to_numpy().astype(np.int64) for i in (0, 1)]
             (p, pn, pr), (q, qn, qr) = [[side.field(k).to_numpy() for k in ("node", "n", "root")] for side in sides]
             pw, qw = [np.frombuffer(b"".join(side.field("wide").to_pylist()), np.uint64).reshape(len(side), -1) for side in sides]
@@ -231,17 +235,28 @@ def facing(met: DataFrame, similarity: float, nearest: bool) -> DataFrame:
                 inner = np.arange(len(of)) - np.repeat(np.cumsum(pairs[low:high]) - pairs[low:high], pairs[low:high])
                 i, j = at[0][of] + inner // sizes[1][of], at[1][of] + inner % sizes[1][of]
                 ok = (pr[i] != qr[j]) & (np.minimum(pn[i], qn[j]) >= similarity * np.maximum(pn[i], qn[j]))
-                i, j = i[ok], j[ok]
+                i, j, of = i[ok], j[ok], of[ok]
                 apart = np.bitwise_count(pw[i] ^ qw[j]).sum(axis=1)
                 near = np.flatnonzero(apart <= most)
-                i, j, apart = i[near], j[near], apart[near]
+                i, j, of, apart = i[near], j[near], of[near], apart[near]
                 if nearest:
                     own = np.unique(np.concatenate([first(i, apart), first(j, apart)]))
-                    i, j, apart = i[own], j[own], apart[own]
+                    i, j, of, apart = i[own], j[own], of[own], apart[own]
                 if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p[i], q[j])), pa.array(np.maximum(p[i], q[j])), pa.array(apart.astype(np.int32))], ["a", "b", "d"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key[of]), pa.array(np.minimum(p[i], q[j])), pa.array(np.maximum(p[i], q[j])), pa.array(apart.astype(np.int32))], ["key", "a", "b", "d"])
 
-    return arrow_map(met.select("left", "right"), run, "a long, b long, d int")
+    return arrow_map(met.select("left", "right", "key"), run, "key long, a long, b long, d int")
+
+
+def meeting(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What meets in blocks (rows: key, many, node, n, root, wide), as facing takes it: a block of up to SLICE members with
+    itself, slices of a larger one each with each; and the saved slices, to be dropped."""
+    own = F.collect_list(F.struct("node", "n", "root", "wide"))
+    alone = rows.where(F.col("many") <= SLICE).groupBy("key").agg(own.alias("left")).select("key", "left", F.col("left").alias("right"))
+    cut = F.pmod(F.xxhash64("node"), F.ceil(F.col("many") / SLICE)).cast("int")
+    parts = save(rows.where(F.col("many") > SLICE).groupBy("key", cut.alias("slice")).agg(own.alias("rows")), "block-slices")
+    left, right = parts.select("key", F.col("slice").alias("l"), F.col("rows").alias("left")), parts.select("key", F.col("slice").alias("r"), F.col("rows").alias("right"))
+    return alone.unionByName(left.join(right, "key").where("l <= r").select("key", "left", "right")), parts
 
 
 def best_of(pairs: DataFrame) -> DataFrame:
@@ -254,9 +269,13 @@ def best_of(pairs: DataFrame) -> DataFrame:
 def similar(sets: DataFrame, similarity: float) -> DataFrame:
     """sets (node, members, n, bits, wide, keys), distinct nodes -> (node, root): the components of all similar pairs that
     share a block. Nodes without links don't appear."""
+    block = Window.partitionBy("key")
+    by_size = block.orderBy("n")
     keyed = sets.select("node", "n", "bits", F.explode("keys").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
-    keyed = save(keyed.join(sizes, "key").select("key", "node", "n", "bits", "many"), "block-keys")
+    keyed = keyed.withColumns({"less": F.lag("n").over(by_size), "more": F.lead("n").over(by_size)})
+    # the next smaller and the next larger set are the likeliest to be about as large
+    keyed = keyed.where((F.col("less") >= similarity * F.col("n")) | (F.col("n") >= similarity * F.col("more")))
+    keyed = save(keyed.select("key", "node", "n", "bits", F.count("*").over(block).alias("many")), "block-keys")
     order = Window.partitionBy("key").orderBy(F.xxhash64("node", "key"), "node")
     own = F.struct("node", "n", "bits")
     beside = keyed.withColumns({"head": F.first(own).over(order), "before": F.lag(own).over(order)})
@@ -265,45 +284,56 @@ def similar(sets: DataFrame, similarity: float) -> DataFrame:
     # sets of very different sizes cannot be similar
     alike = (F.least("n", "o.n") >= similarity * F.greatest("n", "o.n")) & (apart <= most_apart(64, similarity, 4))
     pairs = beside.where(alike).select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b"), apart.alias("d")).distinct()
-    edges = save(verified(save(best_of(pairs), "best-pairs"), sets, similarity), "near-links")
-    wide = sets.select("node", "wide")
+    best = save(best_of(pairs), "best-pairs")
+    edges = save(verified(best, sets, similarity), "near-links")
+    drop_saved(best)
+    wide, roots, last = sets.select("node", "wide"), save(components(edges), "near-roots"), False
     for turn in range(ROUNDS + 1):
-        roots = save(components(edges), "near-roots")
+        last = last or turn == ROUNDS
         placed = keyed.select("key", "node", "n", "many").join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("key", "node", "n", "many", F.coalesce("root", "node").alias("root"))
         placed = save(placed, "placed")
         mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-        cut = F.pmod(F.xxhash64("node"), F.ceil(F.col("many") / SLICE)).cast("int")
-        rows = placed.join(mixed, "key", "left_semi").withColumn("slice", cut).join(wide, "node")
-        parts = save(rows.groupBy("key", "slice").agg(F.collect_list(F.struct("node", "n", "root", "wide")).alias("rows")), "slices")
-        left, right = parts.select("key", F.col("slice").alias("l"), F.col("rows").alias("left")), parts.select("key", F.col("slice").alias("r"), F.col("rows").alias("right"))
-        found = facing(left.join(right, "key").where("l <= r"), similarity, nearest=turn < ROUNDS)
-        found = best_of(found) if turn < ROUNDS else found.select("a", "b").distinct()
-        more = save(verified(save(found, "other-pairs"), sets, similarity), "near-links")
+        met, parts = meeting(placed.join(mixed, "key", "left_semi").join(wide, "node"))
+        if last:
+            found = save(facing(met, similarity, nearest=False).select("a", "b").distinct(), "other-pairs")
+        else:
+            near = save(facing(met, similarity, nearest=True), "nearest")
+            found = save(best_of(near), "other-pairs")
+        more = save(verified(found, sets, similarity), "near-links")
+        for done in (placed, parts, found):
+            drop_saved(done)
         linked = not more.isEmpty()
-        edges = edges.unionAll(more) if linked else edges
-        if turn == ROUNDS:
+        if linked:
+            edges = edges.unionAll(more)
+            roots = save(components(edges), "near-roots")
+        if last:
             break
-        if not linked:
-            # nothing nearest is near enough: what else is left is looked at once
-            found = facing(left.join(right, "key").where("l <= r"), similarity, nearest=False).select("a", "b").distinct()
-            more = save(verified(save(found, "other-pairs"), sets, similarity), "near-links")
-            linked = not more.isEmpty()
-            edges = edges.unionAll(more) if linked else edges
+        # who has no one near now will have none later
+        alive = near.select("key", F.col("a").alias("node")).unionAll(near.select("key", "b")).distinct()
+        before, keyed = keyed, save(keyed.join(alive, ["key", "node"], "left_semi"), "block-keys")
+        for done in (before, near):
+            drop_saved(done)
+        if keyed.isEmpty():
             break
-    return components(edges) if linked else roots
+        # when nothing nearest is near enough, what else is left is looked at once
+        last = not linked
+    return roots
 
 
 def near_copies(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", size: int = 5, similarity: float = 0.8, recall: float = 0.95) -> DataFrame:
     """One row a row of docs: id_col, fp (long, the shingle set), root (the component's name), component_id (its smallest id)."""
     bits, blocks_ = layout(docs.count(), similarity, recall)
-    rows = save(sketches(docs, text_col, (id_col,), size, bits, blocks_, "fp"), "sketches")
+    sketched = save(sketches(docs, text_col, (id_col,), size, bits, blocks_, "fp"), "sketches")
+    rows = save(sketched.select(id_col, "fp"), "row-prints")
     prints = save(rows.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("copies")), "prints")
     # of the rows with one set, the first by id has it (by chance where ids are null or repeated)
-    chosen = rows.join(prints.withColumnRenamed("fp", "of"), (F.col("fp") == F.col("of")) & F.col(id_col).eqNullSafe(F.col("least")))
+    chosen = sketched.join(prints.withColumnRenamed("fp", "of"), (F.col("fp") == F.col("of")) & F.col(id_col).eqNullSafe(F.col("least")))
     once = chosen.where("copies = 1").unionByName(chosen.where("copies > 1").dropDuplicates(["fp"]))
     sets = save(once.select(F.col("fp").alias("node"), "members", "n", "bits", "wide", "keys"), "sets")
+    drop_saved(sketched)
     named = prints.join(similar(sets, similarity), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = save(named, "named")
+    drop_saved(sets)
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.select(id_col, "fp").join(named.drop("least").join(smallest, "root"), "fp").select(id_col, "fp", "root", "component_id")
 
