@@ -1,6 +1,7 @@
 """The operators against brute force on small tables with nulls, blanks, repeats, clashing columns and no rows."""
 
 import collections
+import gc
 import math
 import re
 import zlib
@@ -8,6 +9,8 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
+from pyspark.sql.readwriter import DataFrameWriter
 
 from veilframe.llm import components, hpylm, mixing, neighbours, packing, passages, simhash, sstable, toxicity, warc
 from veilframe.llm.common import new_path, save
@@ -322,3 +325,36 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([(i, int(i % 7 == 0)) for i in range(50)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert got and {r.doc_id for r in got} <= {r[0] for r in made()} and 5 not in {r.doc_id for r in got}
+
+
+def test_shuffle_files_go_with_the_write_that_made_them(spark):
+    tracker = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    gc.collect()
+    before = tracker()
+    kept = [save(spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count(), "test-shuffle") for _ in range(3)]
+    assert tracker() <= before and sum(r["count"] for k in kept for r in k.collect()) == 3000
+
+
+def test_language_model_writes_its_blocks_once(docs, monkeypatch):
+    written, real = [], DataFrameWriter.saveAsTable
+
+    def told(self, name, *rest, **more):
+        real(self, name, *rest, **more)
+        written.append(set(self._df.columns))
+
+    monkeypatch.setattr(DataFrameWriter, "saveAsTable", told)
+    assert hpylm.score(docs).count() == len(made())
+    assert [c & {"ids", "words", "pairs", "bigrams"} for c in written] == [{"ids", "words", "pairs", "bigrams"}, set()]
+
+
+def test_tables_are_those_of_customers_seated_one_by_one():
+    rng = np.random.default_rng(3)
+    counts, fresh, keys = rng.integers(0, 60, 300), rng.uniform(0.1, 9, 300), rng.integers(0, 1 << 62, 300).astype(np.uint64)
+    plain = []
+    for c, f, k in zip(counts, fresh, keys, strict=True):
+        tables = min(c, 1)
+        for sit in range(1, c):
+            u = hpylm.unit(hpylm.scramble(hpylm.scramble(np.array([k]) + hpylm.salt_of(5)) + hpylm.salt_of(sit - 1)))[0]
+            tables += u < f / (f + sit - 0.4 * tables)
+        plain.append(tables)
+    assert hpylm.seat(counts, fresh, 0.4, keys, 5).tolist() == plain

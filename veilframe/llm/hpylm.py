@@ -10,8 +10,8 @@ sum of their logarithms.
 How it runs. Texts are kept as blocks of some million tokens: the distinct words of a block, its distinct bigrams as
 pairs of places among these, and the bigram of each token. All that blocks must know of one another goes through one
 primitive, totals by key: each block sends its partial counts of its distinct keys, spread by hash over buckets; a bucket
-adds them up and answers each block in its own order. Counts of words and bigrams are asked for once and kept with the
-blocks, which stay where they are; a sweep asks for totals of words only. A bigram is seated in the one block that owns
+adds them up and answers each block in its own order. Counts of words and bigrams are asked for once and kept beside
+the blocks, which stay where they are; a sweep asks for totals of words only. A bigram is seated in the one block that owns
 it; where the last pass needs its tables elsewhere, they are drawn again from the same hashes of bigram and sweep. A
 frequent word or bigram is one entry a block, so no bucket is hot, and all tables grow with the corpus.
 
@@ -37,13 +37,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import arrow_map, drop_saved, save, slices, utf8
+from veilframe.llm.common import arrow_map, drop_saved, save, shuffles_dropped, slices, utf8
 
 BLOCK_TOKENS = 1_000_000
 BUCKET_KEYS = 1_000_000
 GROUPS = 64
 END, START = np.uint64(1), np.uint64(2)
-MEMO = 1_000_000
+#: Words whose numbers a task keeps from one block to the next.
+MEMO = 500_000
 BLOCK_SCHEMA = "block long, ids array<long>, train binary, lens binary, words binary, word_counts binary, pairs binary, pair_counts binary, bigrams binary"
 #: What the counts of all blocks add to a block: of its words; of its bigrams, and which it owns.
 KNOWN = ["words", "word_totals", "pairs", "pair_totals", "own"]
@@ -65,10 +66,12 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def uniform(keys: np.ndarray, *salt: int) -> np.ndarray:
-    """Numbers in (0, 1) that depend on key and salt alone."""
-    for s in salt:
-        keys = scramble(keys + np.uint64((s + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+def salt_of(s: int) -> np.uint64:
+    return np.uint64((s + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+
+
+def unit(keys: np.ndarray) -> np.ndarray:
+    """Scrambled keys as numbers in (0, 1)."""
     return ((keys >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
 
 
@@ -101,18 +104,23 @@ def erf_inverse(x: np.ndarray) -> np.ndarray:
 def seat(counts: np.ndarray, fresh: np.ndarray, discount: float, keys: np.ndarray, salt: int) -> np.ndarray:
     """Tables of each dish after its `counts` customers sat down: a new table with weight fresh, one of the dish's own
     with its customers less the discounts."""
-    tables = np.minimum(counts, 1).astype(np.int64)
-    n, active, step = np.ones(len(counts), np.int64), np.flatnonzero(counts > 1), 0
-    while len(active):
-        own, sit = keys[active], n[active]
-        more = np.minimum(counts[active] - sit, np.maximum(1, sit // GROUPS))
-        p = fresh[active] / (fresh[active] + sit - discount * tables[active])
-        u = uniform(own, salt, step)
-        tables[active] += (u < p) if more.max() == 1 else np.where(more == 1, u < p, binomial(more, np.minimum(p, 1 - 1e-12), u))
-        n[active] += more
-        active = active[n[active] < counts[active]]
+    # as many sit at every dish that is not done yet; with the largest first, those are in front
+    order = np.argsort(-counts.astype(np.int64), kind="stable")
+    c, weight = counts[order].astype(np.int64), fresh[order]
+    tables, salted = np.minimum(c, 1), scramble(keys[order] + salt_of(salt))
+    active, sit, step = int(np.searchsorted(-c, -1)), 1, 0
+    while active:
+        own = slice(0, active)
+        more = np.minimum(c[own] - sit, max(1, sit // GROUPS))
+        p = weight[own] / (weight[own] + sit - discount * tables[own])
+        u = unit(scramble(salted[own] + salt_of(step)))
+        tables[own] += (u < p) if more[0] == 1 else np.where(more == 1, u < p, binomial(more, np.minimum(p, 1 - 1e-12), u))
+        sit += max(1, sit // GROUPS)
+        active = int(np.searchsorted(-c[own], -sit))
         step += 1
-    return tables
+    out = np.empty_like(tables)
+    out[order] = tables
+    return out
 
 
 @dataclass(frozen=True)
@@ -142,14 +150,31 @@ class Block:
         self.u, self.v = pairs
         self.keys = scramble(self.hashes[self.u] * np.uint64(0x9E3779B97F4A7C15) + scramble(self.hashes[self.v]))
         if row.get("own") is not None:
-            self.totals, self.own = spread(row["pair_totals"], np.uint32).astype(np.int64), spread(row["own"], np.uint8)
+            self.totals, self.own = spread(row["pair_totals"], np.uint32).astype(np.int64), np.unpackbits(spread(row["own"], np.uint8), count=len(self.u))
             self.word_totals = spread(row["word_totals"], np.uint32)
 
 
-def described(ids: list, train: list, lens: list, hashes: list[np.ndarray], number: int) -> dict:
+class Codes(dict):
+    """Numbers of words, in the order in which they are met, and their hashes."""
+
+    def __init__(self):
+        self.hashes: list[int] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = code = len(self.hashes)
+        self.hashes.append(max(3, xxhash.xxh64_intdigest(word, 42)))
+        return code
+
+
+def described(ids: list, train: list, lens: list, coded: list[np.ndarray], memo: Codes, number: int) -> dict:
     """A block row: END is the last but one of its words, START the last."""
-    flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    words, codes = np.unique(flat, return_inverse=True)
+    flat = np.concatenate(coded) if coded else np.zeros(0, np.int32)
+    met = np.flatnonzero(np.bincount(flat, minlength=len(memo.hashes)))
+    # words with one hash are one word
+    words, place = np.unique(np.fromiter(map(memo.hashes.__getitem__, met), np.uint64, len(met)), return_inverse=True)
+    code = np.zeros(len(memo.hashes), np.int64)
+    code[met] = place
+    codes = code[flat]
     lens_, train_ = np.array(lens, np.int64), np.array(train, bool)
     k = len(words) + 2
     ends = np.cumsum(lens_ + 1) - 1
@@ -206,12 +231,18 @@ def totals(up: DataFrame, buckets: int, step: int, finish) -> DataFrame:
                 parts.setdefault(r["bucket"], []).append((r["block"], np.frombuffer(r["keys"], np.uint64), spread(r["a"], np.uint32), spread(r["b"], np.uint32) if r["b"] is not None else None))
         for bucket, rows in parts.items():
             rows.sort(key=lambda r: r[0])
-            keys, first, inverse = np.unique(np.concatenate([r[1] for r in rows]), return_index=True, return_inverse=True)
+            asked = np.concatenate([r[1] for r in rows])
+            order = np.argsort(asked)
+            keys = asked[order]
+            new = np.ones(len(keys), bool)
+            new[1:] = keys[1:] != keys[:-1]
+            keys, inverse = keys[new], np.empty(len(keys), np.int64)
+            inverse[order] = np.cumsum(new) - 1
             add = lambda i: np.bincount(inverse, np.concatenate([r[i] for r in rows]), len(keys)).astype(np.int64) if rows[0][i] is not None else None  # noqa: B023, E731
             answers, stats = finish(keys, add(2), add(3))
             each = answers[inverse]
             if "own" in each.dtype.names:
-                each["own"][first] = 1
+                each["own"][order[new]] = 1
             at = 0
             for n, (block, own, _, _) in enumerate(rows):
                 data = squeeze(each[at : at + len(own)])
@@ -239,11 +270,11 @@ def tokenised(docs: DataFrame, text_col: str, id_col: str, folds: int) -> DataFr
     picked = docs.select(id_.alias("id"), F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds != 0, F.lit(True)).alias("train"), F.col(text_col).alias("text"), F.spark_partition_id().alias("p"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[bytes, int] = {}
-        ids, train, lens, hashes, held, made = [], [], [], [], 0, 0
+        memo = Codes()
+        ids, train, lens, coded, held, made = [], [], [], [], 0, 0
 
         def flush(p: int) -> pa.RecordBatch:
-            row = described(ids, train, lens, hashes, (p << 32) + made)
+            row = described(ids, train, lens, coded, memo, (p << 32) + made)
             kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 7]
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row.values(), kinds, strict=True)], list(row))
 
@@ -252,19 +283,16 @@ def tokenised(docs: DataFrame, text_col: str, id_col: str, folds: int) -> DataFr
             p = b.column(3)[0].as_py()
             for i, t, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), utf8(b.column(2)), strict=True):
                 words = text.lower().split()
-                for w in [w for w in words if w not in memo]:
-                    if len(memo) >= MEMO:
-                        break
-                    memo[w] = max(3, xxhash.xxh64_intdigest(w, 42))
-                h = np.fromiter((memo[w] if w in memo else max(3, xxhash.xxh64_intdigest(w, 42)) for w in words) if len(memo) >= MEMO else map(memo.__getitem__, words), np.uint64, len(words))
                 ids.append(i)
                 train.append(t)
                 lens.append(len(words))
-                hashes.append(h)
+                coded.append(np.fromiter(map(memo.__getitem__, words), np.int32, len(words)))
                 held += len(words) + 1
                 if held >= BLOCK_TOKENS:
                     yield flush(p)
-                    ids, train, lens, hashes, held, made = [], [], [], [], 0, made + 1
+                    ids, train, lens, coded, held, made = [], [], [], [], 0, made + 1
+                    if len(memo) > MEMO:
+                        memo = Codes()
         if ids:
             yield flush(p)
 
@@ -329,21 +357,21 @@ def score(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", fo
     def known_of(row: dict, steps: dict) -> pa.Table:
         x = Block(row)
         words, pair = answered(steps.get(0, []), x.hashes, w_buckets, COUNT), answered(steps.get(1, []), x.keys, b_buckets, PAIR)
-        row = {c: row[c] for c in ("block", "ids", "train", "lens", "words", "pairs", "bigrams")} | {"word_totals": squeeze(words["c"]), "pair_totals": squeeze(pair["c"]), "own": squeeze(pair["own"])}
-        kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 8]
-        return pa.table([pa.array([v], k) for v, k in zip(row.values(), kinds, strict=True)], list(row))
+        new = {"block": x.number, "word_totals": squeeze(words["c"]), "pair_totals": squeeze(pair["c"]), "own": squeeze(np.packbits(pair["own"]))}
+        kinds = [pa.int64(), *[pa.binary()] * 3]
+        return pa.table([pa.array([v], k) for v, k in zip(new.values(), kinds, strict=True)], list(new))
 
     word_counts = save(totals(from_blocks(read, ["words", "word_counts"], words_up, UP_SCHEMA), w_buckets, 0, words_done), "hpylm-words")
     n, v = summed(word_counts)[:2]
     pair_counts = save(totals(from_blocks(read, ["words", "pairs", "pair_counts"], pairs_up, UP_SCHEMA), b_buckets, 1, pairs_done), "hpylm-pairs")
     once, twice = summed(pair_counts)[:2]
-    known_schema = "block long, ids array<long>, train binary, lens binary, words binary, pairs binary, bigrams binary, word_totals binary, pair_totals binary, own binary"
-    kept = ["ids", "train", "lens", "words", "pairs", "bigrams"]
-    from_blocks(read, kept, known_of, known_schema, word_counts, pair_counts).write.bucketBy(parts, "block").saveAsTable(names[1])
+    known_schema = "block long, word_totals binary, pair_totals binary, own binary"
+    with shuffles_dropped(spark):
+        from_blocks(read, ["words", "pairs"], known_of, known_schema, word_counts, pair_counts).write.bucketBy(parts, "block").saveAsTable(names[1])
     for done in (word_counts, pair_counts):
         drop_saved(done)
-    spark.sql(f"DROP TABLE {names[0]}")
-    blocks = spark.table(names[1])
+    # both tables lie in the same buckets, so the blocks are not dealt anew
+    blocks = read.join(spark.table(names[1]).hint("merge"), "block")
     p = Params(d=min(0.95, max(0.05, once / max(1, once + 2 * twice))), n=int(n), v=int(v), tables=float(v), customers=float(v))
 
     def tables_of(x: Block, chosen: np.ndarray, words: np.ndarray | None, q: Params, sweep: int) -> np.ndarray:
@@ -416,5 +444,8 @@ def score(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", fo
 
     needed = sorted({i for s in used for i in (s - 1, s)})
     out = save(from_blocks(blocks, [*KNOWN, "ids", "train", "lens", "bigrams"], final, out_schema, *[states[i] for i in needed]), "hpylm-scores")
-    spark.sql(f"DROP TABLE {names[1]}")
+    for done in states:
+        drop_saved(done)
+    for name in names:
+        spark.sql(f"DROP TABLE {name}")
     return told(out)
