@@ -90,3 +90,13 @@ def test_tables_between_steps_go_once_used(spark):
     assert got == {i: i % 40 for i in range(60)}
     left = {x.rsplit("-", 1)[0] for x in there() - before}
     assert not {"sketches", "sets", "placed", "block-slices", "slices", "nearest", "other-pairs", "best-pairs"} & left
+
+
+def test_a_pair_is_told_in_the_first_block_it_shares(spark):
+    """Three fingerprints of two blocks of 4 bits: nodes 1 and 2 share both blocks, 3 shares the second alone."""
+    wide = lambda first, second: bytes(8) + np.packbits([*first, *second, *[0] * 56]).tobytes()
+    a, b, z = [1, 0, 0, 1], [0, 1, 1, 0], [0, 0, 0, 0]
+    blocks = {0: [(1, wide(a, b)), (2, wide(a, b))], 1: [(1, wide(a, b)), (2, wide(a, b)), (3, wide(z, b))]}
+    met = spark.createDataFrame([(t << 4, [(i, 9, i, w) for i, w in rows]) for t, rows in blocks.items()], "key long, left array<struct<node long, n int, root long, wide binary>>")
+    got = simhash.facing(met, 0.8, 4, 2, nearest=False).collect()
+    assert sorted((r.key, r.a, r.b, r.d) for r in got) == [(0, 1, 2, 0), (16, 1, 3, 2), (16, 2, 3, 2)]

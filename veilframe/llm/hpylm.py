@@ -78,19 +78,23 @@ def unit(keys: np.ndarray) -> np.ndarray:
 def binomial(n: np.ndarray, p: np.ndarray, u: np.ndarray) -> np.ndarray:
     """The binomial draw at the quantile u: by its distribution where few are expected, by the normal limit elsewhere."""
     mean = n * p
-    z = np.sqrt(2) * erf_inverse(2 * u - 1)
-    out = np.clip(np.rint(mean + z * np.sqrt(mean * (1 - p))), 0, n)
+    out, many = np.empty(len(mean)), np.flatnonzero(mean >= 16)
+    if len(many):
+        x, share = mean[many], p[many]
+        z = np.sqrt(2) * erf_inverse(2 * u[many] - 1)
+        out[many] = np.clip(np.rint(x + z * np.sqrt(x * (1 - share))), 0, n[many])
     few = np.flatnonzero(mean < 16)
-    m, q, left = n[few].astype(np.float64), p[few], u[few].copy()
-    term, k = np.exp(m * np.log1p(-q)), np.zeros(len(few))
+    m, q, left = n[few].astype(np.float64), p[few], u[few]
+    term, k, at = np.exp(m * np.log1p(-q)), np.zeros(len(few)), np.arange(len(few))
     for i in range(64):
-        over = left > term
-        if not over.any():
+        # only those that go on are looked at again
+        over = np.flatnonzero(left > term)
+        if not len(over):
             break
-        left = np.where(over, left - term, left)
-        k += over
-        term = np.where(over, term * np.maximum(m - i, 0) / (i + 1) * q / (1 - q), 2.0)
-    out[few] = np.minimum(k, m)
+        at, m, q, left, term = at[over], m[over], q[over], left[over] - term[over], term[over]
+        k[at] += 1
+        term = term * np.maximum(m - i, 0) / (i + 1) * q / (1 - q)
+    out[few] = np.minimum(k, n[few])
     return out.astype(np.int64)
 
 

@@ -49,7 +49,7 @@ PAIRS = 64
 SLICE = 256
 ROUNDS = 3
 #: Pairs that are compared at a time.
-FACING = 1 << 16
+FACING = 1 << 14
 #: Shingles hashed at a time, so that very long texts take bounded memory.
 CHUNK = 1 << 18
 
@@ -208,10 +208,11 @@ def most_apart(bits: int, similarity: float, deviations: float) -> int:
     return math.ceil(bits * share + deviations * math.sqrt(bits * share * (1 - share)))
 
 
-def facing(met: DataFrame, similarity: float, nearest: bool) -> DataFrame:
-    """Pairs (key, a, b, d) across two slices of a block (key, left, right: node, n, root, wide) that lie in different
-    components and whose whole fingerprints differ in few enough bits (d), as 99 of 100 pairs at this similarity; with
-    nearest, of each member only the nearest."""
+def facing(met: DataFrame, similarity: float, bits: int, blocks_: int, nearest: bool) -> DataFrame:
+    """Pairs (key, a, b, d) across two slices of a block (key, left, right: node, n, root, wide; without right, within one)
+    that lie in different components and whose whole fingerprints differ in few enough bits (d), as 99 of 100 pairs at this
+    similarity; with nearest, of each member only the nearest. A pair that shares several blocks is told in the first."""
+    single = "right" not in met.columns
 
     def first(who: np.ndarray, apart: np.ndarray) -> np.ndarray:
         """Where each of who comes first by apart."""
@@ -220,8 +221,9 @@ def facing(met: DataFrame, similarity: float, nearest: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 512):
-            key = b.column(2).to_numpy()
-            sides, sizes = [b.column(i).flatten() for i in (0, 1)], [pc.list_value_length(b.column(i)).to_numpy().astype(np.int64) for i in (0, 1)]
+            key = b.column(0).to_numpy()
+            both = [b.column(1), b.column(1 if single else 2)]
+            sides, sizes = [x.flatten() for x in both], [pc.list_value_length(x).to_numpy().astype(np.int64) for x in both]
             (p, pn, pr), (q, qn, qr) = [[side.field(k).to_numpy() for k in ("node", "n", "root")] for side in sides]
             pw, qw = [np.frombuffer(b"".join(side.field("wide").to_pylist()), np.uint64).reshape(len(side), -1) for side in sides]
             most = most_apart(pw.shape[1] * 64, similarity, 2.33)
@@ -235,9 +237,14 @@ def facing(met: DataFrame, similarity: float, nearest: bool) -> DataFrame:
                 inner = np.arange(len(of)) - np.repeat(np.cumsum(pairs[low:high]) - pairs[low:high], pairs[low:high])
                 i, j = at[0][of] + inner // sizes[1][of], at[1][of] + inner % sizes[1][of]
                 ok = (pr[i] != qr[j]) & (np.minimum(pn[i], qn[j]) >= similarity * np.maximum(pn[i], qn[j]))
+                if single:
+                    ok &= i < j
                 i, j, of = i[ok], j[ok], of[ok]
-                apart = np.bitwise_count(pw[i] ^ qw[j]).sum(axis=1)
+                differ = pw[i] ^ qw[j]
+                apart = np.bitwise_count(differ).sum(axis=1)
                 near = np.flatnonzero(apart <= most)
+                each = np.unpackbits(differ[near].view(np.uint8).reshape(len(near), pw.shape[1] * 8), axis=1)[:, 64 : 64 + bits * blocks_]
+                near = near[each.reshape(len(near), blocks_, bits).any(axis=2).argmin(axis=1) == key[of[near]] >> bits]
                 i, j, of, apart = i[near], j[near], of[near], apart[near]
                 if nearest:
                     own = np.unique(np.concatenate([first(i, apart), first(j, apart)]))
@@ -245,18 +252,18 @@ def facing(met: DataFrame, similarity: float, nearest: bool) -> DataFrame:
                 if len(i):
                     yield pa.RecordBatch.from_arrays([pa.array(key[of]), pa.array(np.minimum(p[i], q[j])), pa.array(np.maximum(p[i], q[j])), pa.array(apart.astype(np.int32))], ["key", "a", "b", "d"])
 
-    return arrow_map(met.select("left", "right", "key"), run, "key long, a long, b long, d int")
+    return arrow_map(met.select("key", "left", *([] if single else ["right"])), run, "key long, a long, b long, d int")
 
 
-def meeting(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What meets in blocks (rows: key, many, node, n, root, wide), as facing takes it: a block of up to SLICE members with
-    itself, slices of a larger one each with each; and the saved slices, to be dropped."""
+def meeting(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What meets in blocks (rows: key, many, node, n, root, wide), as facing takes it: blocks of up to SLICE members, each
+    within itself; of larger ones, slices each with each; and the saved slices, to be dropped."""
     own = F.collect_list(F.struct("node", "n", "root", "wide"))
-    alone = rows.where(F.col("many") <= SLICE).groupBy("key").agg(own.alias("left")).select("key", "left", F.col("left").alias("right"))
+    alone = rows.where(F.col("many") <= SLICE).groupBy("key").agg(own.alias("left"))
     cut = F.pmod(F.xxhash64("node"), F.ceil(F.col("many") / SLICE)).cast("int")
     parts = save(rows.where(F.col("many") > SLICE).groupBy("key", cut.alias("slice")).agg(own.alias("rows")), "block-slices")
     left, right = parts.select("key", F.col("slice").alias("l"), F.col("rows").alias("left")), parts.select("key", F.col("slice").alias("r"), F.col("rows").alias("right"))
-    return alone.unionByName(left.join(right, "key").where("l <= r").select("key", "left", "right")), parts
+    return alone, left.join(right, "key").where("l <= r").select("key", "left", "right"), parts
 
 
 def best_of(pairs: DataFrame) -> DataFrame:
@@ -266,7 +273,7 @@ def best_of(pairs: DataFrame) -> DataFrame:
     return best.select(F.least("a", "m.to").alias("a"), F.greatest("a", "m.to").alias("b")).distinct()
 
 
-def similar(sets: DataFrame, similarity: float) -> DataFrame:
+def similar(sets: DataFrame, similarity: float, bits: int, blocks_: int) -> DataFrame:
     """sets (node, members, n, bits, wide, keys), distinct nodes -> (node, root): the components of all similar pairs that
     share a block. Nodes without links don't appear."""
     block = Window.partitionBy("key")
@@ -293,11 +300,12 @@ def similar(sets: DataFrame, similarity: float) -> DataFrame:
         placed = keyed.select("key", "node", "n", "many").join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("key", "node", "n", "many", F.coalesce("root", "node").alias("root"))
         placed = save(placed, "placed")
         mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-        met, parts = meeting(placed.join(mixed, "key", "left_semi").join(wide, "node"))
+        alone, crossed, parts = meeting(placed.join(mixed, "key", "left_semi").join(wide, "node"))
+        faced = facing(alone, similarity, bits, blocks_, not last).unionAll(facing(crossed, similarity, bits, blocks_, not last))
         if last:
-            found = save(facing(met, similarity, nearest=False).select("a", "b").distinct(), "other-pairs")
+            found = save(faced.select("a", "b").distinct(), "other-pairs")
         else:
-            near = save(facing(met, similarity, nearest=True), "nearest")
+            near = save(faced, "nearest")
             found = save(best_of(near), "other-pairs")
         more = save(verified(found, sets, similarity), "near-links")
         for done in (placed, parts, found):
@@ -331,7 +339,7 @@ def near_copies(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_i
     once = chosen.where("copies = 1").unionByName(chosen.where("copies > 1").dropDuplicates(["fp"]))
     sets = save(once.select(F.col("fp").alias("node"), "members", "n", "bits", "wide", "keys"), "sets")
     drop_saved(sketched)
-    named = prints.join(similar(sets, similarity), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = prints.join(similar(sets, similarity, bits, blocks_), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = save(named, "named")
     drop_saved(sets)
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
