@@ -71,3 +71,48 @@ def test_places_of_very_long_texts():
     h = rng.integers(0, 1 << 63, (1 << 24) + 500).astype(np.uint64)
     spans = [(a, b) for a, c, b in passages.compact_windows(h, 46) if b >= (1 << 24) - 200]
     assert any(a <= (1 << 24) - 20 and b >= (1 << 24) + 26 for a, b in spans)
+
+
+def test_passages_round_a_line_of_many_documents(spark):
+    rng = np.random.default_rng(17)
+    line = words(rng, 40)
+    rows = []
+    for i in range(150):
+        rest = words(rng, 10)
+        rows += [(2 * i + k, " ".join([*words(rng, 60), *rest[:5], *line, *rest[5:], *words(rng, 60)])) for k in (0, 1)]
+    found = passages.repeated_passages(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert all(set(range(60, 110)) <= covered(found, 2 * i + 1) for i in range(150))
+    assert {r.id % 2 for r in found} == {1} and all(r.of_id == r.id - 1 for r in found)
+
+
+def test_partners_tell_what_all_pairs_would():
+    rng = np.random.default_rng(18)
+    least, enough = 46, 41
+    rows, base = [], rng.integers(1, 1 << 16, 91)
+    for value in range(3):
+        for i in range(60):
+            # some near one of several texts, all with a line in common, at the ends of a text now and then
+            own = rng.integers(1, 1 << 16, 91) if i % 3 else np.roll(base, 7 * (i % 4) + value)
+            own[40:52] = base[40:52]
+            if rng.random() < 0.7 and rows and i:
+                own = rows[-int(rng.integers(1, i + 1))][2].copy()
+                at = int(rng.integers(86))
+                own[at : at + int(rng.integers(1, 9))] = rng.integers(1, 1 << 16)
+                own[45] = base[45]
+            if i % 10 == 0:
+                own[: int(rng.integers(40))] = 0
+            rows.append((value, i // 2, own.astype(np.uint16)))
+    value, ids, around = (np.array(x) for x in zip(*rows, strict=True))
+    has = np.zeros((len(rows), len(rows), least), bool)
+    for x in range(len(rows)):
+        for y in range(x):
+            if value[x] == value[y] and ids[x] != ids[y]:
+                b = np.concatenate([[0], around[y], [0]])
+                hit = ((around[x] == b[1:-1]) | (around[x] == b[:-2]) | (around[x] == b[2:])) & (around[x] > 0)
+                has[x, y] = [hit[o : o + least].sum() >= enough for o in range(least)]
+    left, right = passages.partners(value, ids, around, least, enough)
+    told = np.zeros_like(has)
+    told[left, right] = has[left, right]
+    # each stretch that an earlier window has is told with one that has it
+    assert (told.any(axis=1) == has.any(axis=1)).all() and has.any(axis=1).sum() > 1000
+    assert told.any(axis=2).sum() == len(left) < has.any(axis=2).sum()

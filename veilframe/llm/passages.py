@@ -9,11 +9,13 @@ candidate, maximal stretches of which enough tokens recur in the other text, wit
 `similarity`, are reported.
 
 Who meets whom. The windows of a minimum are sorted by their surroundings (a digest of the `least` tokens around c),
-then by document. Each is linked to the first with the same surroundings, with which it shares a whole passage; the first
-with new surroundings is linked to the first of all and to the one before it. So a document that has a minimum, but not
-the passage, does not come between two that have the passage, and rows grow with the windows. Windows of one batch with the same surroundings have a whole passage in common; there, only the first
-goes on and the others are linked to it on the spot, so a passage that a third of all documents hold does not fill one
-task. Equal texts are one minimum of their own (the digest of the text) and are not compared any further.
+then by document. Each is linked to the first with the same surroundings, with which it shares a whole passage. The first
+ones of the surroundings are linked to each other; where a minimum has more than CROWD surroundings, they are compared on
+the tokens themselves: first with the earliest that has some stretch alike; then, for each stretch of `least` tokens round
+the minimum that none of these has, with all that share one of its rarest tokens (a prefix filter, which loses none). So
+every stretch that recurs is told with an earlier document, not with each of them, and rows grow with the windows. Windows of one batch with the same surroundings have a whole passage in common;
+there, only the first goes on and the others are linked to it on the spot, so a passage that a third of all documents hold
+does not fill one task. Equal texts are one minimum of their own (the digest of the text) and are not compared any further.
 
 Cases: null and short texts have no passages; rows with a null id don't take part and are never changed; rows of one id
 are not compared with each other, and a stretch that is cut from one is cut from the others as far as they reach; ties of
@@ -22,6 +24,7 @@ the hash go to the left; other columns are not read; an empty table gives no row
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -41,6 +44,12 @@ PLACE = 24
 ARM, ARMS = 16, (1 << 16) - 1
 #: The mark of a text's own digest, in the place of a hash function's number.
 WHOLE = 15
+#: So many surroundings of a minimum are linked each with each; those of more are compared by their tokens.
+CROWD = 8
+#: Pairs of windows that are compared at a time, and windows at least.
+FACING, TOGETHER = 1 << 14, 1 << 12
+#: Random numbers that stand for tokens of 16 bits in sums.
+MARKS = np.random.default_rng(31).integers(0, 1 << 64, 1 << 16, np.uint64)
 WORD = re.compile(r"[^ \t-\r]+")
 #: Odd multipliers of the hash functions, from the fractional part of the golden ratio.
 GOLDEN = 0x9E3779B97F4A7C15
@@ -91,25 +100,26 @@ def compact_windows(h: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]
             yield base + a, base + c, base + b
 
 
-def joined(value: np.ndarray, near: np.ndarray, ids: np.ndarray, place: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row, partner) of rows sorted by value, surroundings, id and place: with the first of the same surroundings; for
-    that one, with the first of the value (start tells where it is) and with the row before."""
-    n = len(value)
-    row = np.arange(n)
-    fresh_near = np.ones(n, bool)
-    fresh_near[1:] = (value[1:] != value[:-1]) | (near[1:] != near[:-1])
-    first_near = np.maximum.accumulate(np.where(fresh_near, row, 0))
-    before = np.where(start < row, row - 1, -1)
-    left, right = np.concatenate([row, row[fresh_near], row[fresh_near]]), np.concatenate([first_near, start[fresh_near], before[fresh_near]])
-    ok = (right >= 0) & (left != right)
-    pairs = np.unique(left[ok] * n + right[ok]) if n else np.zeros(0, np.int64)
-    left, right = pairs // max(n, 1), pairs % max(n, 1)
+def joined(value: np.ndarray, near: np.ndarray, ids: np.ndarray, heads: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row, partner) of rows sorted by value, surroundings and id: with the first of the same surroundings; for
+    that one, a head, with all heads of the value before it, if its rank among them is below CROWD."""
+    row, first = np.arange(len(value)), np.zeros(len(value), np.int64)
+    first[heads] = heads
+    first = np.maximum.accumulate(first)
+    left, right = [row], [first]
+    for d in range(1, CROWD):
+        near_by = (value[heads[d:]] == value[heads[:-d]]) & (rank[d:] < CROWD)
+        left.append(heads[d:][near_by])
+        right.append(heads[:-d][near_by])
+    left, right = np.concatenate(left), np.concatenate(right)
     # a text as a whole is like those with the same digest and surroundings only
     apart = (ids[left] != ids[right]) & ((value[left] & 15 != WHOLE) | (near[left] == near[right]))
     return left[apart], right[apart]
 
 
 LINK = ["id", "start", "rep", "rep_start", "length", "f"]
+#: In the place of words: the link is of windows that share a whole passage; the row is a window of a crowd (id, place, value).
+SURE, CROWDED = -1, -2
 
 
 def laid(value: np.ndarray, ids: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[np.ndarray]:
@@ -163,7 +173,7 @@ def windows(docs: DataFrame, text_col: str, id_col: str, hashes: int, least: int
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip([value[go], near[go], ids[go], place[go], [None] * int(go.sum())], kinds, strict=True)], names)
             if len(own_link):
                 link = laid(value, ids, place, own_link, head[own_link])
-                rest = np.ascontiguousarray(np.stack([*link[1:], np.where(value[own_link] & 15 == WHOLE, place[own_link] >> 2 * ARM, 0)], axis=1))
+                rest = np.ascontiguousarray(np.stack([*link[1:], np.where(value[own_link] & 15 == WHOLE, place[own_link] >> 2 * ARM, SURE)], axis=1))
                 # such rows need no company: they are spread by what they are
                 spread = mixed(link[0].view(np.uint64) ^ value[own_link].view(np.uint64), 3).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip([spread, near[own_link], link[0], place[own_link], [r.tobytes() for r in rest]], kinds, strict=True)], names)
@@ -172,13 +182,15 @@ def windows(docs: DataFrame, text_col: str, id_col: str, hashes: int, least: int
     return arrow_map(picked, run, "value long, near int, id long, place long, link binary")
 
 
-def links(found: DataFrame, parts: int) -> DataFrame:
-    """Links (columns LINK, and words: the length of a text that is equal as a whole): those made within batches, and those
-    of windows that share a value, in a single pass over sorted windows."""
+def links(found: DataFrame, parts: int, least: int) -> DataFrame:
+    """Links (columns LINK, and words: the length of a text that is equal as a whole, or SURE): those made within batches,
+    and those of windows that share a value, in a single pass over sorted windows; and the CROWDED windows."""
+    names = [*LINK, "words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # of the value at hand: its first row, the first of its last surroundings, and its last row
+        # of the value at hand: its heads (of a crowd: the last), and how many it has
         kept: list[np.ndarray] | None = None
+        seen = 0
         for b in batches:
             if not b.num_rows:
                 continue
@@ -186,7 +198,7 @@ def links(found: DataFrame, parts: int) -> DataFrame:
             done = b.filter(told)
             if done.num_rows:
                 rest = np.frombuffer(b"".join(done.column(4).to_pylist()), np.int64).reshape(-1, len(LINK))
-                yield pa.RecordBatch.from_arrays([done.column(2), *(pa.array(np.ascontiguousarray(x)) for x in rest.T)], [*LINK, "words"])
+                yield pa.RecordBatch.from_arrays([done.column(2), *(pa.array(np.ascontiguousarray(x)) for x in rest.T)], names)
                 b = b.filter(pc.invert(told))
                 if not b.num_rows:
                     continue
@@ -195,38 +207,192 @@ def links(found: DataFrame, parts: int) -> DataFrame:
                 cols = [np.concatenate([k, c]) for k, c in zip(kept, cols, strict=True)]
                 old = len(kept[0])
             else:
-                old = 0
+                old = seen = 0
             value, near, ids, place = cols
-            new = np.ones(len(value), bool)
+            new, fresh_near = np.ones(len(value), bool), np.ones(len(value), bool)
             new[1:] = value[1:] != value[:-1]
+            fresh_near[1:] = new[1:] | (near[1:] != near[:-1])
             start = np.maximum.accumulate(np.where(new, np.arange(len(value)), 0))
-            left, right = joined(value, near, ids, place, start)
+            heads, count = np.flatnonzero(fresh_near), np.cumsum(fresh_near)
+            rank = (count - count[start])[heads]
+            # heads that are no longer kept count as well
+            rank[value[heads] == value[0]] += max(0, seen - int(fresh_near[:old].sum()))
+            left, right = joined(value, near, ids, heads, rank)
             fresh_ = left >= old
             left, right = left[fresh_], right[fresh_]
             if len(left):
-                whole = value[left] & 15 == WHOLE
-                yield pa.RecordBatch.from_arrays([*map(pa.array, laid(value, ids, place, left, right)), pa.array(np.where(whole, place[left] >> 2 * ARM, 0))], [*LINK, "words"])
-            last = len(value) - 1
-            same = np.flatnonzero((value == value[last]) & (near == near[last]))[0]
-            rows = np.unique([start[last], same, last])
-            kept = [c[rows].copy() for c in cols]
+                link, whole = laid(value, ids, place, left, right), value[left] & 15 == WHOLE
+                words = np.where(whole, place[left] >> 2 * ARM, np.where(near[left] == near[right], SURE, 0))
+                long = whole | (link[4] >= least)
+                yield pa.RecordBatch.from_arrays([pa.array(x[long]) for x in (*link, words)], names)
+            full = np.flatnonzero((rank == CROWD) & (heads >= old))
+            many = np.unique(np.concatenate([heads[(rank >= CROWD) & (heads >= old)], heads[(full[:, None] - np.arange(1, CROWD + 1)).ravel()]]))
+            many = many[value[many] & 15 != WHOLE]
+            if len(many):
+                none = np.zeros(len(many), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[many], place[many], value[many], none, none, value[many] & 15, none + CROWDED)], names)
+            own = heads[value[heads] == value[-1]]
+            seen = int(rank[-1]) + 1
+            kept = [c[own if seen <= CROWD else own[-1:]].copy() for c in cols]
 
     sorted_ = found.repartition(parts, "value").sortWithinPartitions("value", "near", "id", "place")
+    return arrow_map(sorted_, run, ", ".join(f"{c} long" for c in names))
+
+
+def partners(value: np.ndarray, ids: np.ndarray, around: np.ndarray, least: int, enough: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row, partner) of windows sorted by value and id, with the 2 * least - 1 tokens around the minimum (0: none): for
+    each stretch of `least` tokens that holds the minimum and of which a window of the same value and a smaller id has at
+    least `enough` tokens, one such window. One word changed, put in or left out is what `least` tokens at a similarity of
+    0.8 bear, so tokens are looked for at most one place off."""
+    n, middle = len(value), least - 1
+    group = np.cumsum(np.concatenate([[0], value[1:] != value[:-1]])).astype(np.uint64)
+    # by row and stretch (told by the tokens it has before the minimum), the first partner found; n: none
+    best = np.full((n, least), n, np.int64)
+
+    def counted(x: np.ndarray) -> np.ndarray:
+        total = np.zeros((len(x), 2 * least), np.uint8)
+        np.cumsum(x, axis=1, out=total[:, 1:])
+        return (total[:, least:] - total[:, :least])[:, ::-1]
+
+    def compare(pairs: np.ndarray) -> None:
+        for k in range(0, len(pairs), FACING):
+            i, j = pairs[k : k + FACING] // n, pairs[k : k + FACING] % n
+            a, b = around[i], around[j]
+            hit = a == b
+            hit[:, 1:] |= a[:, 1:] == b[:, :-1]
+            hit[:, :-1] |= a[:, :-1] == b[:, 1:]
+            hit &= a > 0
+            some = np.flatnonzero((hit.sum(axis=1) >= enough) & (ids[i] != ids[j]))
+            if len(some):
+                i, j = i[some], j[some]
+                told = np.where(counted(hit[some]) >= enough, j[:, None], n)
+                starts = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+                best[i[starts]] = np.minimum(best[i[starts]], np.minimum.reduceat(told, starts, axis=0))
+
+    # with the first that has one of some stretches, or a side, as it is
+    sums = np.zeros((n, 2 * least), np.uint64)
+    np.cumsum(MARKS[around], axis=1, out=sums[:, 1:])
+    pairs = []
+    for a, b in [*((middle - o, middle - o + least) for o in range(0, least, 9)), (middle - least // 2, middle), (least, least + least // 2)]:
+        key = (sums[:, b] - sums[:, a]) ^ group * np.uint64(GOLDEN)
+        order = np.argsort(key, kind="stable")
+        again = np.concatenate([[False], key[order][1:] == key[order][:-1]])
+        first = order[np.maximum.accumulate(np.where(again, 0, np.arange(n)))]
+        pairs.append((order * n + first)[again])
+    compare(np.unique(np.concatenate(pairs)))
+    # stretches without a partner, a few neighbours at a time: of any misses + 1 tokens that they have in common, a partner
+    # has one; the rarest will do. Where many windows have that one, a few of them are tried first, all of them at last
+    token = around.astype(np.uint64) | group[:, None] << np.uint64(16)
+    place = (token * np.uint64(GOLDEN) >> np.uint64(44)).astype(np.int32)
+    often = np.bincount(place.ravel(), minlength=1 << 20)
+    # a token that no other window has is missing from all
+    at, step, active = np.arange(2 * least - 1), -(-least // 4), counted((around > 0) & (often[place] > 1)) >= enough
+    for most in (8, 128, n):
+        left = active & (best == n)
+        spread = []
+        for k in range(0, least, step):
+            part = left[:, k : k + step]
+            take = np.flatnonzero(part.any(axis=1))
+            spread.append([take, k + part[take].argmax(axis=1), k + part.shape[1] - 1 - part[take, ::-1].argmax(axis=1)])
+        row, low, high = (np.concatenate(x) for x in zip(*spread, strict=True))
+        inside = (at >= middle - low[:, None]) & (at <= 2 * middle - high[:, None]) & (around[row] > 0)
+        order = np.where(inside, often[place[row]] << 8 | at, 1 << 62)
+        order = np.partition(order, least - enough, axis=1)[:, : least - enough + 1]
+        of, rank = np.nonzero(order < 1 << 62)
+        probe_row, probe_at = row[of], order[of, rank] & 255
+        wanted = np.zeros(1 << 20, bool)
+        wanted[place[probe_row, probe_at]] = True
+        there, there_at = np.nonzero(wanted[place] & (around > 0))
+        keys, number = np.unique(token[probe_row, probe_at], return_inverse=True)
+        if not len(keys):
+            break
+        known = token[there, there_at]
+        which = np.minimum(np.searchsorted(keys, known), len(keys) - 1)
+        found = np.unique((which << 32 | there)[keys[which] == known])
+        begin, end = np.searchsorted(found, number << 32), np.searchsorted(found, number << 32 | probe_row)
+        every = end - begin
+        met = np.minimum(every, most)
+        before = np.concatenate([[0], np.cumsum(met)])
+        cuts = np.unique(np.concatenate([[0], np.searchsorted(before[1:], np.arange(16 * FACING, before[-1] + 1, 16 * FACING)), [len(met)]]))
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            x = np.repeat(np.arange(a, b), met[a:b])
+            y = begin[x] + (np.arange(before[a], before[b]) - before[x]) * every[x] // met[x]
+            compare(np.unique(probe_row[x] * n + (found[y] & (1 << 32) - 1)))
+        more = np.zeros(n, bool)
+        more[probe_row[every > met]] = True
+        active &= more[:, None]
+        if not more.any():
+            break
+    who, _ = np.nonzero(best < n)
+    pairs = np.unique(who * n + best[best < n])
+    return pairs // n, pairs % n
+
+
+def crowds(docs: DataFrame, crowded: DataFrame, text_col: str, id_col: str, parts: int, least: int, enough: int) -> DataFrame:
+    """Links (LINK, words) of the windows of crowds (id, place, value), which share a whole passage."""
+    per_doc = crowded.groupBy("id").agg(F.collect_list(F.struct("value", "place")).alias("spots"))
+    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(per_doc.hint("merge"), "id").select("id", "text", "spots")
+
+    def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 64):
+            for i, t, spots in zip(b.column(0).to_pylist(), utf8(b.column(1)), b.column(2), strict=True):
+                own, spots = tokens(t), spots.values
+                value, place = spots.field("value").to_numpy(), spots.field("place").to_numpy()
+                c = place >> 2 * ARM
+                # of several rows with one id, the one that has the window
+                here = c < len(own)
+                for f in np.unique(value & 15):
+                    mine = np.flatnonzero(here & (value & 15 == f))
+                    here[mine] = mixed(own[c[mine]], int(f)) >> np.uint64(4) == value[mine].view(np.uint64) >> np.uint64(4)
+                value, place, c = value[here], place[here], c[here]
+                if not len(c):
+                    continue
+                padded = np.zeros(len(own) + 2 * (least - 1), np.uint16)
+                padded[least - 1 : least - 1 + len(own)] = np.maximum(own.astype(np.uint16), 1)
+                around = padded[c[:, None] + np.arange(2 * least - 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(np.full(len(c), i, np.int64)), pa.array(place), pa.array([x.tobytes() for x in around], pa.binary())], ["value", "id", "place", "around"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def faced(table: pa.Table) -> pa.RecordBatch:
+            value, ids, place = (table.column(k).to_numpy() for k in range(3))
+            around = np.frombuffer(b"".join(table.column(3).to_pylist()), np.uint16).reshape(len(value), -1)
+            left, right = partners(value, ids, around, least, enough)
+            link = laid(value, ids, place, left, right)
+            long = link[4] >= least
+            return pa.RecordBatch.from_arrays([*(pa.array(x[long]) for x in link), pa.array(np.full(int(long.sum()), SURE, np.int64))], [*LINK, "words"])
+
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= TOGETHER:
+                table = pa.Table.from_batches(held)
+                value = table.column(0).to_numpy()
+                # the last value may go on in the next batch
+                done = int(np.searchsorted(value, value[-1]))
+                if done:
+                    yield faced(table.slice(0, done))
+                    held = table.slice(done).to_batches()
+        if held:
+            yield faced(pa.Table.from_batches(held))
+
+    around = arrow_map(picked, surroundings, "value long, id long, place long, around binary")
+    sorted_ = around.repartition(parts, "value").sortWithinPartitions("value", "id", "place")
     return arrow_map(sorted_, run, ", ".join(f"{c} long" for c in [*LINK, "words"]))
 
 
 def candidates(linked: DataFrame, least: int, agree: int, drift: int = 16) -> DataFrame:
-    """Stretches of a document laid over stretches of another that enough functions agree on: islands of overlapping
-    links on nearby diagonals."""
+    """Stretches of a document laid over stretches of another that enough functions agree on, or a link that is sure by
+    itself: islands of overlapping links on nearby diagonals."""
     spans = linked.where(F.col("length") >= least).withColumns({"end": F.col("start") + F.col("length"), "diagonal": F.floor((F.col("start") - F.col("rep_start")) / drift)})
     pair = Window.partitionBy("id", "rep", "diagonal").orderBy("start", "end")
     reach = F.max("end").over(pair.rowsBetween(Window.unboundedPreceding, -1))
     spans = spans.withColumn("new", (reach.isNull() | (F.col("start") >= reach)).cast("int"))
     spans = spans.withColumn("island", F.sum("new").over(pair.rowsBetween(Window.unboundedPreceding, 0)))
-    islands = spans.groupBy("id", "rep", "diagonal", "island").agg(F.min("start").alias("s"), F.max("end").alias("e"), F.min("rep_start").alias("rs"), F.max(F.col("rep_start") + F.col("length")).alias("re"), F.countDistinct("f").alias("n"))
+    islands = spans.groupBy("id", "rep", "diagonal", "island").agg(F.min("start").alias("s"), F.max("end").alias("e"), F.min("rep_start").alias("rs"), F.max(F.col("rep_start") + F.col("length")).alias("re"), F.countDistinct("f").alias("n"), F.min("words").alias("sure"))
     # a margin, as a function may have found the edge of a passage in another text; multiples of 32 make stretches alike
     down, up = lambda x: F.greatest(F.floor((F.col(x) - 64) / 32) * 32, F.lit(0)), lambda x: F.ceil((F.col(x) + 64) / 32) * 32
-    return islands.where(F.col("n") >= agree).select("id", down("s").alias("s"), up("e").alias("e"), "rep", down("rs").alias("rs"), up("re").alias("re")).distinct()
+    return islands.where((F.col("n") >= agree) | (F.col("sure") == SURE)).select("id", down("s").alias("s"), up("e").alias("e"), "rep", down("rs").alias("rs"), up("re").alias("re")).distinct()
 
 
 def recurring(a: np.ndarray, b: np.ndarray, least: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
@@ -292,14 +458,18 @@ def repeated_passages(docs: DataFrame, *, text_col: str = "text", id_col: str =
     found = windows(docs, text_col, id_col, hashes, least)
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (64 << 20)))
-    linked = save(links(found, parts), "links")
+    linked = save(links(found, parts, least), "links")
+    crowded = linked.where(F.col("words") == CROWDED).select("id", F.col("start").alias("place"), F.col("rep").alias("value"))
+    enough = math.ceil(least * 2 * similarity / (1 + similarity))
+    more = save(crowds(docs, crowded, text_col, id_col, parts, least, enough), "crowd-links")
     # a text that is equal to an earlier one as a whole needs no comparison with others
     zero, words = F.lit(0).cast("long"), F.col("words")
     equal = linked.where(F.col("f") == WHOLE).groupBy("id").agg(F.min("rep").alias("of_id"), F.max("words").alias("words"))
     equal = save(equal.select("id", zero.alias("start_word"), words.alias("end_word"), "of_id", zero.alias("of_start"), words.alias("of_end"), F.lit(1.0).alias("similarity")), "equal")
-    others = linked.where(F.col("f") != WHOLE).drop("words").join(equal.select("id"), "id", "left_anti")
+    others = linked.where((F.col("f") != WHOLE) & (F.col("words") != CROWDED)).unionByName(more).join(equal.select("id"), "id", "left_anti")
     pairs = save(candidates(others, least, agree), "passage_pairs")
-    drop_saved(linked)
+    for done in (linked, more):
+        drop_saved(done)
     cut = save(token_slices(docs, pairs.select("id", "s", "e").unionAll(pairs.select(F.col("rep"), F.col("rs"), F.col("re"))), text_col, id_col), "slices")
     theirs = cut.select(F.col("id").alias("rep"), F.col("s").alias("rs"), F.col("e").alias("re"), F.col("hashes").alias("rep_hashes"))
     laid = pairs.join(cut.hint("merge"), ["id", "s", "e"]).join(theirs.hint("merge"), ["rep", "rs", "re"]).select("id", "s", "rep", "rs", "hashes", "rep_hashes")
