@@ -358,3 +358,11 @@ def test_tables_are_those_of_customers_seated_one_by_one():
             tables += u < f / (f + sit - 0.4 * tables)
         plain.append(tables)
     assert hpylm.seat(counts, fresh, 0.4, keys, 5).tolist() == plain
+
+
+def test_seatings_made_at_once_are_those_made_one_by_one():
+    rng = np.random.default_rng(33)
+    counts, keys = rng.zipf(1.4, 3000).clip(2, 20000), rng.integers(0, 1 << 64, 3000, np.uint64)
+    first, second = rng.exponential(2.0, (2, 3000))
+    both = hpylm.seat(counts, np.concatenate([first, second]), 0.6, keys, 4, 5).tolist()
+    assert both == [*hpylm.seat(counts, first, 0.6, keys, 4).tolist(), *hpylm.seat(counts, second, 0.6, keys, 5).tolist()]

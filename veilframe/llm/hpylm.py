@@ -78,14 +78,21 @@ def unit(keys: np.ndarray) -> np.ndarray:
 def binomial(n: np.ndarray, p: np.ndarray, u: np.ndarray) -> np.ndarray:
     """The binomial draw at the quantile u: by its distribution where few are expected, by the normal limit elsewhere."""
     mean = n * p
-    out, many = np.empty(len(mean)), np.flatnonzero(mean >= 16)
-    if len(many):
-        x, share = mean[many], p[many]
-        z = np.sqrt(2) * erf_inverse(2 * u[many] - 1)
-        out[many] = np.clip(np.rint(x + z * np.sqrt(x * (1 - share))), 0, n[many])
+    many = np.flatnonzero(mean >= 16)
+    if not len(many):
+        return np.minimum(few_expected(n, p, u), n).astype(np.int64)
+    out, x, share = np.empty(len(mean)), mean[many], p[many]
+    z = np.sqrt(2) * erf_inverse(2 * u[many] - 1)
+    out[many] = np.clip(np.rint(x + z * np.sqrt(x * (1 - share))), 0, n[many])
     few = np.flatnonzero(mean < 16)
-    m, q, left = n[few].astype(np.float64), p[few], u[few]
-    term, k, at = np.exp(m * np.log1p(-q)), np.zeros(len(few)), np.arange(len(few))
+    out[few] = np.minimum(few_expected(n[few], p[few], u[few]), n[few])
+    return out.astype(np.int64)
+
+
+def few_expected(n: np.ndarray, q: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The draws as far as 64, by the distribution."""
+    m = n.astype(np.float64)
+    term, k, at = np.exp(m * np.log1p(-q)), np.zeros(len(m)), np.arange(len(m))
     for i in range(64):
         # only those that go on are looked at again
         over = np.flatnonzero(left > term)
@@ -94,8 +101,7 @@ def binomial(n: np.ndarray, p: np.ndarray, u: np.ndarray) -> np.ndarray:
         at, m, q, left, term = at[over], m[over], q[over], left[over] - term[over], term[over]
         k[at] += 1
         term = term * np.maximum(m - i, 0) / (i + 1) * q / (1 - q)
-    out[few] = np.minimum(k, n[few])
-    return out.astype(np.int64)
+    return k
 
 
 def erf_inverse(x: np.ndarray) -> np.ndarray:
@@ -105,13 +111,15 @@ def erf_inverse(x: np.ndarray) -> np.ndarray:
     return np.sign(x) * np.sqrt(np.sqrt(b * b - log / a) - b)
 
 
-def seat(counts: np.ndarray, fresh: np.ndarray, discount: float, keys: np.ndarray, salt: int) -> np.ndarray:
+def seat(counts: np.ndarray, fresh: np.ndarray, discount: float, keys: np.ndarray, *salts: int) -> np.ndarray:
     """Tables of each dish after its `counts` customers sat down: a new table with weight fresh, one of the dish's own
-    with its customers less the discounts."""
+    with its customers less the discounts. With several salts: one seating after the other, fresh being theirs in turn."""
+    if len(salts) > 1:
+        counts = np.tile(counts, len(salts))
     # as many sit at every dish that is not done yet; with the largest first, those are in front
     order = np.argsort(-counts.astype(np.int64), kind="stable")
     c, weight = counts[order].astype(np.int64), fresh[order]
-    tables, salted = np.minimum(c, 1), scramble(keys[order] + salt_of(salt))
+    tables, salted = np.minimum(c, 1), scramble(np.concatenate([keys + salt_of(s) for s in salts])[order])
     active, sit, step = int(np.searchsorted(-c, -1)), 1, 0
     while active:
         own = slice(0, active)
@@ -378,15 +386,20 @@ def score(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", fo
     blocks = read.join(spark.table(names[1]).hint("merge"), "block")
     p = Params(d=min(0.95, max(0.05, once / max(1, once + 2 * twice))), n=int(n), v=int(v), tables=float(v), customers=float(v))
 
-    def tables_of(x: Block, chosen: np.ndarray, words: np.ndarray | None, q: Params, sweep: int) -> np.ndarray:
-        """Tables of the chosen bigrams of a block in a sweep, given the words' state before it; none of the others."""
-        t = np.minimum(x.totals, 1) * chosen
-        if words is not None:
-            many = np.flatnonzero((x.totals > 1) & chosen)
-            u, w = words[x.u[many]], words[x.v[many]]
-            weight = (q.theta + q.d * u["t"]) * q.parent(w["c1"].astype(np.float64), w["t1"].astype(np.float64))
-            t[many] = seat(x.totals[many], weight, q.d, x.keys[many], sweep)
-        return t
+    def tables_of(x: Block, chosen: np.ndarray | None, *given: tuple[np.ndarray | None, Params, int]) -> list[np.ndarray]:
+        """Tables of the chosen bigrams of a block (none of the others; without chosen, of all) in sweeps that are given by
+        the words' state before, the parameters and the number; these sweeps are seated at once."""
+        plain = np.minimum(x.totals, 1) if chosen is None else np.minimum(x.totals, 1) * chosen
+        if given[0][0] is None:
+            return [plain]
+        many = np.flatnonzero(x.totals > 1 if chosen is None else (x.totals > 1) & chosen)
+        u, v, n = x.u[many], x.v[many], len(many)
+        weights = [(q.theta + q.d * words["t"][u]) * q.parent(words["c1"].astype(np.float64), words["t1"].astype(np.float64))[v] for words, q, _ in given]
+        seated = seat(x.totals[many], np.concatenate(weights), given[0][1].d, x.keys[many], *(s for _, _, s in given))
+        out = [plain, *(plain.copy() for _ in given[1:])]
+        for i, t in enumerate(out):
+            t[many] = seated[i * n : (i + 1) * n]
+        return out
 
     def sweep(step: int, before: DataFrame | None, q: Params) -> DataFrame:
         later = before is not None
@@ -394,7 +407,7 @@ def score(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", fo
         def up(row: dict, steps: dict) -> pa.Table:
             x = Block(row)
             words = answered(steps.get(step - 1, []), x.hashes, w_buckets, WORD) if later else None
-            t = tables_of(x, x.own.astype(bool), words, q, step)
+            t = tables_of(x, x.own.astype(bool), (words, q, step))[0]
             size = len(x.hashes)
             return sent(x.number, x.hashes, np.bincount(x.u, t, size).astype(np.int64), np.bincount(x.v, t, size).astype(np.int64), w_buckets)
 
@@ -430,16 +443,15 @@ def score(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", fo
         bigrams, lens, train = spread(row["bigrams"], np.uint32), spread(row["lens"], np.uint32).astype(np.int64), np.frombuffer(row["train"], np.uint8).astype(bool)
         starts = np.concatenate([[0], np.cumsum(lens + 1)[:-1]]).astype(np.int64)
         c = x.word_totals.astype(np.float64)
-        average = np.zeros(len(x.totals))
-        for s in used:
-            given, after = params[s]
-            earlier = answered(steps.get(1 + s, []), x.hashes, w_buckets, WORD)
-            words = answered(steps.get(2 + s, []), x.hashes, w_buckets, WORD)
-            t = tables_of(x, np.ones(len(x.totals), bool), earlier, given, 2 + s)
-            parent = after.parent(words["c1"].astype(np.float64), words["t1"].astype(np.float64))
-            size, tables = c[x.u], words["t"][x.u].astype(np.float64)
-            own = (np.maximum(x.totals - given.d * t, 0) + (after.theta + given.d * tables) * parent[x.v]) / (after.theta + size)
-            average += np.where(size > 0, own, parent[x.v]) / len(used)
+        average, size = np.zeros(len(x.totals)), c[x.u]
+        states = {s: answered(steps.get(2 + s, []), x.hashes, w_buckets, WORD) for s in sorted({s - d for s in used for d in (0, 1)})}
+        seated = tables_of(x, None, *((states[s - 1], params[s][0], 2 + s) for s in used))
+        for s, t in zip(used, seated, strict=True):
+            (given, after), words = params[s], states[s]
+            parent = after.parent(words["c1"].astype(np.float64), words["t1"].astype(np.float64))[x.v]
+            tables = words["t"][x.u].astype(np.float64)
+            own = (np.maximum(x.totals - given.d * t, 0) + (after.theta + given.d * tables) * parent) / (after.theta + size)
+            average += np.where(size > 0, own, parent) / len(used)
         base = np.log10((c + 0.1) / (after.n + 0.1 * (after.v + 1)))[x.v]
         add = lambda by_pair: np.add.reduceat(by_pair[bigrams], starts)
         cols = [row["ids"], ~train, lens + 1, add((c > 0)[x.v].astype(np.int64)), np.full(len(lens), after.n, np.int64), add(base), add(np.log10(average))]
