@@ -29,6 +29,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +38,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import arrow_map, drop_saved, save, shuffles_dropped, slices, utf8
+from veilframe.llm.common import arrow_map, drop_saved, released, save, shuffles_dropped, slices, utf8
 
 BLOCK_TOKENS = 1_000_000
 BUCKET_KEYS = 1_000_000
 GROUPS = 64
 END, START = np.uint64(1), np.uint64(2)
+#: Bigrams of a block whose chances are worked out at a time.
+TOGETHER = 1 << 16
 #: Words whose numbers a task keeps from one block to the next.
 MEMO = 500_000
 BLOCK_SCHEMA = "block long, ids array<long>, train binary, lens binary, words binary, word_counts binary, pairs binary, pair_counts binary, bigrams binary"
@@ -52,12 +55,18 @@ UP_SCHEMA = "bucket int, block long, keys binary, a binary, b binary"
 DOWN_SCHEMA = "block long, step int, bucket int, data binary, stats array<double>"
 
 
+@lru_cache(maxsize=1)
+def zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """One of each a process: a new one costs more than the small arrays that it is used for."""
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def squeeze(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+    return zstd()[0].compress(x.tobytes())
 
 
 def spread(data: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+    return np.frombuffer(zstd()[1].decompress(data), kind)
 
 
 def scramble(x: np.ndarray) -> np.ndarray:
@@ -255,11 +264,16 @@ def totals(up: DataFrame, buckets: int, step: int, finish) -> DataFrame:
             each = answers[inverse]
             if "own" in each.dtype.names:
                 each["own"][order[new]] = 1
-            at = 0
-            for n, (block, own, _, _) in enumerate(rows):
-                data = squeeze(each[at : at + len(own)])
+            at, data = 0, []
+            for _, own, _, _ in rows:
+                data.append(squeeze(each[at : at + len(own)]))
                 at += len(own)
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([step], pa.int32()), pa.array([bucket], pa.int32()), pa.array([data], pa.binary()), pa.array([stats if n == 0 else None], pa.list_(pa.float64()))], ["block", "step", "bucket", "data", "stats"])
+            del asked, order, inverse, each
+            # the answers of some blocks at a time, not a batch for each
+            for k in range(0, len(rows), 64):
+                n = len(data[k : k + 64])
+                cols = [[r[0] for r in rows[k : k + n]], [step] * n, [bucket] * n, data[k : k + n], [stats if k + i == 0 else None for i in range(n)]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.float64())), strict=True)], ["block", "step", "bucket", "data", "stats"])
 
     return arrow_map(up.repartitionById(buckets, F.col("bucket")), run, DOWN_SCHEMA)
 
@@ -328,7 +342,8 @@ def score(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", fo
         spark.sql(f"DROP TABLE {names[0]}")
         return told(spark.createDataFrame([], out_schema))
     w_buckets = int(max(1, -(-made[1] // BUCKET_KEYS)))
-    b_buckets = int(max(1, -(-made[2] // BUCKET_KEYS)))  # about a byte or two a token
+    # of a block of this size, the numbers of bigrams take about 2.4 bytes a token, and 0.7 of the tokens are distinct ones
+    b_buckets = int(max(1, -(-made[2] // (3 * BUCKET_KEYS))))
 
     def from_blocks(blocks: DataFrame, columns: list[str], fn, schema: str, *known: DataFrame) -> DataFrame:
         """fn(block row, answers by step) -> table, for every block."""
@@ -340,7 +355,14 @@ def score(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", fo
             steps: dict[int, list[dict]] = {}
             for r in right.to_pylist():
                 steps.setdefault(r["step"], []).append(r)
-            return fn(left.to_pylist()[0], steps)
+            row = left.to_pylist()[0]
+            del left, right
+            out = fn(row, steps)
+            row.clear()
+            steps.clear()
+            # unlike in arrow_map, no task's end follows at which the room would be given back
+            released()
+            return out
 
         answers = known[0].select("block", "step", "bucket", "data")
         for k in known[1:]:
@@ -443,18 +465,30 @@ def score(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", fo
         bigrams, lens, train = spread(row["bigrams"], np.uint32), spread(row["lens"], np.uint32).astype(np.int64), np.frombuffer(row["train"], np.uint8).astype(bool)
         starts = np.concatenate([[0], np.cumsum(lens + 1)[:-1]]).astype(np.int64)
         c = x.word_totals.astype(np.float64)
-        average, size = np.zeros(len(x.totals)), c[x.u]
         states = {s: answered(steps.get(2 + s, []), x.hashes, w_buckets, WORD) for s in sorted({s - d for s in used for d in (0, 1)})}
+        steps.clear()
         seated = tables_of(x, None, *((states[s - 1], params[s][0], 2 + s) for s in used))
-        for s, t in zip(used, seated, strict=True):
-            (given, after), words = params[s], states[s]
-            parent = after.parent(words["c1"].astype(np.float64), words["t1"].astype(np.float64))[x.v]
-            tables = words["t"][x.u].astype(np.float64)
-            own = (np.maximum(x.totals - given.d * t, 0) + (after.theta + given.d * tables) * parent) / (after.theta + size)
-            average += np.where(size > 0, own, parent) / len(used)
-        base = np.log10((c + 0.1) / (after.n + 0.1 * (after.v + 1)))[x.v]
-        add = lambda by_pair: np.add.reduceat(by_pair[bigrams], starts)
-        cols = [row["ids"], ~train, lens + 1, add((c > 0)[x.v].astype(np.int64)), np.full(len(lens), after.n, np.int64), add(base), add(np.log10(average))]
+        after = params[used[-1]][1]
+        average = np.zeros(len(x.totals))
+        # some bigrams at a time, so that what is worked out on the way stays small
+        words = {s: (params[s][1].parent(states[s]["c1"].astype(np.float64), states[s]["t1"].astype(np.float64)), states[s]["t"].astype(np.float64)) for s in used}
+        for k in range(0, len(average), TOGETHER):
+            part = slice(k, k + TOGETHER)
+            u, v, total = x.u[part], x.v[part], x.totals[part]
+            size = c[u]
+            for s, t in zip(used, seated, strict=True):
+                given, after = params[s]
+                parent, tables = words[s][0][v], words[s][1][u]
+                own = (np.maximum(total - given.d * t[part], 0) + (after.theta + given.d * tables) * parent) / (after.theta + size)
+                average[part] += np.where(size > 0, own, parent) / len(used)
+        base = np.log10((c + 0.1) / (after.n + 0.1 * (after.v + 1)))
+        heard, v = (c > 0).astype(np.int64), x.v.astype(np.uint32)
+        del states, seated, words, x
+        score = np.add.reduceat(np.log10(average)[bigrams], starts)
+        del average
+        v = v[bigrams]
+        known, base_score = (np.add.reduceat(by_word[v], starts) for by_word in (heard, base))
+        cols = [row["ids"], ~train, lens + 1, known, np.full(len(lens), after.n, np.int64), base_score, score]
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.table([pa.array(a, k) for a, k in zip(cols, kinds, strict=True)], [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
