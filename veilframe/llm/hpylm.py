@@ -33,21 +33,21 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm.common import arrow_map, drop_saved, released, save, shuffles_dropped, slices, utf8
+from veilframe.llm.words import scramble, word_hashes
 
 BLOCK_TOKENS = 1_000_000
 BUCKET_KEYS = 1_000_000
 GROUPS = 64
+#: Dishes that are seated at a time.
+DISHES = 1 << 14
 END, START = np.uint64(1), np.uint64(2)
 #: Bigrams of a block whose chances are worked out at a time.
 TOGETHER = 1 << 16
-#: Words whose numbers a task keeps from one block to the next.
-MEMO = 500_000
 BLOCK_SCHEMA = "block long, ids array<long>, train binary, lens binary, words binary, word_counts binary, pairs binary, pair_counts binary, bigrams binary"
 #: What the counts of all blocks add to a block: of its words; of its bigrams, and which it owns.
 KNOWN = ["words", "word_totals", "pairs", "pair_totals", "own"]
@@ -69,19 +69,16 @@ def spread(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstd()[1].decompress(data), kind)
 
 
-def scramble(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def salt_of(s: int) -> np.uint64:
     return np.uint64((s + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
 
 
 def unit(keys: np.ndarray) -> np.ndarray:
     """Scrambled keys as numbers in (0, 1)."""
-    return ((keys >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+    u = (keys >> np.uint64(11)).astype(np.float64)
+    u += 0.5
+    u *= 1 / (1 << 53)
+    return u
 
 
 def binomial(n: np.ndarray, p: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -125,23 +122,34 @@ def seat(counts: np.ndarray, fresh: np.ndarray, discount: float, keys: np.ndarra
     with its customers less the discounts. With several salts: one seating after the other, fresh being theirs in turn."""
     if len(salts) > 1:
         counts = np.tile(counts, len(salts))
-    # as many sit at every dish that is not done yet; with the largest first, those are in front
     order = np.argsort(-counts.astype(np.int64), kind="stable")
-    c, weight = counts[order].astype(np.int64), fresh[order]
-    tables, salted = np.minimum(c, 1), scramble(np.concatenate([keys + salt_of(s) for s in salts])[order])
-    active, sit, step = int(np.searchsorted(-c, -1)), 1, 0
+    c, weight, salted = counts[order].astype(np.int64), fresh[order], scramble(np.concatenate([keys + salt_of(s) for s in salts])[order])
+    out = np.empty_like(c)
+    # some dishes at a time, as these stay in the processor's memory over all steps
+    for k in range(0, len(c), DISHES):
+        part = slice(k, k + DISHES)
+        out[order[part]] = seated_by_size(c[part], weight[part], discount, salted[part])
+    return out
+
+
+def seated_by_size(c: np.ndarray, weight: np.ndarray, discount: float, salted: np.ndarray) -> np.ndarray:
+    """seat, for dishes with the most customers first."""
+    # as many sit at every dish that is not done yet; with the largest first, those are in front
+    tables, less = np.minimum(c, 1), -c
+    active, sit, step = int(np.searchsorted(less, -1)), 1, 0
     while active:
-        own = slice(0, active)
-        more = np.minimum(c[own] - sit, max(1, sit // GROUPS))
+        own, come = slice(0, active), max(1, sit // GROUPS)
         p = weight[own] / (weight[own] + sit - discount * tables[own])
         u = unit(scramble(salted[own] + salt_of(step)))
-        tables[own] += (u < p) if more[0] == 1 else np.where(more == 1, u < p, binomial(more, np.minimum(p, 1 - 1e-12), u))
-        sit += max(1, sit // GROUPS)
-        active = int(np.searchsorted(-c[own], -sit))
+        if come == 1:
+            tables[own] += u < p
+        else:
+            more = np.minimum(c[own] - sit, come)
+            tables[own] += (u < p) if more[0] == 1 else np.where(more == 1, u < p, binomial(more, np.minimum(p, 1 - 1e-12), u))
+        sit += come
+        active = int(np.searchsorted(less[own], -sit))
         step += 1
-    out = np.empty_like(tables)
-    out[order] = tables
-    return out
+    return tables
 
 
 @dataclass(frozen=True)
@@ -175,27 +183,9 @@ class Block:
             self.word_totals = spread(row["word_totals"], np.uint32)
 
 
-class Codes(dict):
-    """Numbers of words, in the order in which they are met, and their hashes."""
-
-    def __init__(self):
-        self.hashes: list[int] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = code = len(self.hashes)
-        self.hashes.append(max(3, xxhash.xxh64_intdigest(word, 42)))
-        return code
-
-
-def described(ids: list, train: list, lens: list, coded: list[np.ndarray], memo: Codes, number: int) -> dict:
+def described(ids: list, train: list, lens: list, hashed: list[np.ndarray], number: int) -> dict:
     """A block row: END is the last but one of its words, START the last."""
-    flat = np.concatenate(coded) if coded else np.zeros(0, np.int32)
-    met = np.flatnonzero(np.bincount(flat, minlength=len(memo.hashes)))
-    # words with one hash are one word
-    words, place = np.unique(np.fromiter(map(memo.hashes.__getitem__, met), np.uint64, len(met)), return_inverse=True)
-    code = np.zeros(len(memo.hashes), np.int64)
-    code[met] = place
-    codes = code[flat]
+    words, codes = np.unique(np.concatenate(hashed) if hashed else np.zeros(0, np.uint64), return_inverse=True)
     lens_, train_ = np.array(lens, np.int64), np.array(train, bool)
     k = len(words) + 2
     ends = np.cumsum(lens_ + 1) - 1
@@ -296,29 +286,25 @@ def tokenised(docs: DataFrame, text_col: str, id_col: str, folds: int) -> DataFr
     picked = docs.select(id_.alias("id"), F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds != 0, F.lit(True)).alias("train"), F.col(text_col).alias("text"), F.spark_partition_id().alias("p"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Codes()
-        ids, train, lens, coded, held, made = [], [], [], [], 0, 0
+        ids, train, lens, hashed, held, made = [], [], [], [], 0, 0
 
         def flush(p: int) -> pa.RecordBatch:
-            row = described(ids, train, lens, coded, memo, (p << 32) + made)
+            row = described(ids, train, lens, hashed, (p << 32) + made)
             kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 7]
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row.values(), kinds, strict=True)], list(row))
 
         p = 0
         for b in slices(batches):
             p = b.column(3)[0].as_py()
-            for i, t, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), utf8(b.column(2)), strict=True):
-                words = text.lower().split()
+            for i, t, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), word_hashes(utf8(b.column(2))), strict=True):
                 ids.append(i)
                 train.append(t)
                 lens.append(len(words))
-                coded.append(np.fromiter(map(memo.__getitem__, words), np.int32, len(words)))
+                hashed.append(np.maximum(words, np.uint64(3)))
                 held += len(words) + 1
                 if held >= BLOCK_TOKENS:
                     yield flush(p)
-                    ids, train, lens, coded, held, made = [], [], [], [], 0, made + 1
-                    if len(memo) > MEMO:
-                        memo = Codes()
+                    ids, train, lens, hashed, held, made = [], [], [], [], 0, made + 1
         if ids:
             yield flush(p)
 
@@ -351,6 +337,8 @@ def score(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", fo
         if not known:
             return arrow_map(blocks, lambda batches: (x for b in batches for i in range(b.num_rows) for x in fn(b.slice(i, 1).to_pylist()[0], {}).to_batches()), schema)
 
+        several = len(known) > 1
+
         def both(left: pa.Table, right: pa.Table) -> pa.Table:
             steps: dict[int, list[dict]] = {}
             for r in right.to_pylist():
@@ -360,8 +348,10 @@ def score(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", fo
             out = fn(row, steps)
             row.clear()
             steps.clear()
-            # unlike in arrow_map, no task's end follows at which the room would be given back
-            released()
+            # unlike in arrow_map, no task's end follows at which the room would be given back; it is much where several
+            # answers come together
+            if several:
+                released()
             return out
 
         answers = known[0].select("block", "step", "bucket", "data")
