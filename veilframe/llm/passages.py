@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.llm.common import arrow_map, drop_saved, fresh, save, slices, utf8
-from veilframe.llm.simhash import shingle_hashes
+from veilframe.llm.words import scramble, word_hashes
 
 SHINGLE = 5
 PLACE = 24
@@ -51,14 +51,20 @@ FACING, TOGETHER = 1 << 14, 1 << 12
 #: Random numbers that stand for tokens of 16 bits in sums.
 MARKS = np.random.default_rng(31).integers(0, 1 << 64, 1 << 16, np.uint64)
 WORD = re.compile(r"[^ \t-\r]+")
+#: Odd multipliers of the words of a run.
+RUN = np.random.default_rng(32).integers(0, 1 << 64, SHINGLE, np.uint64) | np.uint64(1)
 #: Odd multipliers of the hash functions, from the fractional part of the golden ratio.
 GOLDEN = 0x9E3779B97F4A7C15
 
 
-def tokens(text: bytes) -> np.ndarray:
-    """Hashes of the five-word runs of a text, in order (fewer words: one hash, as for the whole)."""
-    parts = list(shingle_hashes(text.lower().split(), SHINGLE))
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+def tokens(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """Hashes of the five-word runs of each text, in order (fewer words: one hash, as for the whole)."""
+    for words in word_hashes(texts):
+        n = max(1, len(words) - SHINGLE + 1) if len(words) else 0
+        total = np.zeros(n, np.uint64)
+        for k, by in enumerate(RUN[: len(words)]):
+            total += words[k : k + n] * by
+        yield scramble(total)
 
 
 def mixed(h: np.ndarray, function: int) -> np.ndarray:
@@ -144,8 +150,8 @@ def windows(docs: DataFrame, text_col: str, id_col: str, hashes: int, least: int
                 for x, y in zip(out, (value.view(np.int64), near, np.full(len(value), i, np.int64), place), strict=True):  # noqa: B023
                     x.append(y)
 
-            for i, t in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
-                own = tokens(t)
+            texts = utf8(b.column(1))
+            for i, t, own in zip(b.column(0).to_pylist(), texts, tokens(texts), strict=True):
                 if len(own) < least:
                     continue
                 # the text as a whole is a window of all its tokens; its length in words is told by the place
@@ -285,8 +291,13 @@ def partners(value: np.ndarray, ids: np.ndarray, around: np.ndarray, least: int,
     token = around.astype(np.uint64) | group[:, None] << np.uint64(16)
     place = (token * np.uint64(GOLDEN) >> np.uint64(44)).astype(np.int32)
     often = np.bincount(place.ravel(), minlength=1 << 20)
+    # how often a token is there, and its place; narrow, as this is sorted for each stretch
+    at, step, times = np.arange(2 * least - 1), -(-least // 4), often[place]
     # a token that no other window has is missing from all
-    at, step, active = np.arange(2 * least - 1), -(-least // 4), counted((around > 0) & (often[place] > 1)) >= enough
+    active = counted((around > 0) & (times > 1)) >= enough
+    narrow = np.int32 if times.max() < 1 << 22 else np.int64
+    none = np.iinfo(narrow).max
+    rarity = np.where(around > 0, times.astype(narrow) << narrow(8) | at.astype(narrow), narrow(none))
     for most in (8, 128, n):
         left = active & (best == n)
         spread = []
@@ -295,10 +306,10 @@ def partners(value: np.ndarray, ids: np.ndarray, around: np.ndarray, least: int,
             take = np.flatnonzero(part.any(axis=1))
             spread.append([take, k + part[take].argmax(axis=1), k + part.shape[1] - 1 - part[take, ::-1].argmax(axis=1)])
         row, low, high = (np.concatenate(x) for x in zip(*spread, strict=True))
-        inside = (at >= middle - low[:, None]) & (at <= 2 * middle - high[:, None]) & (around[row] > 0)
-        order = np.where(inside, often[place[row]] << 8 | at, 1 << 62)
+        inside = (at >= middle - low[:, None]) & (at <= 2 * middle - high[:, None])
+        order = np.where(inside, rarity[row], narrow(none))
         order = np.partition(order, least - enough, axis=1)[:, : least - enough + 1]
-        of, rank = np.nonzero(order < 1 << 62)
+        of, rank = np.nonzero(order < none)
         probe_row, probe_at = row[of], order[of, rank] & 255
         wanted = np.zeros(1 << 20, bool)
         wanted[place[probe_row, probe_at]] = True
@@ -335,8 +346,8 @@ def crowds(docs: DataFrame, crowded: DataFrame, text_col: str, id_col: str, part
 
     def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 64):
-            for i, t, spots in zip(b.column(0).to_pylist(), utf8(b.column(1)), b.column(2), strict=True):
-                own, spots = tokens(t), spots.values
+            for i, own, spots in zip(b.column(0).to_pylist(), tokens(utf8(b.column(1))), b.column(2), strict=True):
+                spots = spots.values
                 value, place = spots.field("value").to_numpy(), spots.field("place").to_numpy()
                 c = place >> 2 * ARM
                 # of several rows with one id, the one that has the window
@@ -442,8 +453,7 @@ def token_slices(docs: DataFrame, wanted: DataFrame, text_col: str, id_col: str)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 64):
             rows = []
-            for i, t, spans in zip(b.column(0).to_pylist(), utf8(b.column(1)), b.column(2).to_pylist(), strict=True):
-                own = tokens(t)
+            for i, own, spans in zip(b.column(0).to_pylist(), tokens(utf8(b.column(1))), b.column(2).to_pylist(), strict=True):
                 rows += [(i, x["s"], x["e"], own[x["s"] : x["e"]].astype(np.uint32).tobytes()) for x in spans]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["id", "s", "e", "hashes"])
 
