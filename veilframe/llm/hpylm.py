@@ -177,11 +177,15 @@ class Block:
         self.hashes = np.frombuffer(row["words"], np.uint64)
         pairs = spread(row["pairs"], np.uint32).astype(np.int64).reshape(2, -1)
         self.u, self.v = pairs
-        self.keys = scramble(self.hashes[self.u] * np.uint64(0x9E3779B97F4A7C15) + scramble(self.hashes[self.v]))
+        self.first, self.second = self.hashes * np.uint64(0x9E3779B97F4A7C15), scramble(self.hashes)
         if row.get("own") is not None:
             self.totals, self.own = spread(row["pair_totals"], np.uint32).astype(np.int64), np.unpackbits(spread(row["own"], np.uint8), count=len(self.u))
             self.word_totals = spread(row["word_totals"], np.uint32)
 
+    def keys(self, some: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Hashes of bigrams."""
+        return scramble(self.first[self.u[some]] + self.second[self.v[some]])
+
 
 def described(ids: list, train: list, lens: list, hashed: list[np.ndarray], number: int) -> dict:
     """A block row: END is the last but one of its words, START the last."""
@@ -371,7 +375,7 @@ def score(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", fo
 
     def pairs_up(row: dict, _: dict) -> pa.Table:
         x = Block(row)
-        return sent(x.number, x.keys, spread(row["pair_counts"], np.uint32), None, b_buckets)
+        return sent(x.number, x.keys(), spread(row["pair_counts"], np.uint32), None, b_buckets)
 
     def pairs_done(keys, a, _):
         out = np.zeros(len(keys), PAIR)
@@ -380,7 +384,7 @@ def score(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", fo
 
     def known_of(row: dict, steps: dict) -> pa.Table:
         x = Block(row)
-        words, pair = answered(steps.get(0, []), x.hashes, w_buckets, COUNT), answered(steps.get(1, []), x.keys, b_buckets, PAIR)
+        words, pair = answered(steps.get(0, []), x.hashes, w_buckets, COUNT), answered(steps.get(1, []), x.keys(), b_buckets, PAIR)
         new = {"block": x.number, "word_totals": squeeze(words["c"]), "pair_totals": squeeze(pair["c"]), "own": squeeze(np.packbits(pair["own"]))}
         kinds = [pa.int64(), *[pa.binary()] * 3]
         return pa.table([pa.array([v], k) for v, k in zip(new.values(), kinds, strict=True)], list(new))
@@ -407,7 +411,7 @@ def score(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", fo
         many = np.flatnonzero(x.totals > 1 if chosen is None else (x.totals > 1) & chosen)
         u, v, n = x.u[many], x.v[many], len(many)
         weights = [(q.theta + q.d * words["t"][u]) * q.parent(words["c1"].astype(np.float64), words["t1"].astype(np.float64))[v] for words, q, _ in given]
-        seated = seat(x.totals[many], np.concatenate(weights), given[0][1].d, x.keys[many], *(s for _, _, s in given))
+        seated = seat(x.totals[many], np.concatenate(weights), given[0][1].d, x.keys(many), *(s for _, _, s in given))
         out = [plain, *(plain.copy() for _ in given[1:])]
         for i, t in enumerate(out):
             t[many] = seated[i * n : (i + 1) * n]
