@@ -14,3 +14,15 @@ def test_plain_pieces_are_cut_as_the_library_cuts_them(monkeypatch):
     # the library is not asked about plain pieces
     monkeypatch.setattr(Encoder, "_whole", lambda self, text: 1 / 0)
     own.encode("never-seen-before@2031-12-09.example 77'000's")
+
+
+def test_a_worker_remembers_a_bounded_number_of_pieces(monkeypatch):
+    own = Encoder(tokenizer_path("byte_bpe_50k.json"), "bytes")
+    text = "Some words, some 2021 numbers; Wörter and more words."
+    whole = own._whole(text)
+    monkeypatch.setattr(own.memory, "encode", lambda piece: b"")
+    for i in range(500_000):
+        own.memory[f" never{i}"]
+    assert len(own.memory) + len(own.memory.old) <= 400_000
+    monkeypatch.undo()
+    assert own.encode(text) == whole == own.encode(text)
