@@ -63,6 +63,8 @@ def handed_down(ups: list[DataFrame], upper: DataFrame, fan: int) -> DataFrame:
     for level in reversed(ups):
         ends = level.where("lone").join(upper, F.expr("tree <=> u_tree")).drop("u_tree")
         down = ends if down is None else ends.unionByName(stepped(level.where("NOT lone"), down, fan))
+        # a plan of few joins each, which the driver can hold whatever the number of levels
+        down = save(down, "paths") if level is not ups[0] else down
     return down
 
 
@@ -90,7 +92,7 @@ class Manifest:
         top = self.top_ups[-1].where("lone").select("tree", F.array().cast(STEPS).alias("path"), F.col("preimage").alias("root"))
         above = handed_down(self.top_ups, top, self.fan)
         subroots = stepped(self.tops, above, self.fan).select(F.col("of_tree").alias("tree"), "path", F.col("hash").alias("subroot"), "root")
-        return stepped(self.leaves, handed_down(self.ups, subroots, self.fan), self.fan)
+        return stepped(self.leaves, handed_down(self.ups, save(subroots, "subroots"), self.fan), self.fan)
 
     def drop(self) -> None:
         for level in [*self.ups, *self.top_ups]:
