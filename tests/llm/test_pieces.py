@@ -38,18 +38,19 @@ def test_the_agenda_equals_scanning_for_the_best_pair(vocabulary):
             i = best[1]
             symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
         assert vocabulary.merged(text) == symbols
+        assert vocabulary.part(text) == b"".join(vocabulary.together([text])) if 1 < len(text) <= pieces.SHORT else True
 
 
 def test_memory_that_overflows_changes_nothing(vocabulary):
     small = pieces.Pieces(PATH)
-    small.memory.most = 3
+    small.memory.most = small.bits.most = 3
     assert [small.encode(t) for t in ODD] == [vocabulary.encode(t) for t in ODD]
 
 
 def test_tables(spark, vocabulary):
     rows = [(i, t, "ids", 1.5) for i, t in enumerate(ODD)] + [(None, None, None, None), (1, ODD[2], "x", 0.0), (1, ODD[2], "x", 0.0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string, score double")
-    got = pieces.encode(docs, PATH, decoded="back")
+    got = pieces.encode(docs, PATH, decoded="back", every=1)
     assert got.columns == ["doc_id", "score", "ids", "agreed", "back"]
     want = sorted((repr(i), ",".join(map(str, vocabulary.library.encode(t or ""))), vocabulary.library.decode(vocabulary.library.encode(t or ""))) for i, t, *_ in rows)
     found = got.collect()
@@ -59,4 +60,5 @@ def test_tables(spark, vocabulary):
     digest = got.where("doc_id = 2").select(F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("d")).first().d
     assert digest == hashlib.sha256(",".join(map(str, vocabulary.library.encode(ODD[2]))).encode()).hexdigest()
     assert pieces.encode(docs.where("false"), PATH).collect() == []
+    assert {r.agreed for r in pieces.encode(docs, PATH).collect()} == {True, None}
     assert pieces.decode(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>"), PATH).first().text == ""

@@ -52,11 +52,15 @@ class Memory(dict):
         super().__init__()
         self.encode, self.most, self.old = encode, most, {}
 
-    def __missing__(self, piece: str) -> bytes:
+    def turn(self) -> None:
+        """When full, what is in use becomes what is from before."""
         if len(self) >= self.most:
             self.old.clear()
             self.old = dict(self)
             self.clear()
+
+    def __missing__(self, piece: str) -> bytes:
+        self.turn()
         ids = self.old.get(piece)
         self[piece] = ids = self.encode(piece) if ids is None else ids
         return ids
