@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilframe.functions import checks, text
-from veilframe.operators import audit, guard, protected, redact, resolve, rules
+from veilframe.operators import audit, guard, protected, redact, residue, resolve, rules
 from veilframe.plans import values  # noqa: F401 (registers its queries)
 from veilframe.plans.registry import ORACLES, QUERIES
 
@@ -77,9 +77,9 @@ def test_scan_resolve_redact_and_gate(spark):
     texts = {(r.doc_id, r.span_ord): r.safe_text for r in safe.collect()}
     assert texts[1, 0].endswith("card [CARD_****1111]") and texts[1, 1] == "write to [EMAIL_U001]" and texts[3, 0] == "nothing here"
     # the number stands in another document as well, where no rule took it: the gate sees it, and it is scrubbed
-    assert [r.doc_id for r in redact.gate(safe, own, ["doc_id", "span_ord"]).collect()] == [2]
-    clean = redact.scrub(safe.select("doc_id", "span_ord", F.col("safe_text").alias("text")), redact.needles(own), ["doc_id", "span_ord"])
-    assert redact.gate(clean, own, ["doc_id", "span_ord"]).count() == 0
+    assert [r.doc_id for r in residue.gate(safe, own, ["doc_id", "span_ord"]).collect()] == [2]
+    clean = residue.scrub(safe.select("doc_id", "span_ord", F.col("safe_text").alias("text")), residue.needles(own), ["doc_id", "span_ord"])
+    assert residue.gate(clean, own, ["doc_id", "span_ord"]).count() == 0
 
 
 def test_registered_text(spark):

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilframe.functions import secrets
-from veilframe.operators import evaluate, guard, names, owners, protected, redact, resolve, rules, structure
+from veilframe.operators import evaluate, fuzzy, guard, names, owners, protected, redact, residue, resolve, rules, structure
 
 KEYS = ["doc_id", "span_ord"]
 
@@ -74,12 +74,12 @@ def test_gate_sees_every_span(spark):
     lines = spans(spark, "write to ana@site.org now", "seen: ANA@site.org again", "xana@site.orgy is another")
     won = resolve.rewritten(resolve.resolve(rules.scan(lines, [r for r in rules.RULES if r.name == "email"]), KEYS), lines, KEYS).where("doc_id = 0")
     own = won.withColumn("token", F.lit("[EMAIL_U001]"))
-    needles = redact.needles(own)
-    assert {(r.doc_id, r.start, r.end) for r in redact.locate(lines, needles, KEYS).collect()} == {(0, 9, 21), (1, 6, 18)}
-    safe = redact.scrub(lines, needles, KEYS)
+    needles = residue.needles(own)
+    assert {(r.doc_id, r.start, r.end) for r in residue.locate(lines, needles, KEYS).collect()} == {(0, 9, 21), (1, 6, 18)}
+    safe = residue.scrub(lines, needles, KEYS)
     assert [r.safe_text for r in safe.orderBy("doc_id").collect()][:2] == ["write to [EMAIL_U001] now", "seen: [EMAIL_U001] again"]
-    assert redact.gate(safe, own, KEYS).count() == 0
-    assert redact.gate(lines.withColumn("safe_text", F.col("text")), own, KEYS).count() == 2
+    assert residue.gate(safe, own, KEYS).count() == 0
+    assert residue.gate(lines.withColumn("safe_text", F.col("text")), own, KEYS).count() == 2
 
 
 def test_numbers_by_first_appearance(spark):
@@ -114,15 +114,27 @@ def test_guard_policies(spark):
     assert (s.scenarios, s.guard_right, s.guard_leaks, s.guard_refused_harmless, s.cap_leaks) == (5, 5, 0, 0, 1)
 
 
-def test_shapes_of_names():
-    s = names.Shapes({"priya", "rahul", "hans"}, {"vendor", "risk"}, {"acme"})
-    assert s.looks("Priya Raman") and s.looks("M. Vossberg") and not s.looks("Vendor Risk") and not s.looks("RAMAN") and not s.looks("Priya RAMANUJAN") and not s.looks("Acme")
-    text = "M. Vossberg CEO"
-    assert s.trimmed(text) == (0, 11) and s.trimmed("Vendor Tier") is None
-    assert [(a, b) for a, b, _ in s.listed("met rahul verma today, Hans van der Berg too")] == [(4, 15), (23, 40)]
-    v = names.variants("Anna Lopez-Ruiz")
-    assert v["Anna Lopez-Ruiz"] == 0.95 and v["A. Lopez-Ruiz"] == 0.85 and v["Anna"] == 0.72 and v["Ruiz"] == 0.6
-    assert names.denoised("C1ark") == "Clark" and names.fold("Łukasz") == "lukasz" and names.case_of("McDonald") == "title"
+def told(spark, fn, *texts):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    return [r.x for r in rows.select("i", fn(F.col("text")).alias("x")).orderBy("i").collect()]
+
+
+def test_shapes_of_names(spark):
+    s = names.Lists(frozenset({"priya", "rahul", "hans"}), frozenset({"vendor", "risk", "page"}), frozenset({"acme"}))
+    looks = lambda t: names.looks(t, s)
+    assert told(spark, looks, "Priya Raman", "M. Vossberg", "TK Moreau", "Dr. Ana de la Cruz", "PRIYA RAMAN") == [True] * 5
+    assert told(spark, looks, "Vendor Risk", "RAMAN", "Priya RAMANUJAN", "Acme", "Ana Ltd", "Risk Committee", "a b", "Ana 3", None, "", "rahul verma", "A. B.", "One Two Three Four Five Six") == [False] * 13
+    assert told(spark, lambda t: names.looks(t, s, cases=("lower",)), "rahul verma", "ment process", "risk verma", "rahul risk") == [True, True, False, True]
+    cut = lambda t: names.trimmed(t, s)
+    texts = ["M. Vossberg CEO", "Vendor Tier", "Larry Page", "Page 3 Larry", "the Priya Raman's", "", "CEO PRIYA RAMAN"]
+    assert [t[r.start : r.end] if r else None for t, r in zip(texts, told(spark, cut, *texts), strict=True)] == ["M. Vossberg", None, "Larry Page", "Larry", "Priya Raman", None, "CEO PRIYA RAMAN"]
+    found = told(spark, lambda t: names.listed(t, s), "met rahul verma today, Hans van der Berg too", "PRIYA RAMAN. Priya, Raman", "Rahul Vendor", "")
+    assert [[(m.start, m.end, m.score) for m in row] for row in found] == [[(4, 15, 0.5), (23, 40, 0.62)], [(0, 11, 0.62)], [], []]
+    v = {x.written: x.score for x in told(spark, names.variants, "Anna Lopez-Ruiz")[0]}
+    assert v == {"Anna Lopez-Ruiz": 0.95, "A. Lopez-Ruiz": 0.85, "A Lopez-Ruiz": 0.8, "Anna": 0.72, "Lopez-Ruiz": 0.72, "Lopez": 0.6, "Ruiz": 0.6}
+    assert [{x.written for x in row} for row in told(spark, names.variants, "DR PRIYA RAMAN", "May", "", None)][:3] == [{"Priya Raman", "P. Raman", "P Raman", "Priya", "Raman"}, set(), set()]
+    assert told(spark, names.denoised, "C1ark", "5teven", "A12", "Cl9rk", "B0b1by5") == ["Clark", "Steven", "A12", "Cl9rk", "B0b1by5"]
+    assert told(spark, names.folded, "Łukasz") == ["lukasz"] and told(spark, lambda t: names.surname(t, "title", s), "C1ark,", "Vendor", "Ltd", "CLARK") == [True, False, False, False]
 
 
 @pytest.mark.parametrize(("a", "b"), [("", ""), ("abc", "abd"), ("kitten", "sitting"), ("jahn davis", "john davis"), ("x", "")])
@@ -132,14 +144,14 @@ def test_ratio_by_brute_force(a, b):
         for j, y in enumerate(b):
             row[i + 1][j + 1] = row[i][j] + 1 if x == y else max(row[i][j + 1], row[i + 1][j])
     want = 200 * row[-1][-1] / (len(a) + len(b)) if a or b else 100
-    assert abs(names.ratio(a, b) - want) < 1e-9
+    assert abs(fuzzy.ratio(a, b) - want) < 1e-9
 
 
 def test_people_are_found_again(spark):
     seen = spark.createDataFrame([("Rafael Mendoza", "PERSON", "redact", "honorific_name"), ("Anna Zubiri", "PERSON", "redact", "x"), ("Tomas Zubiri", "PERSON", "redact", "x")], "value string, entity_type string, decision string, recognizer string")
     index = names.people(seen)
     lines = spans(spark, "R. Mendoza and RAFAEL MENDOZA met Zubiri", "the page of rafael", "Mendoza-level work", "Rafael's plan")
-    got = {(r.doc_id, r.value): r for r in names.propagate(lines, KEYS, index, names.Shapes()).collect()}
+    got = {(r.doc_id, r.value): r for r in names.propagate(lines, KEYS, index).collect()}
     assert {(0, "R. Mendoza"), (0, "RAFAEL MENDOZA"), (0, "Zubiri"), (3, "Rafael")} == set(got)
     assert got[0, "Zubiri"].score == 0.62 and got[0, "R. Mendoza"].canonical == "Rafael Mendoza"
     close = names.misread(spark.createDataFrame([("Rafaei Mendoza",), ("Paul Mendoza",)], "name string"), index).collect()

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.operators.names import ratio
+from veilframe.operators.fuzzy import ratio
 from veilframe.operators.redact import live
 
 #: Columns of the labels; categories that count as one another; scores of matches.

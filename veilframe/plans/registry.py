@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.functions import checks, text
-from veilframe.operators import guard, protected, redact, report, resolve, rules
+from veilframe.operators import guard, protected, redact, report, residue, resolve, rules
 from veilframe.sources import spans
+from veilframe.sources.kept import kept
 from veilframe.streaming import activity
 
 QUERIES: dict = {}
@@ -310,14 +310,14 @@ def vault_all(spark, sf_dir):
 def safe_rows(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Lines with safe_text, the findings with their tokens, the needles."""
     lines = document_lines(spark, sf_dir)
-    # used several times below: kept, on the executors' disks, rather than scanned for again; what is lost is computed anew
-    won = resolved_rows(spark, sf_dir).persist(StorageLevel.DISK_ONLY)
+    # used several times below: written once, rather than scanned for again
+    won = kept(resolved_rows(spark, sf_dir), "resolved")
     tokens = redact.numbered_vault(won, [*KEYS, "start"]).select("entity_type", "norm_value", "token")
-    own = redact.live(won).withColumn("norm_value", text.normalise(F.col("entity_type"), F.col("value"))).join(tokens, ["entity_type", "norm_value"])
-    needles = redact.needles(own)
-    missed = redact.locate(lines, needles, KEYS)
+    own = kept(redact.live(won).withColumn("norm_value", text.normalise(F.col("entity_type"), F.col("value"))).join(tokens, ["entity_type", "norm_value"]), "own")
+    needles = kept(residue.needles(own), "needles")
+    missed = residue.locate(lines, needles, KEYS)
     own = own.select(*KEYS, "start", "end", F.col("token").alias("replacement"), "decision")
-    more = redact.uncovered(missed, own, KEYS).select(*KEYS, "start", "end", F.col("token").alias("replacement"), F.lit("redact").alias("decision"))
+    more = residue.uncovered(missed, own, KEYS).select(*KEYS, "start", "end", F.col("token").alias("replacement"), F.lit("redact").alias("decision"))
     every = own.unionByName(more)
     return redact.splice(lines, every, KEYS), every, needles
 
@@ -333,7 +333,7 @@ def redacted_all(spark, sf_dir):
 def gate_residual(spark, sf_dir):
     """Known values that can still be read anywhere in the redacted lines: none, or the output must not be released."""
     safe, _, needles = safe_rows(spark, sf_dir)
-    left = redact.locate(safe.select(*KEYS, F.col("safe_text").alias("text")), needles, KEYS)
+    left = residue.locate(safe.select(*KEYS, F.col("safe_text").alias("text")), needles, KEYS)
     return left.agg(F.count("*").alias("leaks"))
 
 

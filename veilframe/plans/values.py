@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veilframe.functions import text
-from veilframe.operators import protected, redact, rehydrate, review, structure
+from veilframe.operators import protected, redact, rehydrate, residue, review, structure
 from veilframe.plans.registry import CLUSTER_SQL, LINES_SQL, NORM_SQL, WORDS_SQL, document_lines, occurrences_sql, query, resolved, table
+from veilframe.sources.kept import kept
 
 TERMS = ["All rights reserved", "licensed under", "permission is hereby granted"]
 
@@ -78,3 +79,33 @@ def markdown(spark, sf_dir):
     rows = document_lines(spark, sf_dir).select("doc_id", "span_ord", text.markdown_cell(F.col("text")).alias("t"))
     joined = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("span_ord", "t"))).alias("rows"))
     return joined.select("doc_id", F.md5(F.array_join(F.transform("rows", lambda r: r["t"]), "\n\n")).alias("digest"))
+
+
+# numbers written otherwise
+
+WAYS_SQL = rf"""WITH {CLUSTER_SQL}, card AS (SELECT DISTINCT doc_id, span_ord, value FROM won WHERE entity_type = 'CREDIT_CARD' AND decision IN ('redact', 'review')),
+src AS (WITH {LINES_SQL} SELECT * FROM spans),
+lin AS (SELECT doc_id, span_ord, min(value) AS value, any_value(text) AS text FROM card JOIN src USING (doc_id, span_ord) GROUP BY ALL),
+ways AS (SELECT doc_id, span_ord, unnest(['bare', 'dashes', 'blanks']) AS way, unnest([text, replace(text, value, substr(value, 1, 4) || '-' || substr(value, 5, 4) || '-' || substr(value, 9, 4) || '-' || substr(value, 13)),
+ replace(text, value, substr(value, 1, 4) || '  ' || substr(value, 5, 4) || '  ' || substr(value, 9, 4) || '  ' || substr(value, 13))]) AS text FROM lin),
+num AS (SELECT DISTINCT value FROM card),
+cnt AS (SELECT doc_id, span_ord, way, len(regexp_extract_all(text, '\b' || array_to_string(string_split(value, ''), '[\s().+-]{{0,2}}') || '\b')) AS places FROM ways, num)
+SELECT way, count(DISTINCT (doc_id, span_ord)) AS lines, CAST(sum(places) AS BIGINT) AS places, CAST(0 AS BIGINT) AS left_over FROM cnt GROUP BY way"""
+
+
+@query(WAYS_SQL)
+def numbers_written_otherwise(spark, sf_dir):
+    """Lines with a card number, as it is, with dashes, and with two blanks between its groups: in how many places the gate reads a
+    number that was found, and how many are left after the scrub."""
+    won = kept(redact.live(resolved(spark, sf_dir)).where("entity_type = 'CREDIT_CARD'"), "cards")
+    needles = kept(residue.needles(won.withColumn("token", F.lit("[CARD]"))), "needles")
+    lines = document_lines(spark, sf_dir).join(won.groupBy("doc_id", "span_ord").agg(F.min("value").alias("value")), ["doc_id", "span_ord"])
+    grouped = lambda between: F.regexp_replace("value", "(....)(?=.)", f"$1{between}")
+    ways = {"bare": F.col("text"), "dashes": F.replace("text", F.col("value"), grouped("-")), "blanks": F.replace("text", F.col("value"), grouped("  "))}
+    rows = lines.select("doc_id", "span_ord", F.explode(F.create_map(*[x for k, v in ways.items() for x in (F.lit(k), v)])).alias("way", "text"))
+    keys = ["doc_id", "span_ord", "way"]
+    found = residue.locate(rows, needles, keys)
+    safe = residue.scrub(rows, needles, keys)
+    after = residue.locate(safe.select(*keys, F.col("safe_text").alias("text")), needles, keys).groupBy("way").agg(F.count("*").alias("left_over"))
+    counted = rows.groupBy("way").agg(F.count("*").alias("lines")).join(found.groupBy("way").agg(F.count("*").alias("places")), "way")
+    return counted.join(after, "way", "left").withColumn("left_over", F.coalesce("left_over", F.lit(0).cast("long")))
