@@ -16,7 +16,8 @@ on a block are verified by Hamming distance (64 further bits, 4 standard deviati
 A member whose set is too large or too small for every other of its block can be similar to none and is left out there.
 First each member of a block meets the first and the one before it alone; the sets of its best partner decide, and form
 components. Then, in blocks that hold several components, all members of different ones meet: in slices of SLICE rows,
-each slice with each, compared by their whole fingerprints within a task, so that no task holds more than two slices. At
+each slice with each, so that no task holds more than two slices; first by size and 64 bits, as narrow lists, and those who
+have someone plausible beside them by their whole fingerprints. At
 first only the nearest of another component is verified for each member, and components grow; once that joins nothing (or
 after ROUNDS), all that are left and about as near as wanted are verified. As components only grow, a member of a block
 that has no one of another component about as near as wanted will have none later: it goes on in that block no more, so
@@ -255,6 +256,52 @@ def facing(met: DataFrame, similarity: float, bits: int, blocks_: int, nearest:
     return arrow_map(met.select("key", "left", *([] if single else ["right"])), run, "key long, a long, b long, d int")
 
 
+def plausible(met: DataFrame, similarity: float) -> DataFrame:
+    """key, left, right (as meeting has them: lists of node, n, root, bits; without right, within one) -> key, node, n, root of those
+    that have a member of another component beside them, of about their size and near enough in 64 bits."""
+    single, most = "right" not in met.columns, most_apart(64, similarity, 4)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 512):
+            key = b.column(0).to_numpy()
+            sides = [b.column(k).flatten() for k in ((1, 1) if single else (1, 2))]
+            sizes = [pc.list_value_length(b.column(k)).to_numpy().astype(np.int64) for k in ((1, 1) if single else (1, 2))]
+            (p, pn, pr, pb), (q, qn, qr, qb) = [[side.field(k).to_numpy() for k in ("node", "n", "root", "bits")] for side in sides]
+            at = [np.cumsum(x) - x for x in sizes]
+            pairs = sizes[0] * sizes[1]
+            cuts = np.searchsorted(np.cumsum(pairs), np.arange(0, pairs.sum() + FACING, FACING), "left")
+            cuts = np.unique(np.concatenate([[0], cuts, [len(pairs)]]))
+            keep = [np.zeros(len(p), bool), np.zeros(len(q), bool)]
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                of = np.repeat(np.arange(low, high), pairs[low:high])
+                inner = np.arange(len(of)) - np.repeat(np.cumsum(pairs[low:high]) - pairs[low:high], pairs[low:high])
+                i, j = at[0][of] + inner // sizes[1][of], at[1][of] + inner % sizes[1][of]
+                ok = np.flatnonzero(pr[i] != qr[j])
+                i, j = i[ok], j[ok]
+                near = (np.bitwise_count((pb[i] ^ qb[j]).view(np.uint64)) <= most) & (np.minimum(pn[i], qn[j]) >= similarity * np.maximum(pn[i], qn[j]))
+                keep[0][i[near]] = keep[1][j[near]] = True
+            for side, size, good in zip(sides, sizes, keep, strict=True):
+                if good.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(key, size)[good]), *(side.field(k).filter(pa.array(good)) for k in ("node", "n", "root"))], ["key", "node", "n", "root"])
+
+    return arrow_map(met.select("key", "left", *([] if single else ["right"])), run, "key long, node long, n int, root long")
+
+
+def facing_blocks(placed: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """key, node, n, root of the members of blocks (placed: these, many and bits) that have someone plausible of another component
+    beside them. Blocks, and slices of large ones, are put together once, as lists of narrow rows; those of one component
+    alone are left out as lists, and only members that come through are rows again. With them, the saved slices, to be dropped."""
+    own = F.collect_list(F.struct("node", "n", "root", "bits"))
+    mixed = lambda low, high: F.col(low) != F.col(high)
+    alone = placed.where(F.col("many") <= SLICE).groupBy("key").agg(own.alias("left"), F.min("root").alias("low"), F.max("root").alias("high")).where(mixed("low", "high"))
+    cut = F.pmod(F.xxhash64("node"), F.ceil(F.col("many") / SLICE)).cast("int")
+    parts = save(placed.where(F.col("many") > SLICE).groupBy("key", cut.alias("slice")).agg(own.alias("left"), F.min("root").alias("low"), F.max("root").alias("high")), "narrow-slices")
+    right = parts.select("key", F.col("slice").alias("r"), F.col("left").alias("right"), F.col("low").alias("r_low"), F.col("high").alias("r_high"))
+    crossed = parts.join(right, "key").where((F.col("slice") <= F.col("r")) & (F.least("low", "r_low") != F.greatest("high", "r_high")))
+    # a member of a large block comes through once a slice at most
+    return plausible(alone, similarity).unionAll(plausible(crossed, similarity)).distinct(), parts
+
+
 def meeting(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What meets in blocks (rows: key, many, node, n, root, wide), as facing takes it: blocks of up to SLICE members, each
     within itself; of larger ones, slices each with each; and the saved slices, to be dropped."""
@@ -297,10 +344,14 @@ def similar(sets: DataFrame, similarity: float, bits: int, blocks_: int) -> Data
     wide, roots, last = sets.select("node", "wide"), save(components(edges), "near-roots"), False
     for turn in range(ROUNDS + 1):
         last = last or turn == ROUNDS
-        placed = keyed.select("key", "node", "n", "many").join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("key", "node", "n", "many", F.coalesce("root", "node").alias("root"))
-        placed = save(placed, "placed")
-        mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-        alone, crossed, parts = meeting(placed.join(mixed, "key", "left_semi").join(wide, "node"))
+        rooted = keyed.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("key", "node", "n", "many", "bits", F.coalesce("root", "node").alias("root"))
+        rooted = save(rooted, "rooted")
+        through, narrow = facing_blocks(rooted, similarity)
+        placed = save(through, "placed")
+        drop_saved(narrow)
+        drop_saved(rooted)
+        crowd = placed.groupBy("key").agg(F.count("*").alias("many"))
+        alone, crossed, parts = meeting(placed.join(crowd, "key").join(wide, "node"))
         faced = facing(alone, similarity, bits, blocks_, not last).unionAll(facing(crossed, similarity, bits, blocks_, not last))
         if last:
             found = save(faced.select("a", "b").distinct(), "other-pairs")
