@@ -280,7 +280,8 @@ def plausible(met: DataFrame, similarity: float) -> DataFrame:
                 i, j = i[ok], j[ok]
                 near = (np.bitwise_count((pb[i] ^ qb[j]).view(np.uint64)) <= most) & (np.minimum(pn[i], qn[j]) >= similarity * np.maximum(pn[i], qn[j]))
                 keep[0][i[near]] = keep[1][j[near]] = True
-            for side, size, good in zip(sides, sizes, keep, strict=True):
+            # within one list, both sides are the same members
+            for side, size, good in [(sides[0], sizes[0], keep[0] | keep[1])] if single else zip(sides, sizes, keep, strict=True):
                 if good.any():
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(key, size)[good]), *(side.field(k).filter(pa.array(good)) for k in ("node", "n", "root"))], ["key", "node", "n", "root"])
 
@@ -291,15 +292,15 @@ def facing_blocks(placed: DataFrame, similarity: float) -> tuple[DataFrame, Data
     """key, node, n, root of the members of blocks (placed: these, many and bits) that have someone plausible of another component
     beside them. Blocks, and slices of large ones, are put together once, as lists of narrow rows; those of one component
     alone are left out as lists, and only members that come through are rows again. With them, the saved slices, to be dropped."""
+    cut = F.pmod(F.xxhash64("node"), F.col("of")).cast("int")
     own = F.collect_list(F.struct("node", "n", "root", "bits"))
-    mixed = lambda low, high: F.col(low) != F.col(high)
-    alone = placed.where(F.col("many") <= SLICE).groupBy("key").agg(own.alias("left"), F.min("root").alias("low"), F.max("root").alias("high")).where(mixed("low", "high"))
-    cut = F.pmod(F.xxhash64("node"), F.ceil(F.col("many") / SLICE)).cast("int")
-    parts = save(placed.where(F.col("many") > SLICE).groupBy("key", cut.alias("slice")).agg(own.alias("left"), F.min("root").alias("low"), F.max("root").alias("high")), "narrow-slices")
-    right = parts.select("key", F.col("slice").alias("r"), F.col("left").alias("right"), F.col("low").alias("r_low"), F.col("high").alias("r_high"))
-    crossed = parts.join(right, "key").where((F.col("slice") <= F.col("r")) & (F.least("low", "r_low") != F.greatest("high", "r_high")))
+    sliced = placed.withColumn("of", F.ceil(F.col("many") / SLICE)).groupBy("key", "of", cut.alias("slice")).agg(own.alias("left"), F.min("root").alias("low"), F.max("root").alias("high"))
+    parts = save(sliced.where("of > 1 OR low <> high"), "narrow-slices")
+    large = parts.where("of > 1")
+    right = large.select("key", F.col("slice").alias("r"), F.col("left").alias("right"), F.col("low").alias("r_low"), F.col("high").alias("r_high"))
+    crossed = large.join(right, "key").where((F.col("slice") <= F.col("r")) & (F.least("low", "r_low") != F.greatest("high", "r_high")))
     # a member of a large block comes through once a slice at most
-    return plausible(alone, similarity).unionAll(plausible(crossed, similarity)).distinct(), parts
+    return plausible(parts.where("of = 1"), similarity).unionAll(plausible(crossed, similarity).distinct()), parts
 
 
 def meeting(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -345,11 +346,9 @@ def similar(sets: DataFrame, similarity: float, bits: int, blocks_: int) -> Data
     for turn in range(ROUNDS + 1):
         last = last or turn == ROUNDS
         rooted = keyed.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("key", "node", "n", "many", "bits", F.coalesce("root", "node").alias("root"))
-        rooted = save(rooted, "rooted")
         through, narrow = facing_blocks(rooted, similarity)
         placed = save(through, "placed")
         drop_saved(narrow)
-        drop_saved(rooted)
         crowd = placed.groupBy("key").agg(F.count("*").alias("many"))
         alone, crossed, parts = meeting(placed.join(crowd, "key").join(wide, "node"))
         faced = facing(alone, similarity, bits, blocks_, not last).unionAll(facing(crossed, similarity, bits, blocks_, not last))
