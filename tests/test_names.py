@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from veilframe.operators import fuzzy, names, residue
+from veilframe.operators import evaluate, fuzzy, names, residue
 
 KEYS = ["doc_id"]
 
@@ -67,3 +67,19 @@ def test_misread_names_and_initials(spark):
     spans = spark.createDataFrame([(0, ", ".join(v for v, *_ in spots)), (1, "F. Kittelsen"), (2, None)], "doc_id long, text string")
     found = names.misread_initials(spans, KEYS, people).collect()
     assert {r.value: r.canonical for r in found} == want and len(want) >= 3 and {r.doc_id for r in found} == {0}
+
+
+def test_pairs_taken_in_rounds_are_those_of_a_walk(spark):
+    rng = random.Random(9)
+    rows = sorted({(f"f{rng.randrange(3)}", rng.randrange(12), rng.randrange(12)) for _ in range(160)})
+    rows = [(*r, rng.choice([0.5, 0.8, 1.0]), rng.random() < 0.5) for r in rows]
+    pairs = spark.createDataFrame(rows, "file string, g long, f long, score double, same boolean")
+    order = [F.col("score").desc(), F.col("same").desc(), F.col("g"), F.col("f")]
+    got = {tuple(r) for r in evaluate.one_to_one(pairs, ["file", "g"], ["file", "f"], order).collect()}
+    want, used = set(), set()
+    for r in sorted(rows, key=lambda r: (-r[3], not r[4], r[1], r[2])):
+        ends = {(r[0], "g", r[1]), (r[0], "f", r[2])}
+        if not ends & used:
+            used |= ends
+            want.add(r)
+    assert got == want and evaluate.one_to_one(pairs.where("false"), ["file", "g"], ["file", "f"], order).count() == 0

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilframe.operators.fuzzy import ratio
 from veilframe.operators.redact import live
+from veilframe.sources.kept import kept
 
 #: Columns of the labels; categories that count as one another; scores of matches.
 GOLD_COLUMNS = ["file", "page", "text", "category", "context_type", "note"]
@@ -69,27 +70,33 @@ def scored(pairs: DataFrame) -> DataFrame:
 
 def matched(gold: DataFrame, findings: DataFrame) -> DataFrame:
     """One-to-one matches of labels (gold_id, file, page, text, category) and live findings (finding_id, file, page, value,
-    entity_type): best scores first, of equal ones those of the same category, then by number.
-
-    Greedy, in rounds without a driver's eye on the rows: a pair that is the best of its label and of its finding is taken,
-    and all others of both go; every round takes the best pair of each file at least.
-    """
+    entity_type): best scores first, of equal ones those of the same category, then by number. Ids are unique within a file."""
     g = gold.select("gold_id", F.col("file").alias("g_file"), F.col("page").alias("g_page"), plain(F.col("text")).alias("g"), F.col("category"))
     f = live(findings).select("finding_id", F.col("file").alias("f_file"), F.col("page").alias("f_page"), plain(F.col("value")).alias("t"), "entity_type")
     here = (F.col("g_file") == F.col("f_file")) & (F.col("g_page").isNull() | F.col("f_page").isNull() | (F.col("g_page") == F.col("f_page")))
     pairs = scored(g.join(f, here)).withColumn("same", same_category(F.col("category"), F.col("entity_type"))).select("g_file", "gold_id", "finding_id", "score", "same")
+    return one_to_one(pairs, ["g_file", "gold_id"], ["g_file", "finding_id"], [F.col("score").desc(), F.col("same").desc(), F.col("gold_id"), F.col("finding_id")]).drop("g_file")
+
 
-    def take(rows):
-        left, right, out = set(), set(), []
-        for i in sorted(range(len(rows)), key=lambda i: (-rows.score[i], not rows.same[i], rows.gold_id[i], rows.finding_id[i])):
-            if rows.gold_id[i] not in left and rows.finding_id[i] not in right:
-                left.add(rows.gold_id[i])
-                right.add(rows.finding_id[i])
-                out.append(i)
-        return rows.iloc[out][["gold_id", "finding_id", "score", "same"]]
-
-    # labels are made by hand, so the pairs of one file are few
-    return pairs.groupBy("g_file").applyInPandas(take, "gold_id long, finding_id long, score double, same boolean")
+def one_to_one(pairs: DataFrame, left: list[str], right: list[str], order: list[Column]) -> DataFrame:
+    """Pairs taken best first, each end once: what a walk down all pairs in `order` would take, an order without ties.
+
+    A pair that is the best one of both its ends is taken by that walk whatever else there is, so all such pairs are taken at once,
+    and with them go the others of their ends; then again. The best pair left is always among them, so every round takes some;
+    a round is two groupings and two anti-joins, and no group, file or table is ever in one task. No pairs: none.
+    """
+    rank = F.row_number().over
+    left_, right_ = Window.partitionBy(*left).orderBy(*order), Window.partitionBy(*right).orderBy(*order)
+    columns, pairs, rounds = pairs.columns, kept(pairs, "pairs"), []
+    while not pairs.isEmpty():
+        both = pairs.withColumns({"of_left": rank(left_), "of_right": rank(right_)})
+        rounds.append(kept(both.where("of_left = 1 AND of_right = 1").drop("of_left", "of_right"), "taken"))
+        gone = rounds[-1]
+        pairs = kept(pairs.join(gone.select(*left), left, "left_anti").join(gone.select(*right), right, "left_anti"), "pairs")
+    out = pairs
+    for taken in rounds:
+        out = out.unionByName(taken)
+    return out.select(*columns)
 
 
 def evaluate(gold: DataFrame, findings: DataFrame) -> DataFrame:
