@@ -35,7 +35,7 @@ def test_rehydration_leaves_unknown_and_ambiguous_tokens(spark):
 
 
 def test_headers_and_labels(spark):
-    heads = {"E-mail": "EMAIL_ADDRESS", "Assigned reviewers": "PERSON", "Vendor name": None, "Mobile": "PHONE_NUMBER", "": None}
+    heads = {"E-mail": "EMAIL_ADDRESS", "Assigned reviewers": "PERSON", "Vendor name": None, "Mobile": "PHONE_NUMBER", "": None, "Blood group": "HEALTH_DATA", "UPI id": "UPI_ID", "Account number": "BANK_ACCOUNT", "tax id": "TAX_ID", "PAN": "IN_PAN", "PAN card": None, "Driver's license": "DRIVING_LICENCE", "NI number": "UK_NINO", "Badge": "EMPLOYEE_ID", "IP": "IP_ADDRESS", "Workflow owner": None, "System owner group": None, "Owner": "PERSON", "Owner " + "x" * 60: None}
     rows = spark.createDataFrame([(h,) for h in heads], "h string").select("h", structure.header_category(F.col("h")).alias("c")).collect()
     assert {r["h"]: r["c"] for r in rows} == heads
     lines = spark.createDataFrame([(1, "  Owner: Ann Lee, CISO"), (2, "Vendor: X"), (3, None), (4, "Passport no:  K4829175 ")], "doc long, text string")

@@ -7,29 +7,42 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words of a header or label, in the order in which they are tried.
+#: Patterns of headers and labels in the order in which they are tried; what makes a header one of things and not of
+#: people; the longest header.
 HEADERS = [
-    ("EMAIL_ADDRESS", "e-?mail|mail id"),
-    ("PHONE_NUMBER", "phone|mobile|telephone|cell|whatsapp|fax"),
-    ("DATE_OF_BIRTH", "birth|dob|born"),
-    ("US_SSN", "ssn|social security"),
-    ("PASSPORT", "passport"),
-    ("IBAN_CODE", "iban"),
-    ("ADDRESS", "address|street|residence"),
-    ("EMPLOYEE_ID", "employee (?:id|no|number)|staff (?:id|no)"),
-    ("CREDENTIAL", "password|secret|api key|token"),
-    ("PERSON", "name|reviewers?|manager|owner|contact|author|speaker"),
+    ("EMAIL_ADDRESS", r"e-?mail|email address|mail id"),
+    ("PHONE_NUMBER", r"phone|mobile|tel\b|telephone|cell|contact no|contact number|ext\.?\b"),
+    ("DATE_OF_BIRTH", r"date of birth|\bdob\b|birth ?date|born"),
+    ("US_SSN", r"\bssn\b|social security"),
+    ("PASSPORT", r"passport"),
+    ("IN_PAN", r"\bpan\b(?! ?card)|permanent account"),
+    ("PL_PESEL", r"pesel"),
+    ("IN_AADHAAR", r"aadhaa?r|\buid\b"),
+    ("IP_ADDRESS", r"\bip\b|ip address"),
+    ("CREDENTIAL", r"api ?key|secret|password|passwd|\btoken\b|credential"),
+    ("TAX_ID", r"\btin\b|tax ?id|taxpayer|\bnip\b|\bein\b|gstin|\bgst\b|\bvat\b"),
+    ("BANK_ACCOUNT", r"bank account|account (?:no|number|#)|a/c ?(?:no|number)?\b|\bifsc\b|sort code|routing"),
+    ("UPI_ID", r"\bupi\b|\bvpa\b"),
+    ("DRIVING_LICENCE", r"driving licen[cs]e|driver'?s? licen[cs]e|\bdl (?:no|number)"),
+    ("IN_VOTER_ID", r"voter|\bepic\b|election card"),
+    ("UK_NINO", r"national insurance|\bnino\b|\bni (?:no|number)"),
+    ("HEALTH_DATA", r"blood (?:group|type)|diagnosis|medical condition|disabilit|allerg"),
+    ("NATIONAL_ID", r"national id|nat\.? id|national identifier|id number|identity (?:no|number)"),
+    ("EMPLOYEE_ID", r"employee id|emp(?:loyee)? ?(?:no|#|number)|staff id|badge"),
+    ("ADDRESS", r"(?:home |postal |residential |mailing )?address"),
+    ("PERSON", r"\bname\b|full name|employee\b|owner|approver|approved by|prepared by|reviewed by|author|signed by|signatory|contact person|\bcontact\b|assignee|assigned to|requester|requestor|reviewer|attendee|member|manager name|person|staff|user ?name|display name|last.?modified.?by|lastmodifiedby|creator|^manager$|\blead\b|champion|delegate|escalat"),
 ]
-NOT_PERSON = "vendor|company|file|user|host|server|product|project|supplier|bank|country"
+NOT_PERSON = "vendor|supplier|compan|organi[sz]ation|engagement|product|system|application|project|file|document|template|field|control name|risk name|process name|group|department|team|business unit|site|entity|task|trigger|rule|stage|workflow|role|attribute|question|report|form\\b|queue|object|step|status"
+LONGEST_HEADER = 60
 LABEL = r"^\s*([A-Za-z][A-Za-z .-]{1,30}):\s+(\S.*)$"
 LABEL_SCORE = 0.72
 
 
 def header_category(header: Column) -> Column:
-    """The first category whose word stands in the header; null for none, and for names of things."""
-    lower = F.lower(header)
-    told = reduce(lambda c, h: c.when(lower.rlike(rf"\b(?:{h[1]})\b"), h[0]), HEADERS, F.when(F.lit(False), ""))
-    return F.when((told == "PERSON") & lower.rlike(rf"\b(?:{NOT_PERSON})\b"), F.lit(None)).otherwise(told)
+    """The first category whose pattern the header holds; null for none, for names of things and for headers that are too long."""
+    label = F.lower(F.trim(header))
+    told = reduce(lambda c, h: c.when(label.rlike(h[1]), h[0]), HEADERS, F.when(F.lit(False), ""))
+    return F.when((F.char_length(label) <= LONGEST_HEADER) & ~((told == "PERSON") & label.rlike(NOT_PERSON)), told)
 
 
 def labelled(spans: DataFrame) -> DataFrame:

@@ -39,9 +39,16 @@ def rehydrated(spark, sf_dir):
 
 
 def category_sql(label: str) -> str:
-    cases = " ".join(f"WHEN regexp_matches(lower({label}), '\\b(?:{rx})\\b') THEN '{c}'" for c, rx in structure.HEADERS if c != "PERSON")
-    person = dict(structure.HEADERS)["PERSON"]
-    return f"CASE {cases} WHEN regexp_matches(lower({label}), '\\b(?:{person})\\b') AND NOT regexp_matches(lower({label}), '\\b(?:{structure.NOT_PERSON})\\b') THEN 'PERSON' END"
+    """SQL engines here know no look-ahead: what one forbids is taken out of the label first."""
+    low = f"lower(trim({label}))"
+
+    def case(category: str, rx: str) -> str:
+        rx, of = rx.replace("'", "''"), low
+        if "(?! ?card)" in rx:
+            rx, of = rx.replace("(?! ?card)", ""), f"regexp_replace({low}, '\\bpan ?card', '#', 'g')"
+        return f"WHEN regexp_matches({of}, '{rx}') THEN " + (f"CASE WHEN NOT regexp_matches({low}, '{structure.NOT_PERSON}') THEN 'PERSON' END" if category == "PERSON" else f"'{category}'")
+
+    return f"CASE WHEN length({low}) > {structure.LONGEST_HEADER} THEN NULL " + " ".join(case(c, rx) for c, rx in structure.HEADERS) + " END"
 
 
 @query(f"""WITH {LINES_SQL}, l AS (SELECT *, regexp_extract(text, '{structure.LABEL}', 1) AS label, rtrim(regexp_extract(text, '{structure.LABEL}', 2), ' ') AS whole FROM spans WHERE regexp_matches(text, '{structure.LABEL}')),
