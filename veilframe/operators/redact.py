@@ -10,6 +10,7 @@ from veilframe.functions.checks import digits
 from veilframe.functions.text import hmac_sha256, normalise
 from veilframe.operators.resolve import lookup
 from veilframe.operators.vocab import PROFILES, SHORT_NAMES
+from veilframe.sources.kept import kept
 
 
 def live(findings: DataFrame) -> DataFrame:
@@ -32,11 +33,13 @@ def numbered_vault(findings: DataFrame, order: list[str]) -> DataFrame:
     No category is sorted in one task: values are ranked within ranges of the first ordering column (if it is a number),
     and the counts of the ranges before are added.
     """
-    values = live(findings).withColumn("norm_value", normalise(F.col("entity_type"), F.col("value")))
+    # used several times below: written once, rather than found again
+    values = kept(live(findings).select(*dict.fromkeys([*order, "entity_type", "value"])), "live")
+    values = values.withColumn("norm_value", normalise(F.col("entity_type"), F.col("value")))
     first = values.groupBy("entity_type", "norm_value").agg(F.min(F.struct(*order)).alias("first"), F.count("*").alias("occurrences"), F.array_sort(F.collect_set("value")).alias("forms"))
     lead = F.col(f"first.{order[0]}")
     if isinstance(findings.schema[order[0]].dataType, NumericType):
-        bounds = findings.agg(F.min(order[0]).cast("double").alias("low"), F.max(order[0]).cast("double").alias("high"))
+        bounds = values.agg(F.min(order[0]).cast("double").alias("low"), F.max(order[0]).cast("double").alias("high"))
         cell = F.coalesce(F.floor((lead - F.col("low")) / (F.col("high") - F.col("low") + 1) * CELLS), F.lit(-1))
         first = first.join(F.broadcast(bounds)).withColumn("cell", cell).drop("low", "high")  # one row
     else:
