@@ -6,6 +6,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,18 +70,41 @@ def near(text: Column, start: Column, end: Column, words: tuple[str, ...] | list
     return around.rlike("(?<![a-z])(?:" + "|".join(re.escape(w) for w in forms) + ")(?![a-z])")
 
 
+#: Columns beside the text that the tests below share, so that each is worked out once.
+LOW, DIGITS = "_text_low", "_text_digits"
 HIT = "array<struct<rule:int,start:int,end:int,text:string,key:string>>"
 #: What a text must hold for a rule to match at all; tested before the pattern is. Rules not named have no such test.
-NEEDS = {"email": "@", "email_ocr_damaged": "@", "in_upi": "@", "secret_url_password": "://", "ipv6": ":", "ipv4": ".", "secret_in_code": "=:", "secret_env": "=", "iban": "", "street_address": ""}
-DIGIT_RULES = {"phone", "org_person_id", "org_vendor_id", "us_ssn", "passport", "in_pan", "pl_pesel", "us_ein", "pl_nip", "credit_card", "card_last4", "ssn_last4", "in_aadhaar", "in_gstin", "in_ifsc", "bank_account", "uk_nino", "in_voter_id", "in_driving_licence", "driving_licence_labelled", "in_address", "iban", "dob_numeric", "dob_iso", "dob_text", "street_address", "ipv4", "phone_ocr_confusable", "phone_ocr_glued"}
+#: Any one of these, as it is written.
+NEEDS = {
+    "email": ["@"], "email_ocr_damaged": ["@"], "in_upi": ["@"], "secret_url_password": ["://"], "ipv6": [":"], "ipv4": ["."], "secret_in_code": ["=", ":"], "secret_env": ["="],
+    "org_person_id": ["EMP-", "DIR-", "STF-", "CON-", "USR-"], "org_vendor_id": ["MER-", "VEN-", "SUP-"], "us_ein": ["-"], "pl_nip": ["-"], "in_gstin": ["Z"], "dob_iso": ["-"],
+    "honorific_name": ["Mr", "Ms", "Miss", "Mx", "Dr", "Prof", "Shri", "Smt"], "dob_text": ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"],
+    "secret_known": ["AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "xox", "sk-", "sk_", "rk-", "rk_", "AIza", "eyJ", "PRIVATE KEY-----"],
+    "secret_known_more": ["glpat-", "npm_", "pypi-", "SG.", "hf_", "shp", "dop_v1_", "ya29.", "hooks.slack.com", ":AA", "AccountKey=", "PRIVATE KEY"],
+    "secret_bearer": ["earer"], "secret_high_entropy": ['"', "'", "`"], "pem_body": ["\n"], "blood_group": ["+", "-", "positive", "negative"],
+}
+#: Any one of these, in lower case, for patterns that take no notice of case.
+NEEDS_LOW = {
+    "card_last4": ["ending", "ends", "last", "xxxx", "****", "••••"], "ssn_last4": ["last"], "driving_licence_labelled": ["driving licen", "driver", "dl"],
+    "secret_assigned": ["key", "secret", "token", "bearer", "passw", "pwd"], "secret_auth_header": ["authorization", "x-auth-token", "api-key"],
+    "health_statement": ["diagnosed with", "suffers from", "undergoing treatment for", "medical condition"], "in_address": ["flat", "plot", "house", "no", "block", "sector", "shop"],
+}
+#: How many digits at least.
+DIGIT_RULES = {
+    "phone": 7, "org_person_id": 1, "org_vendor_id": 1, "us_ssn": 9, "passport": 6, "in_pan": 4, "pl_pesel": 6, "us_ein": 9, "pl_nip": 10, "credit_card": 13, "card_last4": 4, "ssn_last4": 4,
+    "in_aadhaar": 12, "in_gstin": 6, "in_ifsc": 1, "bank_account": 9, "uk_nino": 6, "in_voter_id": 7, "in_driving_licence": 13, "driving_licence_labelled": 4, "in_address": 6, "iban": 2,
+    "dob_numeric": 4, "dob_iso": 8, "dob_text": 5, "street_address": 1, "ipv4": 4, "phone_ocr_confusable": 1, "phone_ocr_glued": 1,
+}
 
 
-def gate(text: Column, rule: Rule) -> Column:
-    """Whether a rule may match: what is cheap to test first."""
-    tests = [text.rlike("[0-9]")] if rule.name in DIGIT_RULES else []
-    need = NEEDS.get(rule.name)
-    if need:
-        tests.append(text.rlike("[=:]") if need == "=:" else F.contains(text, F.lit(need)))
+def gate(text: Column, rule: Rule, low: Column | None = None, digits: Column | None = None) -> Column:
+    """Whether a rule may match: what is cheap to test first. low, digits: the text in lower case, and how many digits it has."""
+    tests = []
+    if rule.name in DIGIT_RULES:
+        tests.append((F.regexp_count(text, F.lit("[0-9]")) if digits is None else digits) >= DIGIT_RULES[rule.name])
+    for of, needs in ((text, NEEDS), (F.lower(text) if low is None else low, NEEDS_LOW)):
+        if rule.name in needs:
+            tests.append(reduce(Column.__or__, (F.contains(of, F.lit(x)) for x in needs[rule.name])))
     out = text.rlike(rule.pattern)
     for t in reversed(tests):
         out = t & out
@@ -107,7 +131,7 @@ def hits_sql(number: int, rule: Rule) -> str:
 
 
 def rule_hits(number: int, rule: Rule, blocker: tuple[int, Rule] | None = None) -> Column:
-    """The matches of one rule in the column text as array<struct<rule, start, end, text, key>>; without those that a match
+    """The matches of one rule in the column text (beside LOW and DIGITS) as array<struct<rule, start, end, text, key>>; without those that a match
     of the blocker overlaps."""
     rows = F.expr(hits_sql(number, rule))
     if rule.accept:
@@ -115,7 +139,7 @@ def rule_hits(number: int, rule: Rule, blocker: tuple[int, Rule] | None = None)
     if blocker:
         others = rule_hits(*blocker)
         rows = F.filter(rows, lambda h: ~F.exists(others, lambda b: (b["start"] < h["end"]) & (b["end"] > h["start"])))
-    return F.when(gate(F.col("text"), rule), rows).otherwise(F.expr(f"cast(array() as {HIT})"))
+    return F.when(gate(F.col("text"), rule, F.col(LOW), F.col(DIGITS)), rows).otherwise(F.expr(f"cast(array() as {HIT})"))
 
 
 def scan(spans: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
@@ -130,7 +154,8 @@ def scan(spans: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     number = {r.name: i for i, r in enumerate(rules)}
     blockers = {i: (number[r.unless], rules[number[r.unless]]) for i, r in enumerate(rules) if r.unless in number}
     # an outer explode: of a plain one the optimizer would infer a filter, and run every pattern twice
-    hit = spans.where(text.isNotNull()).select(*keep, "text", F.explode_outer(F.concat(*[rule_hits(i, r, blockers.get(i)) for i, r in enumerate(rules)])).alias("h")).where("h is not null")
+    told = spans.where(text.isNotNull()).select(*keep, "text", F.lower(text).alias(LOW), F.regexp_count(text, F.lit("[0-9]")).alias(DIGITS))
+    hit = told.select(*keep, "text", F.explode_outer(F.concat(*[rule_hits(i, r, blockers.get(i)) for i, r in enumerate(rules)])).alias("h")).where("h is not null")
     hit = hit.select(*keep, "text", F.col("h.rule").alias("rule"), F.col("h.start").alias("start"), F.col("h.end").alias("end"), F.col("h.text").alias("value")).where(F.trim("value") != "")
 
     def by_rule(of: Callable[[Rule], Column | None], default) -> Column:
@@ -151,8 +176,8 @@ def scan(spans: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     known = by_rule(lambda r: (r.context, near(F.col("text"), F.col("start"), F.col("end"), r.context) if r.context else None), F.lit(False))
     lone = F.when(F.col("rule").isin([i for i, r in enumerate(rules) if r.needs_context]), F.least(F.col("score"), F.lit(NO_CONTEXT_CAP))).otherwise(F.col("score"))
     hit = hit.withColumns({"score": score, "known": known}).withColumn("score", F.when(F.col("known"), F.col("score") + CONTEXT_BOOST).otherwise(lone))
-    told = lambda f: F.get(F.array(*[F.lit(f(r)) for r in rules]), F.col("rule"))
-    return hit.select(*keep, "start", "end", "value", told(lambda r: r.entity).alias("entity_type"), told(lambda r: r.name).alias("recognizer"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")), 3).alias("score"))
+    of_rule = lambda f: F.get(F.array(*[F.lit(f(r)) for r in rules]), F.col("rule"))
+    return hit.select(*keep, "start", "end", "value", of_rule(lambda r: r.entity).alias("entity_type"), of_rule(lambda r: r.name).alias("recognizer"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")), 3).alias("score"))
 
 
 def route(score: Column) -> Column:
