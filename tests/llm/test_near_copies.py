@@ -6,6 +6,7 @@ import numpy as np
 
 from veilframe.llm import simhash
 from veilframe.llm.common import shared_dir
+from veilframe.llm.components import components
 
 WORDS = [f"w{i}" for i in range(5000)]
 
@@ -100,3 +101,39 @@ def test_a_pair_is_told_in_the_first_block_it_shares(spark):
     met = spark.createDataFrame([(t << 4, [(i, 9, i, w) for i, w in rows]) for t, rows in blocks.items()], "key long, left array<struct<node long, n int, root long, wide binary>>")
     got = simhash.facing(met, 0.8, 4, 2, nearest=False).collect()
     assert sorted((r.key, r.a, r.b, r.d) for r in got) == [(0, 1, 2, 0), (16, 1, 3, 2), (16, 2, 3, 2)]
+
+
+def test_whole_fingerprints_come_to_blocks_once(spark, monkeypatch):
+    """Later turns take along what the first has put together, and a crowd is linked as all pairs are."""
+    monkeypatch.setattr(simhash, "SLICE", 4)
+    turns, blocks = [], simhash.facing_blocks
+    monkeypatch.setattr(simhash, "facing_blocks", lambda *a: turns.append("blocks") or blocks(*a))
+    met = simhash.meeting
+    monkeypatch.setattr(simhash, "meeting", lambda rows: turns.append("meeting") or met(rows))
+    rng = np.random.default_rng(12)
+    base = [str(x) for x in rng.choice(WORDS, 120)]
+    rows = [(i, " ".join(edited(rng, base, rng.choice(20, int(rng.integers(1, 5)), replace=False) * 6))) for i in range(40)]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), recall=0.9999).collect()}
+    assert got == brute(rows)
+    assert turns.count("meeting") > 1 and turns.count("blocks") == 1
+
+
+def test_blocks_of_one_component_do_not_meet(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SLICE", 2)
+    rows = [(1, 2, 1, 9, 7, b""), (1, 2, 2, 9, 7, b""), (2, 2, 1, 9, 7, b""), (2, 2, 3, 9, 8, b""), *((3, 6, i, 9, 7, b"") for i in range(6))]
+    alone, crossed, _ = simhash.meeting(spark.createDataFrame(rows, "key long, many long, node long, n int, root long, wide binary"))
+    assert [r.key for r in alone.collect()] == [2] and crossed.collect() == []
+
+
+def test_small_graphs_take_few_tasks(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        chain = spark.createDataFrame([(10 * c + i, 10 * c + i + 1) for c in range(50) for i in range(9)], "a long, b long")
+        found = components(chain)
+        assert {(r.node, r.root) for r in found.collect()} == {(10 * c + i, 10 * c) for c in range(50) for i in range(10)}
+        assert len(found.inputFiles()) == 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

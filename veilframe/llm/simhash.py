@@ -305,13 +305,15 @@ def facing_blocks(placed: DataFrame, similarity: float) -> tuple[DataFrame, Data
 
 def meeting(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What meets in blocks (rows: key, many, node, n, root, wide), as facing takes it: blocks of up to SLICE members, each
-    within itself; of larger ones, slices each with each; and the saved slices, to be dropped."""
-    own = F.collect_list(F.struct("node", "n", "root", "wide"))
-    alone = rows.where(F.col("many") <= SLICE).groupBy("key").agg(own.alias("left"))
+    within itself; of larger ones, slices each with each; and the saved slices, to be dropped. What is of one component alone
+    is left out as lists."""
+    own, ends = F.collect_list(F.struct("node", "n", "root", "wide")), [F.min("root").alias("low"), F.max("root").alias("high")]
+    alone = rows.where(F.col("many") <= SLICE).groupBy("key").agg(own.alias("left"), *ends).where("low <> high").select("key", "left")
     cut = F.pmod(F.xxhash64("node"), F.ceil(F.col("many") / SLICE)).cast("int")
-    parts = save(rows.where(F.col("many") > SLICE).groupBy("key", cut.alias("slice")).agg(own.alias("rows")), "block-slices")
-    left, right = parts.select("key", F.col("slice").alias("l"), F.col("rows").alias("left")), parts.select("key", F.col("slice").alias("r"), F.col("rows").alias("right"))
-    return alone, left.join(right, "key").where("l <= r").select("key", "left", "right"), parts
+    parts = save(rows.where(F.col("many") > SLICE).groupBy("key", cut.alias("slice")).agg(own.alias("rows"), *ends), "block-slices")
+    left, right = (parts.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("slice", "low", "high")), F.col("rows").alias(side)) for side in ("left", "right"))
+    crossed = left.join(right, "key").where((F.col("left_slice") <= F.col("right_slice")) & (F.least("left_low", "right_low") != F.greatest("left_high", "right_high")))
+    return alone, crossed.select("key", "left", "right"), parts
 
 
 def best_of(pairs: DataFrame) -> DataFrame:
@@ -342,15 +344,23 @@ def similar(sets: DataFrame, similarity: float, bits: int, blocks_: int) -> Data
     best = save(best_of(pairs), "best-pairs")
     edges = save(verified(best, sets, similarity), "near-links")
     drop_saved(best)
-    wide, roots, last = sets.select("node", "wide"), save(components(edges), "near-roots"), False
+    roots, last, placed = save(components(edges), "near-roots"), False, None
     for turn in range(ROUNDS + 1):
         last = last or turn == ROUNDS
-        rooted = keyed.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("key", "node", "n", "many", "bits", F.coalesce("root", "node").alias("root"))
-        through, narrow = facing_blocks(rooted, similarity)
-        placed = save(through, "placed")
-        drop_saved(narrow)
-        crowd = placed.groupBy("key").agg(F.count("*").alias("many"))
-        alone, crossed, parts = meeting(placed.join(crowd, "key").join(wide, "node"))
+        by = roots.withColumnRenamed("node", "of")
+        if placed is None:
+            rooted = keyed.join(by, F.col("node") == F.col("of"), "left").select("key", "node", "n", "many", "bits", F.coalesce("root", "node").alias("root"))
+            through, narrow = facing_blocks(rooted, similarity)
+            found = save(through, "plausible")
+            crowd = found.groupBy("key").agg(F.count("*").alias("many"))
+            # the only place where whole fingerprints come to rows of blocks; later turns take them along
+            placed = save(found.join(crowd, "key").join(sets.select("node", "wide"), "node"), "placed")
+            for done in (narrow, found, keyed):
+                drop_saved(done)
+            rooted = placed
+        else:
+            rooted = placed.drop("root").join(by, F.col("node") == F.col("of"), "left").select("key", "node", "n", "many", "wide", F.coalesce("root", "node").alias("root"))
+        alone, crossed, parts = meeting(rooted)
         faced = facing(alone, similarity, bits, blocks_, not last).unionAll(facing(crossed, similarity, bits, blocks_, not last))
         if last:
             found = save(faced.select("a", "b").distinct(), "other-pairs")
@@ -358,23 +368,26 @@ def similar(sets: DataFrame, similarity: float, bits: int, blocks_: int) -> Data
             near = save(faced, "nearest")
             found = save(best_of(near), "other-pairs")
         more = save(verified(found, sets, similarity), "near-links")
-        for done in (placed, parts, found):
+        for done in (parts, found):
             drop_saved(done)
         linked = not more.isEmpty()
         if linked:
             edges = edges.unionAll(more)
-            roots = save(components(edges), "near-roots")
+            before, roots = roots, save(components(edges), "near-roots")
+            drop_saved(before)
         if last:
             break
         # who has no one near now will have none later
         alive = near.select("key", F.col("a").alias("node")).unionAll(near.select("key", "b")).distinct()
-        before, keyed = keyed, save(keyed.join(alive, ["key", "node"], "left_semi"), "block-keys")
+        still = placed.join(alive, ["key", "node"], "left_semi")
+        before, placed = placed, save(still.drop("many").join(alive.groupBy("key").agg(F.count("*").alias("many")), "key"), "placed")
         for done in (before, near):
             drop_saved(done)
-        if keyed.isEmpty():
+        if placed.isEmpty():
             break
         # when nothing nearest is near enough, what else is left is looked at once
         last = not linked
+    drop_saved(placed)
     return roots
 
 
