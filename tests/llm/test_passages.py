@@ -116,3 +116,13 @@ def test_partners_tell_what_all_pairs_would():
     # each stretch that an earlier window has is told with one that has it
     assert (told.any(axis=1) == has.any(axis=1)).all() and has.any(axis=1).sum() > 1000
     assert told.any(axis=2).sum() == len(left) < has.any(axis=2).sum()
+
+
+def test_windows_of_all_texts_at_once_are_those_of_each():
+    rng = np.random.default_rng(19)
+    texts = [rng.integers(0, 1 << 63, n).astype(np.uint64) for n in (46, 47, 300, 91, 2000)]
+    # equal tokens, and tokens whose order is that of their places
+    texts += [np.zeros(120, np.uint64), np.sort(texts[4]), np.sort(texts[4])[::-1].copy(), np.repeat(texts[2], 3)]
+    flat, marks = passages.side_by_side(texts)
+    got = list(zip(*(x.tolist() for x in passages.windows_of_all(flat, marks, 46)), strict=True))
+    assert got == [(at + 1 + a, at + 1 + c, at + 1 + b) for at, h in zip(marks.tolist(), texts, strict=False) for a, c, b in passages.compact_windows(h, 46)]

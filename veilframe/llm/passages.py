@@ -48,6 +48,8 @@ WHOLE = 15
 CROWD = 8
 #: Pairs of windows that are compared at a time, and windows at least.
 FACING, TOGETHER = 1 << 14, 1 << 12
+#: Tokens of several texts that are looked at side by side.
+ASIDE = 1 << 15
 #: Random numbers that stand for tokens of 16 bits in sums.
 MARKS = np.random.default_rng(31).integers(0, 1 << 64, 1 << 16, np.uint64)
 WORD = re.compile(r"[^ \t-\r]+")
@@ -106,6 +108,45 @@ def compact_windows(h: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]
             yield base + a, base + c, base + b
 
 
+def side_by_side(own: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The token hashes of several texts in one array, with a place in front of each text and one at the end; and these places."""
+    marks = np.concatenate([[0], np.cumsum([len(x) + 1 for x in own])])
+    flat = np.zeros(marks[-1] + 1, np.uint64)
+    for at, x in zip(marks.tolist(), own, strict=False):
+        flat[at + 1 : at + 1 + len(x)] = x
+    return flat, marks
+
+
+def windows_of_all(h: np.ndarray, marks: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As compact_windows, for all texts of side_by_side at once (fewer than 1 << PLACE places): arrays l, c, r of places in h."""
+    low = np.uint64((1 << PLACE) - 1)
+    keys = (h & ~low) | np.arange(len(h), dtype=np.uint64)
+    # less than every token's key: no stretch with a mark in it has a minimum of its own, no node reaches across one
+    keys[marks] = 0
+    width, m = 1, keys
+    while 2 * width <= least:
+        m = np.minimum(m[:-width], m[width:])
+        width *= 2
+    if width < least:
+        m = np.minimum(m[: len(m) - (least - width)], m[least - width :])
+    top = np.zeros(len(h), bool)
+    top[(m & low).astype(np.int64)] = True
+    top[marks] = True
+    places = np.flatnonzero(top)
+    values = keys[places]
+    inner = np.flatnonzero(values)
+
+    def smaller(step: int) -> np.ndarray:
+        """The nearest place with a smaller key on one side: what lies between a place and the one it is told by is larger."""
+        to, left = np.arange(len(places)) + step, inner
+        while len(left):
+            left = left[values[to[left]] > values[left]]
+            to[left] = to[to[left]]
+        return places[to[inner]]
+
+    return smaller(-1) + 1, places[inner], smaller(1) - 1
+
+
 def joined(value: np.ndarray, near: np.ndarray, ids: np.ndarray, heads: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (row, partner) of rows sorted by value, surroundings and id: with the first of the same surroundings; for
     that one, a head, with all heads of the value before it, if its rank among them is below CROWD."""
@@ -146,26 +187,44 @@ def windows(docs: DataFrame, text_col: str, id_col: str, hashes: int, least: int
         for b in slices(batches, 256):
             out: list[list] = [[] for _ in range(4)]
 
-            def add(value: np.ndarray, near: np.ndarray, i: int, place: np.ndarray) -> None:
-                for x, y in zip(out, (value.view(np.int64), near, np.full(len(value), i, np.int64), place), strict=True):  # noqa: B023
+            def add(value: np.ndarray, near: np.ndarray, i: np.ndarray, place: np.ndarray) -> None:
+                for x, y in zip(out, (value.view(np.int64), near, i, place), strict=True):  # noqa: B023
                     x.append(y)
 
-            texts = utf8(b.column(1))
+            def grow(batch: list[tuple[int, np.ndarray]]) -> None:
+                flat, marks = side_by_side([own for _, own in batch])
+                begin, end = np.append(marks[:-1], 0) + 1, np.append(marks[1:], 0)
+                numbers = np.array([i for i, _ in batch], np.int64)
+                around = mixed(flat, 7)
+                around[marks] = 0
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(around, dtype=np.uint64)])
+                for f in range(hashes):
+                    h = mixed(flat, f)
+                    if len(flat) < 1 << PLACE:
+                        l, c, r = windows_of_all(h, marks, least)  # noqa: E741
+                    else:  # one very long text
+                        l, c, r = (1 + np.array(x, np.int64) for x in zip(*compact_windows(h[1:-1], least), strict=True))  # noqa: E741
+                    text = np.searchsorted(marks, c) - 1
+                    first, last = begin[text], end[text]
+                    low = np.maximum(c - least // 2, first)
+                    near = (sums[np.minimum(low + least, last)] - sums[low] + (c - low).astype(np.uint64)).astype(np.uint32).view(np.int32)
+                    # the function is part of the value: its low bits
+                    value = h[c] >> np.uint64(4) << np.uint64(4) | np.uint64(f)
+                    add(value, near, numbers[text], c - first << ARM * 2 | np.minimum(c - l, ARMS) << ARM | np.minimum(r - c, ARMS))
+
+            texts, batch = utf8(b.column(1)), []
             for i, t, own in zip(b.column(0).to_pylist(), texts, tokens(texts), strict=True):
                 if len(own) < least:
                     continue
                 # the text as a whole is a window of all its tokens; its length in words is told by the place
                 digest = np.array([xxhash.xxh64_intdigest(t, 5) >> 4 << 4 | WHOLE], np.uint64)
-                add(digest, np.array([xxhash.xxh32_intdigest(t, 6)], np.uint32).view(np.int32), i, np.array([(len(own) + SHINGLE - 1) << 2 * ARM], np.int64))
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(own, 7), dtype=np.uint64)])
-                for f in range(hashes):
-                    h = mixed(own, f)
-                    if found := list(compact_windows(h, least)):
-                        l, c, r = (np.array(x, np.int64) for x in zip(*found, strict=True))  # noqa: E741
-                        low = np.maximum(c - least // 2, 0)
-                        near = (sums[np.minimum(low + least, len(own))] - sums[low] + (c - low).astype(np.uint64)).astype(np.uint32).view(np.int32)
-                        # the function is part of the value: its low bits
-                        add(h[c] >> np.uint64(4) << np.uint64(4) | np.uint64(f), near, i, c << ARM * 2 | np.minimum(c - l, ARMS) << ARM | np.minimum(r - c, ARMS))
+                add(digest, np.array([xxhash.xxh32_intdigest(t, 6)], np.uint32).view(np.int32), np.array([i], np.int64), np.array([(len(own) + SHINGLE - 1) << 2 * ARM], np.int64))
+                if batch and sum(len(x) for _, x in batch) + len(own) > ASIDE:
+                    grow(batch)
+                    batch = []
+                batch.append((i, own))
+            if batch:
+                grow(batch)
             if not out[0]:
                 continue
             value, near, ids, place = (np.concatenate(x) for x in out)
