@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilframe.llm import pieces
-from veilframe.llm.queries import tokenizer_path
+from veilframe.llm.queries import op13_sentencepiece, tokenizer_path
 
 PATH = tokenizer_path("piece_bpe_32k.model")
 ODD = ["", " ", "  a  b", "▁", "a▁ b", "\n\t x", "\x00", "<s> </s> <unk> <0x0A>", "日本 ｆｕｌｌ ﬁ 🙂", "é é ​﻿", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "x" * 30_000, "word " * 40_000]
@@ -62,3 +62,9 @@ def test_tables(spark, vocabulary):
     assert pieces.encode(docs.where("false"), PATH).collect() == []
     assert {r.agreed for r in pieces.encode(docs, PATH).collect()} == {True, None}
     assert pieces.decode(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>"), PATH).first().text == ""
+
+
+def test_the_query_has_every_text_compared(spark, tmp_path):
+    spark.createDataFrame([(i, t) for i, t in enumerate([*ODD, None])], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = op13_sentencepiece(spark, str(tmp_path)).collect()
+    assert len(got) == len(ODD) + 1 and all(r.agreed is True for r in got)
